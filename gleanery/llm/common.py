@@ -43,3 +43,10 @@ def settle(df: DataFrame) -> DataFrame:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int) -> DataFrame:
+    """At most max_rows labelled documents with a column `label`, chosen by a hash of the id."""
+    chosen = labels.where(F.col(label_col).isNotNull()).select("doc_id", F.col(label_col).alias("label"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
+    return docs.join(F.broadcast(chosen), "doc_id")  # at most max_rows rows of two numbers

@@ -150,7 +150,7 @@ win as (select rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as k
         from (select rid, ws, unnest(range(1, len(ws) - 1)) as i from w)),
 twice as (select rid, i from (select rid, i, count(*) over (partition by rid, k) as n from win) where n > 1),
 rep as (select rid, count(distinct j) as n from (select rid, unnest([i, i + 1, i + 2]) as j from twice) group by rid),
-ln as (select rid, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+ln as (select rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
 s as (select w.rid, w.doc_id, w.t, len(ws)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
       length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
       coalesce(rep.n, 0)::bigint as n_repeat_words

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from gleanery.llm import quality_rules
+from gleanery.llm import licenses, pii, quality_classifier, quality_rules, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_quality_classifier": quality_classifier.op1_quality_classifier,
         "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op4_toxicity": toxicity.op4_toxicity,
+        "op6_pii": pii.op6_pii,
+        "op9_licenses": licenses.op9_licenses,
     }
 
 
