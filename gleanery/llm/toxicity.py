@@ -5,7 +5,7 @@ letters they stand for. One Aho-Corasick automaton then finds lexicon terms and
 words; a term inside an exception phrase does not count. The weights found are summed and normalised by length, and a
 logistic curve turns the result into a score.
 
-The lexicon is learned: a term's weight is its smoothed log odds between toxic and clean labelled documents. Support is
+The lexicon is learned: a term is a word or a stem, its weight its smoothed log odds between toxic and clean labelled documents. Support is
 the number of different words seen before the term in toxic documents, so a term that only copies of one text share
 has next to none. Fitting reads at most `max_rows` labelled rows (a parameter) and keeps at most `max_terms` terms.
 
@@ -35,6 +35,9 @@ HOMOGLYPHS = dict(zip("авекмнорстухіјѕԁѵαβεικνορτυχ"
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 EXCEPTIONS = ("clown fish", "trash can", "trash bin")
 
+#: Lengths of the stems that may be lexicon terms besides whole words.
+STEMS = (5, 6, 7, 8)
+
 _FOLD = str.maketrans(HOMOGLYPHS | LEET)
 _GLYPHS = str.maketrans(HOMOGLYPHS)
 _TOKEN = re.compile(r"[^\W_]+(?:[@$!]+[^\W_]+)*")
@@ -59,21 +62,45 @@ class Lexicon:
     intercept: float = 0.0
 
 
-PAIRS = "array<struct<before:string,term:string>>"
+def terms_of(word: str) -> list[str]:
+    """A word and its stems: the word's first letters, marked by a star."""
+    return [word, *(f"{word[:n]}*" for n in STEMS if n < len(word))]
+
+
+def _terms(texts: pd.Series) -> pd.Series:
+    return pd.Series([[x for w in dict.fromkeys(fold(t)) for x in terms_of(w)] for t in texts])
+
+
+def _contexts(wanted: frozenset[str]):
+    """A function from texts to the (word before, term) pairs of the wanted terms."""
+
+    def found(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            w = fold(t)
+            out.append([{"before": b, "term": x} for b, y in dict.fromkeys(zip(["", *w], w)) for x in terms_of(y) if x in wanted])
+        return pd.Series(out)
+
+    return found
+
+
+def pattern(term: str) -> str:
+    """What the automaton looks for in folded words joined by single spaces."""
+    return f" {term[:-1]}" if term.endswith("*") else f" {term} "
 
 
-def _pairs(texts: pd.Series) -> pd.Series:
-    out = []
-    for t in texts:
-        w = fold(t)
-        out.append([{"before": b, "term": x} for b, x in dict.fromkeys(zip(["", *w], w))])
-    return pd.Series(out)
+def shortest(weights: dict[str, float], slack: float = 0.7) -> dict[str, float]:
+    """The terms without those that a lighter or about equally heavy stem covers already."""
+    stems = {t[:-1]: w for t, w in weights.items() if t.endswith("*")}
+    bare = lambda t: t.removesuffix("*")
+    covered = lambda t, w: any(stems.get(bare(t)[:n], -1e9) >= w - slack for n in STEMS if n < len(bare(t)) or n == len(bare(t)) and not t.endswith("*"))
+    return {t: w for t, w in weights.items() if not covered(t, w)}
 
 
 def automaton(lexicon: Lexicon) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for term in lexicon.weights:
-        found.add_word(f" {term} ", (term, False))
+        found.add_word(pattern(term), (term, False))
     for phrase in lexicon.exceptions:
         found.add_word(f" {' '.join(fold(phrase))} ", (phrase, True))
     found.make_automaton()
@@ -89,8 +116,8 @@ def hits(folded: list[str], lexicon: Lexicon, found: ahocorasick.Automaton) -> t
         if exempt:
             safe.append((end - len(" ".join(fold(term))) - 1, end))
         else:
-            spans.append((end - len(term) - 1, end, term))
-    kept = [t for a, b, t in spans if not any(s <= a and b <= e for s, e in safe)]
+            spans.append((end - len(pattern(term)) + 1, end, term))
+    kept = [t for a, b, t in spans if not any(s <= a and b <= e for s, e in safe)] if safe else [t for _, _, t in spans]
     return len(kept), float(sum(lexicon.weights[t] for t in kept))
 
 
@@ -115,19 +142,22 @@ def normalised(found: Column) -> Column:
     return found["weight"] / (F.lit(1.0) + F.log1p(found["n_words"].cast("double")) / F.lit(10.0))
 
 
-def learn(train: DataFrame, max_terms: int = 2_000, least_support: int = 8, least_weight: float = 2.5, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+def learn(train: DataFrame, max_terms: int = 5_000, least_support: int = 8, least_weight: float = 2.5, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Lexicon and curve from a settled table (text, label)."""
     sizes = {int(r[0]): r[1] for r in train.where("label is not null").groupBy("label").count().collect()}
     if set(sizes) != {0, 1}:
         share = float(next(iter(sizes))) if sizes else 0.0
         return Lexicon({}, exceptions, 0.0, math.log((share + 1e-3) / (1 - share + 1e-3)))
-    pairs = train.select("label", F.explode(pandas_udf(_pairs, PAIRS)("text")).alias("p")).select("label", "p.*")
-    per_pair = pairs.groupBy("term", "before").agg(F.sum(F.col("label").cast("long")).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    terms = per_pair.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count_if(F.col("pos") > 0).alias("support"))
+    label = F.col("label").cast("long")
+    seen = train.where("label is not null").select(label.alias("label"), F.explode(pandas_udf(_terms, "array<string>")("text")).alias("term"))
+    counts = seen.groupBy("term").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")).where(F.col("pos") >= least_support)
     weight = F.log((F.col("pos") + 0.5) / F.lit(sizes[1] + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(sizes[0] + 1.0))
-    best = terms.where(F.col("support") >= least_support).withColumn("weight", weight).where(F.col("weight") >= least_weight)
-    rows = best.orderBy(F.desc("weight"), "term").limit(max_terms).collect()  # at most max_terms rows
-    lexicon = Lexicon({r["term"]: r["weight"] for r in rows if r["term"]}, exceptions)
+    heavy = counts.withColumn("weight", weight).where(F.col("weight") >= least_weight).orderBy(F.desc("weight"), "term").limit(max_terms)
+    rows = {r["term"]: r["weight"] for r in heavy.collect() if r["term"]}  # at most max_terms rows
+    near = pandas_udf(_contexts(frozenset(rows)), "array<struct<before:string,term:string>>")
+    pairs = train.where("label = 1").select(F.explode(near("text")).alias("p")).select("p.*").distinct()
+    support = {r[0]: r[1] for r in pairs.groupBy("term").count().collect()}  # a row for each of the terms
+    lexicon = Lexicon(shortest({t: w for t, w in rows.items() if support.get(t, 0) >= least_support}), exceptions)
     curve = settle(train.where("label is not null").select(F.col("label").cast("double").alias("y"), normalised(toxic_hits("text", lexicon)).alias("x")))
     fitted = LogisticRegression(featuresCol="v", labelCol="y", regParam=0.001, maxIter=50).fit(VectorAssembler(inputCols=["x"], outputCol="v").transform(curve))
     return Lexicon(lexicon.weights, exceptions, float(fitted.coefficients[0]), float(fitted.intercept))
@@ -137,7 +167,7 @@ def toxicity_score(found: Column, lexicon: Lexicon) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(lexicon.intercept) + F.lit(lexicon.slope) * normalised(found))))
 
 
-def op4_toxicity(spark: SparkSession, sf_dir: str, max_rows: int = 20_000) -> DataFrame:
+def op4_toxicity(spark: SparkSession, sf_dir: str, max_rows: int = 10_000) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 5) != 0)
     lexicon = learn(settle(labelled_sample(docs, labels, "toxic", max_rows).select("text", "label")))
