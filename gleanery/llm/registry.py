@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanery.llm import licenses, pii, quality_classifier, quality_rules, toxicity
+from gleanery.llm import licenses, mixing, pii, quality_classifier, quality_rules, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op4_toxicity": toxicity.op4_toxicity,
         "op6_pii": pii.op6_pii,
+        "op8_mixing": mixing.op8_mixing,
         "op9_licenses": licenses.op9_licenses,
     }
 
