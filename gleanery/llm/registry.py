@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanery.llm import licenses, mixing, pii, quality_classifier, quality_rules, toxicity
+from gleanery.llm import imatch, licenses, mixing, pii, quality_classifier, quality_rules, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_pii": pii.op6_pii,
         "op8_mixing": mixing.op8_mixing,
         "op9_licenses": licenses.op9_licenses,
+        "op10_fingerprints": imatch.op10_fingerprints,
     }
 
 
