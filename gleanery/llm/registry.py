@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanery.llm import imatch, licenses, mixing, pii, quality_classifier, quality_rules, toxicity
+from gleanery.llm import imatch, licenses, mixing, pii, quality_classifier, quality_rules, substring, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality_classifier": quality_classifier.op1_quality_classifier,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_substring_dedup": substring.op5_substring_dedup,
         "op6_pii": pii.op6_pii,
         "op8_mixing": mixing.op8_mixing,
         "op9_licenses": licenses.op9_licenses,
