@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanery.llm import imatch, licenses, mixing, pii, quality_classifier, quality_rules, substring, toxicity
+from gleanery.llm import imatch, jaccard, licenses, mixing, pii, quality_classifier, quality_rules, substring, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_substring_dedup": substring.op5_substring_dedup,
         "op6_pii": pii.op6_pii,
+        "op7_jaccard_join": jaccard.op7_jaccard_join,
         "op8_mixing": mixing.op8_mixing,
         "op9_licenses": licenses.op9_licenses,
         "op10_fingerprints": imatch.op10_fingerprints,
