@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from gleanery.llm import imatch, jaccard, licenses, mixing, pii, quality_classifier, quality_rules, substring, toxicity
+from gleanery.llm import imatch, jaccard, licenses, mixing, pieces, pii, quality_classifier, quality_rules, substring, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_quality_classifier": quality_classifier.op1_quality_classifier,
         "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op3_sentencepiece": pieces.op3_sentencepiece,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_substring_dedup": substring.op5_substring_dedup,
         "op6_pii": pii.op6_pii,
