@@ -1,11 +1,317 @@
-"""Queries of the curation operators."""
+"""Queries of the curation operators over the given tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries() -> dict:
-    return {}
+from gleanery.functions import text as T
+from gleanery.functions import urls
+from gleanery.operators import audio, captions, clean, dedup, graph, records, tfidf
+from gleanery.plans.sql import TOPIC, oracle_sql  # noqa: F401  (part of this module's interface)
+from gleanery.sources import html, sinks, tables
+
+RUN_TS = "2026-01-01T00:00:00+00:00"
+ASCII = r"^[\x00-\x7F]*$"
+
+
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.text_items(tables.read(spark, sf, "documents"))
+
+
+def _english(spark: SparkSession, sf: str) -> DataFrame:
+    """English ASCII lines, the paragraphs of the entity graph."""
+    return tables.text_items(tables.read(spark, sf, "documents").where("lang = 'en'")).where(F.col("text").rlike(ASCII))
+
+
+def _captions(spark: SparkSession, sf: str) -> DataFrame:
+    """First lines of English documents as captions."""
+    first = _english(spark, sf).where("item_idx = 0")
+    return first.select("source_url", "item_idx", F.concat(F.lit("https://img.example.com/"), "source_url", F.lit(".png")).alias("image_url"), F.col("text").alias("caption"))
+
+
+def _hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as search hits, every third behind a redirect."""
+    wrapped = F.concat(F.lit("//duckduckgo.com/l/?uddg="), F.url_encode("url"), F.lit("&rut=1"))
+    pages = tables.read(spark, sf, "pages")
+    return pages.select(F.col("page_id").alias("position"), F.concat(F.lit("Page "), "page_id").alias("title"), F.when(F.col("page_id") % 3 == 0, wrapped).otherwise(F.col("url")).alias("href"))
+
+
+def page_domains(spark, sf):
+    return tables.latest_pages(tables.read(spark, sf, "pages")).select("url", urls.domain_compatible(F.col("url")).alias("domain_compatible"), urls.domain(F.col("url")).alias("domain"))
+
+
+def rank_sources(spark, sf):
+    return tables.rank_sources(_hits(spark, sf), 50)
+
+
+def modality_query(spark, sf):
+    topics = tables.read(spark, sf, "benchmark").select("item_id", F.explode(F.array(*[F.lit(m) for m in tables.SUFFIXES])).alias("modality"), F.substring("text", 1, 40).alias("topic"))
+    return topics.select("item_id", "modality", tables.modality_query(F.col("topic"), F.col("modality")).alias("query"))
+
+
+def clean_paragraphs(spark, sf):
+    return clean.clean_paragraphs(tables.whole_items(tables.read(spark, sf, "documents"))).select("source_url", F.sha1(F.col("text").cast("binary")).alias("sha"), F.length("text").alias("n"))
+
+
+def boilerplate_flags(spark, sf):
+    cleaned = _items(spark, sf).withColumn("c", T.clean_text(F.col("text"), native=True))
+    return cleaned.select("source_url", "item_idx", T.is_navigation(F.col("c")).alias("navigation"), (F.length("c") < T.MIN_LENGTH).alias("short"))
+
+
+def special_ratio(spark, sf):
+    cleaned = _items(spark, sf).withColumn("c", T.clean_text(F.col("text"), native=True))
+    return cleaned.select("source_url", "item_idx", F.round(T.special_share(F.col("c")), 6).alias("share"))
+
+
+def exact_dedup(spark, sf):
+    items = tables.whole_items(tables.read(spark, sf, "documents")).withColumn("score", F.lit(0.0))
+    return clean.exact_dedup(items).select("source_url")
+
+
+def tokens(spark, sf):
+    return _items(spark, sf).select("source_url", "item_idx", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
+
+
+def bigrams(spark, sf):
+    grams = _items(spark, sf).select(F.explode(T.with_bigrams(T.tokens(F.col("text")))).alias("term"))
+    return grams.groupBy("term").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def tfidf_idf(spark, sf):
+    docs = tables.read(spark, sf, "documents").select("doc_id", "text")
+    counts = tfidf.term_counts(docs, ["doc_id"])
+    df = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    return df.select("term", "df", "total", F.round(F.log((F.lit(docs.count()) + 1.0) / (F.col("df") + 1.0)) + 1.0, 6).alias("idf"))
+
+
+def vocab_topk(spark, sf):
+    docs = tables.read(spark, sf, "documents").select("doc_id", "text")
+    return tfidf.vocabulary(tfidf.term_counts(docs, ["doc_id"]), F.lit(float(docs.count())), 5000).select("term", "total", "df")
+
+
+def _scored(spark, sf):
+    return tfidf.score_paragraphs(clean.clean_paragraphs(_items(spark, sf), native=True), TOPIC)
+
+
+def score_paragraphs(spark, sf):
+    return _scored(spark, sf).select("source_url", "item_idx", "score")
+
+
+def score_topics(spark, sf):
+    topics = tables.read(spark, sf, "benchmark").select(F.col("item_id").alias("topic_id"), F.col("text").alias("topic"))
+    return tfidf.score_topics(tables.whole_items(tables.read(spark, sf, "documents")), topics, 0.2)
+
+
+def _unique_docs(spark, sf):
+    return clean.exact_dedup(tables.whole_items(tables.read(spark, sf, "documents")).withColumn("score", F.lit(0.0)))
+
+
+def similar_pairs(spark, sf):
+    docs = _unique_docs(spark, sf).select(F.substring("source_url", 5, 20).cast("long").alias("id"), "text")
+    return dedup.similar_pairs(docs).select("a", "b", F.round("sim", 4).alias("sim"))
+
+
+def fuzzy_dedup(spark, sf):
+    items = tables.whole_items(tables.read(spark, sf, "documents")).withColumn("score", F.lit(0.0))
+    return dedup.fuzzy_dedup(items).select("source_url")
+
+
+def clean_captions(spark, sf):
+    return clean.clean_captions(_captions(spark, sf), native=True)
+
+
+def caption_entities(spark, sf):
+    return _captions(spark, sf).select("source_url", F.array_join(captions.entities(F.col("caption")), "|").alias("entities"))
+
+
+def caption_tags(spark, sf):
+    return _captions(spark, sf).select("source_url", F.array_join(captions.tags(F.col("caption")), "|").alias("tags"))
+
+
+#: Categories over words that the synthetic captions hold.
+CATEGORIES = {"first": ("thth", "thon", "that"), "second": ("ering", "anre", "with"), "third": ("and", "this", "are")}
+
+
+def caption_category(spark, sf):
+    return _captions(spark, sf).select("source_url", captions.category(captions.tags(F.col("caption")), CATEGORIES).alias("category"))
+
+
+def _enriched(spark, sf):
+    return captions.enrich_captions(clean.clean_captions(_captions(spark, sf), native=True), TOPIC, CATEGORIES)
+
+
+def enrich_captions(spark, sf):
+    return _enriched(spark, sf).select("source_url", "score", "category", F.array_join("tags", "|").alias("tags"), F.array_join("entities", "|").alias("entities"))
+
+
+def preprocess_manifest(spark, sf):
+    pages = tables.read(spark, sf, "pages")
+    configs = pages.select("page_id", F.array(F.lit(224), (F.col("page_id") % 5 + 100).cast("int")).alias("target_size"), F.lit(95).alias("quality"), F.lit("jpeg").alias("output_format"), (F.col("page_id") % 2 == 0).alias("grayscale"), (F.col("page_id") % 3 == 0).alias("edge_enhance"), (F.col("page_id") % 5 == 0).alias("equalize"))
+    return captions.preprocess_manifest(configs).select("page_id", "format", F.array_join("steps", "; ").alias("steps"))
+
+
+def _mentions(spark, sf):
+    return graph.mentions(_english(spark, sf))
 
 
-def oracle_sql() -> dict:
-    return {}
+def entity_nodes(spark, sf):
+    return graph.node_weights(_mentions(spark, sf))
+
+
+def entity_edges(spark, sf):
+    return graph.edge_weights(_mentions(spark, sf))
+
+
+def _ranks(spark, sf):
+    found = _mentions(spark, sf)
+    nodes, edges = graph.node_weights(found), graph.edge_weights(found)
+    return edges, graph.pagerank(nodes, edges, max_iter=10, tol=None)
+
+
+def pagerank(spark, sf):
+    return _ranks(spark, sf)[1].select("node", F.round(F.col("pagerank") * 1e6, 2).alias("pagerank"))
+
+
+def _edges(spark, sf):
+    return graph.edge_dataset(*_ranks(spark, sf))
+
+
+def edge_dataset(spark, sf):
+    return _edges(spark, sf)
+
+
+def edge_view(spark, sf):
+    edges = graph.edge_weights(_mentions(spark, sf)).select(F.col("src").alias("source_node"), F.col("dst").alias("target_node"))
+    nodes, _ = graph.edge_view(edges.withColumn("seq", F.xxhash64("source_node") * 0))
+    return nodes.select("id")
+
+
+def concept_graph(spark, sf):
+    named = _captions(spark, sf).select(F.col("source_url").alias("id"), captions.tags(F.col("caption")).alias("tags"), captions.entities(F.col("caption")).alias("entities"))
+    return graph.concept_links(named)
+
+
+def source_star(spark, sf):
+    return graph.source_star(tables.rank_sources(_hits(spark, sf), 50), "topic")
+
+
+def audio_ext(spark, sf):
+    kinds = ("process", "download", "generic_image", "generic_audio")
+    made = tables.read(spark, sf, "pages").select("page_id", F.concat("url", F.element_at(F.array(*[F.lit(x) for x in (".mp3", ".WAV?x=1", ".ogg", ".png", "")]), (F.col("page_id") % 5 + 1).cast("int"))).alias("u"))
+    return made.select("page_id", *[urls.extension(F.col("u"), k).alias(k) for k in kinds])
+
+
+def _audio_items(spark, sf):
+    talks = tables.read(spark, sf, "conversations")
+    items = talks.select(F.concat(F.lit("conv:"), "conv_id").alias("source_url"), F.col("turn").cast("int").alias("item_idx"), F.concat(F.lit("https://a.example.com/"), "conv_id", F.lit(".mp3")).alias("audio_url"), F.col("text").alias("context_transcript"), F.when(F.col("turn") % 2 == 0, "speech").otherwise("music").alias("classification"), F.col("role").alias("stt_text"))
+    return audio.merge_transcripts(items)
+
+
+def audio_scores(spark, sf):
+    return audio.audio_scores(_audio_items(spark, sf), TOPIC).select("source_url", "item_idx", "transcript", "ext", "score")
+
+
+def build_records(spark, sf):
+    kept = clean.exact_dedup(_scored(spark, sf))
+    return records.build_records(kept, "text", RUN_TS, F.col("text")).select("id", "type", "content", "category", F.array_join("tags", "|").alias("tags"), F.element_at("metadata", "source_url").alias("source_url"), F.element_at("metadata", "timestamp").alias("ts"), "score")
+
+
+def _event_records(spark, sf):
+    """Events as records: their JSON properties are the item's own metadata."""
+    items = tables.read(spark, sf, "events").select(F.concat(F.lit("user:"), "user_id").alias("source_url"), F.col("event_id").alias("item_idx"), F.round("value", 2).alias("score"), F.from_json("props", "map<string,string>").alias("m"), F.col("event_type").alias("kind"))
+    return records.build_records(items, "network", RUN_TS, F.lit(""), F.coalesce("m", F.create_map().cast("map<string,string>")))
+
+
+def metadata_keys(spark, sf):
+    return sinks.metadata_keys(_event_records(spark, sf), ["item_idx"]).select("key")
+
+
+def flat_csv(spark, sf):
+    made = _event_records(spark, sf)
+    keys = [r["key"] for r in sinks.metadata_keys(made, ["item_idx"]).orderBy("pos").collect() if r["key"] != "relevance_score"]
+    return sinks.flat_rows(made, keys)
+
+
+def select_by_id(spark, sf):
+    docs = tables.read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "lang", "source")
+    return records.select_ids(docs, tables.read(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("id")))
+
+
+def select_by_url(spark, sf):
+    pages = tables.read(spark, sf, "pages").select("url", "page_id")
+    return pages.join(tables.rank_sources(_hits(spark, sf), 20).select("url"), "url", "left_semi")
+
+
+def id_set_ops(spark, sf):
+    labels = tables.read(spark, sf, "labels")
+    good, bad = labels.where("quality = 1").select("doc_id").distinct(), labels.where("toxic = 1").select("doc_id").distinct()
+    return records.toggled(good, bad)
+
+
+def preview_top50(spark, sf):
+    kept = clean.exact_dedup(_scored(spark, sf))
+    return records.preview(records.build_records(kept, "text", RUN_TS, F.col("text"))).select("content", "source", "percent")
+
+
+def run_summary(spark, sf):
+    kept = clean.exact_dedup(_scored(spark, sf))
+    return records.run_summary(tables.rank_sources(_hits(spark, sf), 20), records.build_records(kept, "text", RUN_TS, F.col("text")), TOPIC, "text")
+
+
+def stage_funnel(spark, sf):
+    items = _items(spark, sf)
+    cleaned = clean.clean_paragraphs(items, native=True)
+    scored = tfidf.score_paragraphs(cleaned, TOPIC)
+    return records.stage_funnel([("clean", items, cleaned), ("score", cleaned, scored), ("exact", scored, clean.exact_dedup(scored))])
+
+
+def status_log_digest(spark, sf):
+    log = tables.read(spark, sf, "events").select(F.col("user_id").alias("job"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("message"))
+    return records.status_digest(log).select("job", "seq", "message", "kind", "errors")
+
+
+def progress_scale(spark, sf):
+    done = tables.read(spark, sf, "pages").select("page_id", records.progress(F.col("page_id") % 41, F.lit(40)).alias("shown"))
+    return done
+
+
+def selection_counts(spark, sf):
+    flags = tables.read(spark, sf, "pages").select(F.when(F.col("page_id") % 4 != 0, F.col("page_id") % 4 == 1).alias("selected"))
+    return records.selection_counts(flags)
+
+
+def document_files(spark, sf):
+    docs = tables.read(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    return sinks.document_files(docs, ["doc_id"]).select("path", F.sha1(F.col("content").cast("binary")).alias("sha"))
+
+
+def media_manifest(spark, sf):
+    pages = tables.read(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 7 != 0, F.create_map(F.lit("image_url"), F.concat("url", F.lit(".webp")))).otherwise(F.create_map().cast("map<string,string>")).alias("metadata"))
+    return sinks.media_manifest(pages, ["page_id"], "image_cnn")
+
+
+def _extracted(modality: str):
+    def query(spark, sf):
+        return html.extract(tables.latest_pages(tables.read(spark, sf, "pages")), modality)
+
+    return query
+
+
+def page_tables(spark, sf):
+    return _extracted("network")(spark, sf).select("source_url", "item_idx", F.to_json("row").alias("row"))
+
+
+def fetch_outcome(spark, sf):
+    pages = tables.read(spark, sf, "pages")
+    return tables.fetch_outcome(pages.withColumn("status", F.when(F.col("html").contains("<p"), "ok").otherwise("error")))
+
+
+def queries() -> dict:
+    """Every curation query by name."""
+    named = (
+        page_domains, rank_sources, modality_query, clean_paragraphs, boilerplate_flags, special_ratio, exact_dedup, tokens, bigrams, tfidf_idf, vocab_topk, score_paragraphs, score_topics, similar_pairs, fuzzy_dedup,
+        clean_captions, caption_entities, caption_tags, caption_category, enrich_captions, preprocess_manifest, entity_nodes, entity_edges, pagerank, edge_dataset, edge_view, concept_graph, source_star, audio_ext, audio_scores,
+        build_records, metadata_keys, flat_csv, select_by_id, select_by_url, id_set_ops, preview_top50, run_summary, stage_funnel, status_log_digest, progress_scale, selection_counts, document_files, media_manifest, page_tables, fetch_outcome,
+    )
+    return {f.__name__: f for f in named} | {"page_paragraphs": _extracted("text"), "page_images": _extracted("image_cnn"), "page_audio": _extracted("audio"), "header_edges": _extracted("header_edges")}
