@@ -178,6 +178,8 @@ b as (select audio_url, min(round(cosine, 4)) as score from cos join it using (s
 select source_url, item_idx, transcript, ext, case when score > 0 then score else 0.5 end as score from au left join b using (audio_url)""",
         "build_records": f"with {_KEPT} select 'text_' || substring(sha256(source_url || chr(1) || item_idx || chr(1) || text), 1, 16) as id, 'text' as type, text as content, 'general' as category, '' as tags, source_url, '{RUN_TS}' as ts, score from kept",
         "metadata_keys": f"select unnest(['source_url', 'timestamp', 'relevance_score']) as key union select unnest(ks) from ({_EVENTS})",
+        "flat_csv": """select 'network_' || substring(sha256('user:' || user_id || chr(1) || event_id || chr(1)), 1, 16) as id, 'network' as type, '' as content, 'user:' || user_id as "metadata.source_url",
+'2026-01-01T00:00:00+00:00' as "metadata.timestamp", coalesce(json_extract_string(props, '$.k'), '') as "metadata.k" from events""",
         "select_by_id": "select doc_id::varchar as id, lang, source from documents where doc_id in (select doc_id from labels where quality = 1)",
         "select_by_url": f"select url, page_id from pages where url in (select url from ({_RANKED} order by page_id limit 20))",
         "id_set_ops": "with g as (select distinct doc_id from labels where quality = 1), b as (select distinct doc_id from labels where toxic = 1) (select * from g except select * from b) union all (select * from b except select * from g)",
