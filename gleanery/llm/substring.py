@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -116,9 +116,11 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*hashes, rows.column("doc_id").take(take), rows.column("tag").take(take), pa.array((starts - begin[doc]).astype(np.int32))], ["h1", "h2", "doc_id", "tag", "start"])
 
 
-def cut(text: str | None, starts: np.ndarray | None, length: int = LENGTH) -> tuple[int, int, str]:
-    """(words, words removed, kept words joined by single spaces) when the windows at starts go."""
+def cut(text: str | None, starts: np.ndarray | None, copied: bool = False, length: int = LENGTH) -> tuple[int, int, str]:
+    """(words, words removed, kept words joined by single spaces) when the windows at starts go, or all if the text is copied."""
     found = _WORD.findall(text or "")
+    if copied and len(found) >= length:
+        return len(found), len(found), ""
     if starts is None or not len(starts):
         return len(found), 0, " ".join(found)
     edge = np.zeros(len(found) + 1, np.int64)
@@ -134,15 +136,31 @@ def keyed(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.hash(text_col), F.lit(0)).alias("tag"), F.col(text_col).alias("text"))
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, starts): where windows begin whose words also start elsewhere, for the rows of keyed()."""
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & a["tag"].eqNullSafe(b["tag"])
+def _meet(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """left joined with right on (doc_id, tag), nulls equal; right's key columns go."""
+    other = right.withColumnsRenamed({"doc_id": "_doc", "tag": "_tag"})
+    return left.join(other, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("tag").eqNullSafe(F.col("_tag")), how).drop("_doc", "_tag")
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, stands) for the rows of keyed() whose text occurs in other rows too; one row of each text stands for it."""
+    light = docs.select("doc_id", "tag", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("m"))
+    groups = light.groupBy("m").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.count("*").alias("n")).where("n > 1").select("m", "first")
+    return light.join(groups, "m").groupBy("doc_id", "tag").agg(F.max(F.struct("doc_id", "tag").eqNullSafe(F.col("first"))).alias("stands"))
+
+
+def repeated_windows(docs: DataFrame, copied: DataFrame) -> DataFrame:
+    """(doc_id, tag, starts): where windows begin whose words also start elsewhere, for the rows of keyed().
+
+    Of equal texts only the one that stands for them is extended: every window of a copied text is a repeat anyhow.
+    """
     hashed = docs.select("doc_id", "tag", word_hashes(F.col("text")).alias("h"))
     found = hashed.mapInArrow(_anchors, "anchor long, doc_id long, tag int, at int")
     often = found.groupBy("anchor").count().where("count > 1").select(F.col("anchor").alias("often"))
     seeds = found.join(often, F.col("anchor") == F.col("often")).groupBy("doc_id", "tag").agg(F.collect_set("at").alias("seeds"))
-    seeds = settle(seeds)
-    seeded = docs.join(seeds, same(docs, seeds), "left").where(seeds["seeds"].isNotNull()).select(docs["doc_id"], docs["tag"], docs["text"], seeds["seeds"])
+    others = copied.where("not stands")
+    seeds = settle(_meet(seeds, others.select("doc_id", "tag"), "left_anti"))
+    seeded = _meet(docs, seeds, "inner")
     spread = seeded.select("doc_id", "tag", word_hashes(F.col("text")).alias("h"), "seeds").mapInArrow(_extended, "h1 long, h2 long, doc_id long, tag int, start int")
     twice = spread.groupBy("h1", "h2").count().where("count > 1").select(F.col("h1").alias("t1"), F.col("h2").alias("t2"))
     met = spread.join(twice, (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2")))
@@ -152,14 +170,15 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept): each row's text without the words of repeated windows."""
     rows = keyed(docs, text_col)
-    starts = settle(repeated_windows(rows))
+    copied = settle(copies(rows))
+    starts = repeated_windows(rows, copied)
 
-    def removed(texts: pd.Series, at: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([cut(t, a) for t, a in zip(texts, at)], columns=["n_words", "n_removed", "kept"])
+    def removed(texts: pd.Series, at: pd.Series, everything: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([cut(t, a, e) for t, a, e in zip(texts, at, everything)], columns=["n_words", "n_removed", "kept"])
 
-    met = rows.join(starts, rows["doc_id"].eqNullSafe(starts["doc_id"]) & rows["tag"].eqNullSafe(starts["tag"]), "left")
-    done = met.select(rows["doc_id"], pandas_udf(removed, "n_words long, n_removed long, kept string")(rows["text"], starts["starts"]).alias("r"))
-    return done.select("doc_id", "r.*")
+    met = _meet(_meet(rows, starts, "left"), copied, "left")
+    cleaned = pandas_udf(removed, "n_words long, n_removed long, kept string")("text", "starts", F.col("stands").isNotNull())
+    return met.select("doc_id", cleaned.alias("r")).select("doc_id", "r.*")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
