@@ -25,9 +25,9 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One document of each group of near duplicates: the one with the smallest id. Documents without an id stay."""
     classes = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    return docs.join(classes.where("doc_id = class_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(classes.where("doc_id <> class_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
