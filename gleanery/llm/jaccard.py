@@ -7,7 +7,7 @@ until a pair at the threshold is found in some tree with the target probability.
 
 Buckets are never expanded into pairs. In each bucket every member is compared with the bucket's first member, so that
 copies gather in components by verified links; then members of one bucket that lie in different components are compared
-with each other. All comparisons are exact, on the sets themselves. Links are counted afterwards inside components, by
+with each other: as pairs in buckets of up to FEW members, by blocks in larger ones. All comparisons are exact, on the sets themselves. Links are counted afterwards inside components, by
 blocks of BLOCK classes against each other in one task each, which return counts and not pairs.
 
 Defined cases: words are runs without white space; a text of one to four words has one shingle, all its words; a null or
@@ -34,6 +34,8 @@ TREES = 20
 DEPTH = 8
 RECALL = 0.9999
 BLOCK = 512
+#: Members up to which a bucket's pairs are compared as rows; larger buckets are compared by blocks. Both are exact.
+FEW = 8
 _BASE = 0xA24BAED4963EE407
 
 
@@ -148,15 +150,55 @@ def linked_classes(docs: DataFrame, classes: DataFrame, threshold: float = THRES
     stars = settle(stars)
     found = settle(components(stars))
     located = placed.join(found, "id", "left").select("bucket", "id", F.coalesce("class", "id").alias("class"))
-    mixed = located.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("bucket")
+    mixed = located.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("bucket", "members")
     rest = settle(located.join(mixed, "bucket"))
-    across = rest.alias("x").join(rest.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") < F.col("y.class")))
-    more = settle(verified(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), sets, threshold))
+    few = rest.where(F.col("members") <= FEW)
+    across = few.alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") < F.col("y.class")))
+    pairs = verified(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), sets, threshold)
+    more = settle(pairs.unionByName(bridges(rest.where(F.col("members") > FEW), sets, threshold)))
     if not more.isEmpty():
         found = settle(components(stars.unionByName(more)))
     return found, sets
 
 
+def in_blocks(members: DataFrame, group: str, count: DataFrame, block: int) -> DataFrame:
+    """members with block numbers i <= j: each member once for every block of its group, so that (group, i, j) holds two blocks.
+
+    count holds (group, members).
+    """
+    parts = F.greatest(F.ceil(F.col("members") / block), F.lit(1)).cast("int")
+    placed = members.drop("members").join(count.select(group, parts.alias("parts")), group).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other", "parts")
+
+
+def _bridge(threshold: float):
+    def bridge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        _, i, j = key
+        a, b = rows[rows["part"] == i], rows[rows["part"] == j]
+        la, lb = a["id"].to_numpy().copy(), b["id"].to_numpy().copy()
+        if len(la) and len(lb):
+            linked = count_links(list(a["s"]), list(b["s"]), threshold)
+            far = np.iinfo(np.int64).max
+            while True:  # the smallest id that verified links reach inside the two blocks
+                na = np.minimum(la, np.where(linked, lb[None, :], far).min(axis=1))
+                nb = np.minimum(lb, np.where(linked, na[:, None], far).min(axis=0))
+                if (na == la).all() and (nb == lb).all():
+                    break
+                la, lb = na, nb
+        out = pd.DataFrame({"a": [*la, *lb], "b": [*a["id"], *b["id"]]})
+        return out[out["a"] != out["b"]].drop_duplicates()
+
+    return bridge
+
+
+def bridges(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """(a, b): ids that verified links connect inside large buckets, each with the smallest it reaches; a row per member and block."""
+    count = members.groupBy("bucket").agg(F.count("*").alias("members"))
+    dealt = in_blocks(members.select("bucket", "id").join(sets, "id"), "bucket", count, block)
+    return dealt.groupBy("bucket", "i", "j").applyInPandas(_bridge(threshold), "a long, b long").distinct()
+
+
 def count_links(left: list[np.ndarray], right: list[np.ndarray], threshold: float = THRESHOLD) -> np.ndarray:
     """Whether each set on the left and each on the right have the similarity, as a Boolean matrix.
 
@@ -194,10 +236,8 @@ def _block_counts(threshold: float):
 
 def link_counts(found: DataFrame, sets: DataFrame, sizes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(id, links): the documents outside a class that its set is linked with, by blocks inside each component."""
-    parts = found.groupBy("class").agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int").alias("parts"))
-    members = found.join(sets, "id").join(sizes, "id").join(parts, "class").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = members.withColumn("other", other).select("class", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "n", "s", "part")
+    count = found.groupBy("class").agg(F.count("*").alias("members"))
+    dealt = in_blocks(found.join(sets, "id").join(sizes, "id"), "class", count, block)
     counted = dealt.groupBy("class", "i", "j").applyInPandas(_block_counts(threshold), "id long, links long")
     return counted.groupBy("id").agg(F.sum("links").alias("links"))
 
