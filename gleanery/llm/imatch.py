@@ -11,8 +11,8 @@ the band is a bitmap of 128 KB whatever the corpus, which is broadcast. Terms th
 Only built-in functions are used.
 
 Defined cases: null and empty texts have no terms, and equal fingerprints; a text without a term in the band is
-fingerprinted by all its terms; documents follow each other by falling doc_id (null last), then by a hash of the text,
-equal rows as one; the last is followed by the first, a single one by itself; other columns are kept out of the result.
+fingerprinted by all its terms; documents follow each other by falling doc_id (null last), then by a hash of the text;
+the last is followed by the first, a single one by itself; other columns are kept out of the result.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def lexicon(texts: DataFrame, text_col: str = "text", least: float = LEAST_SHARE
 def _components(terms: Column, bits: Column) -> Column:
     """The hash of the kept terms, then of each subset of them; null where a subset is empty."""
     in_band = lambda h: F.getbit(F.get(bits, F.floor(_bucket(h) / 64).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1
-    digest = lambda x: F.when(F.size(x) > 0, F.xxhash64(x))
+    digest = lambda x: F.when(F.size(x) > 0, F.hash(x))
 
     def partition(kept: Column, k: int, classes: int) -> Column:
         of = lambda h: F.pmod(F.xxhash64(h, F.lit(k)), F.lit(classes))
@@ -62,7 +62,7 @@ def _components(terms: Column, bits: Column) -> Column:
         return let(F.filter(kept, lambda h: of(h) < CLASSES), lambda x: F.transform(numbers, lambda c: digest(F.filter(x, lambda h: of(h) == c))))
 
     def subsets(kept: Column) -> Column:
-        whole = F.array(F.when(F.size(kept) > 0, F.xxhash64(kept)).otherwise(F.xxhash64(terms, F.lit("all"))))
+        whole = F.array(F.when(F.size(kept) > 0, F.hash(kept)).otherwise(F.hash(terms, F.lit("all"))))
         return F.concat(whole, *[partition(kept, k, classes) for k, classes in enumerate(PARTITIONS)])
 
     return let(F.filter(terms, in_band), subsets)
@@ -76,7 +76,7 @@ def with_components(df: DataFrame, text_col: str, out: str, bits: DataFrame) ->
 
 
 def fingerprint(components: Column) -> Column:
-    return F.array_join(F.transform(components, lambda c: F.coalesce(F.lower(F.hex(c)), F.lit("-"))), ".")
+    return F.array_join(F.transform(components, lambda c: F.coalesce(F.lower(F.hex(F.pmod(c.cast("long"), F.lit(1 << 32)))), F.lit("-"))), ".")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -85,36 +85,39 @@ def likeness(a: Column, b: Column) -> Column:
     return let(pairs, lambda z: F.size(F.filter(z, lambda p: F.coalesce(p["x"] == p["y"], F.lit(False)))) / F.greatest(F.size(z), F.lit(1)))
 
 
-def next_documents(keys: DataFrame) -> DataFrame:
-    """(doc_id, th, next_id, next_th) for distinct keys (doc_id, th), by falling doc_id.
+def in_order(rows: DataFrame, buckets: int) -> DataFrame:
+    """rows plus bucket `_p`, `_guest` and sort key `_k` (the id, null last), ready for windows over each bucket.
 
-    Keys are dealt by range and numbered by partition; each partition finds its own followers, and the first keys of the
-    partitions, a row for each, give the followers of the last ones.
+    Buckets are ranges of falling ids, begun by ids that occur. Each bucket also gets, as guests at its end, the rows of
+    the id that begins the following bucket, and the last bucket those of the first, so that every row finds its follower
+    in its own bucket. The bounds, at most `buckets` numbers, are the only thing that is brought to the driver.
     """
-    ordered = settle(keys.distinct().repartitionByRange(F.desc_nulls_last("doc_id"), F.asc("th")).withColumn("p", F.spark_partition_id()))
-    inside = Window.partitionBy("p").orderBy(F.desc_nulls_last("doc_id"), "th")
-    led = ordered.withColumns({"n": F.lead(F.struct("doc_id", "th")).over(inside), "at": F.row_number().over(inside)})
-    firsts = ordered.groupBy("p").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("minus"), F.col("th"), F.col("doc_id"))).alias("f"))
-    by_p = Window.orderBy("p")
-    everything = by_p.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = firsts.select("p", F.coalesce(F.lead("f").over(by_p), F.first("f").over(everything)).alias("f"))  # a row per partition
-    met = led.join(F.broadcast(after), "p")
-    return met.select("doc_id", "th", F.when(F.col("n").isNotNull(), F.col("n.doc_id")).otherwise(F.col("f.doc_id")).alias("next_id"), F.coalesce("n.th", "f.th").alias("next_th"))
-
-
-def edited_fingerprints(docs: DataFrame) -> DataFrame:
+    keyed = rows.withColumn("_k", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))
+    shares = [i / buckets for i in range(1, buckets + 1)]
+    found = keyed.agg(F.percentile_approx("_k", shares, 100 * buckets)).first()[0] or [0]
+    bounds = sorted(set(found) | {keyed.agg(F.max("_k")).first()[0] or 0}, reverse=True)
+    begun = F.array([F.lit(b).cast("long") for b in bounds])
+    at = F.size(F.filter(begun, lambda b: b >= F.col("_k"))) - 1
+    placed = keyed.withColumn("_p", at)
+    before = F.pmod(F.col("_p") - 1, F.lit(len(bounds)))
+    places = F.when(F.get(begun, F.col("_p")) == F.col("_k"), F.array(F.struct(F.col("_p").alias("p"), F.lit(False).alias("g")), F.struct(before.alias("p"), F.lit(True).alias("g"))))
+    dealt = placed.withColumn("_to", F.explode(F.coalesce(places, F.array(F.struct(F.col("_p").alias("p"), F.lit(False).alias("g"))))))
+    return dealt.withColumns({"_p": F.col("_to.p"), "_guest": F.col("_to.g")}).drop("_to")
+
+
+def edited_fingerprints(docs: DataFrame, docs_per_bucket: int = 512, most_buckets: int = 4_096) -> DataFrame:
     """Fingerprints of each document and of its edited text, whose second half is the start of the next document."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     bits = lexicon(texts)
     own = with_components(texts, "text", "c", bits)
-    following = next_documents(texts.select("doc_id", "th"))
-    half = F.floor(F.length("text") / 2).cast("int")
-    head = own.select("doc_id", "th", "c", F.length("text").cast("long").alias("n_chars"), F.substring(F.col("text"), F.lit(1), F.length("text") - half).alias("head"))
-    tail = own.groupBy(F.col("doc_id").alias("next_id"), F.col("th").alias("next_th")).agg(F.first("text").alias("next_text"), F.first("c").alias("next_c"))
-    met = head.alias("a").join(following.alias("f"), F.col("a.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("a.th") == F.col("f.th"))).select("a.*", "next_id", "next_th")
-    met = met.alias("a").join(tail.alias("b"), F.col("a.next_id").eqNullSafe(F.col("b.next_id")) & (F.col("a.next_th") == F.col("b.next_th")))
-    edited = met.select("doc_id", "n_chars", "c", "next_c", F.concat("head", F.substring(F.col("next_text"), F.lit(1), F.floor(F.col("n_chars") / 2).cast("int"))).alias("edited"))
-    done = with_components(edited, "edited", "e", bits)
+    n = texts.count()
+    ordered = in_order(own, max(1, min(most_buckets, n // docs_per_bucket)))
+    down = Window.partitionBy("_p").orderBy("_guest", F.desc("_k"), "th")
+    led = ordered.withColumns({"next_text": F.lead("text").over(down), "next_c": F.lead("c").over(down)}).where("not _guest")
+    size = F.length("text")
+    half = F.floor(size / 2).cast("int")
+    text = F.concat(F.substring(F.col("text"), F.lit(1), size - half), F.substring(F.col("next_text"), F.lit(1), half))
+    done = with_components(led.select("doc_id", size.cast("long").alias("n_chars"), "c", "next_c", text.alias("edited")), "edited", "e", bits)
     return done.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("c")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"),
         likeness(F.col("c"), F.col("e")).alias("near_edited"), likeness(F.col("c"), F.col("next_c")).alias("near_next"),
