@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import jaccard, mixing, pieces, pii, quality_rules
-from gleanery.llm.common import table
+from gleanery.llm.common import WORD, table
 
 #: Words of a block in the mix.
 BLOCK = 512
@@ -25,9 +25,19 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id. Documents without an id stay."""
-    classes = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    return docs.join(classes.where("doc_id <> class_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates: one with the smallest id (null last). Rows without a word all stay.
+
+    Rows are told by a 64-bit hash of id and text. Rows equal in both share it and are always in one group, of which one
+    row stays; they are put together on the map side first, so that many copies do not meet in one task.
+    """
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    keyed = docs.where(worded).withColumn("_key", F.xxhash64("doc_id", "text"))
+    classes = jaccard.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text")).distinct()
+    ids = keyed.select("_key", F.col("doc_id").alias("_id")).distinct()
+    ranked = ids.join(classes.withColumnRenamed("doc_id", "_key"), "_key")
+    first = ranked.groupBy("class_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key")).alias("m")).select("m._key")
+    rows = keyed.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return rows.join(first, "_key", "left_semi").select("row.*").unionByName(docs.where(~worded))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

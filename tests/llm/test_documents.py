@@ -224,3 +224,38 @@ def test_pipeline_stages(spark, sf):
     expected = brute_links({r.doc_id: r.text or "" for r in seen[1].collect()})
     assert {r.doc_id for r in seen[2].collect()} == {i for i in kept if expected[i][0] == i}
     assert seen[5].where("not round_trip").isEmpty()
+
+
+def brute_kept(rows):
+    """How many rows of each (id, text) stay: one row of each class, with the smallest id, null last."""
+    far = 1 << 62
+    order = sorted(range(len(rows)), key=lambda k: (far if rows[k][0] is None else rows[k][0]))
+    links = brute_links({place: rows[k][1] or "" for place, k in enumerate(order)})
+    return Counter(far if rows[order[place]][0] is None else rows[order[place]][0] for place, (best, _) in links.items() if best == place)
+
+
+def test_near_duplicates_by_row(spark):
+    import corpus_pipeline
+
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcd"}
+    near = text["a"].replace("a30", "changed")
+    rows = [(1, text["a"]), (1, text["a"]), (7, near), (7, text["b"]), (None, text["c"]), (None, text["c"]), (None, text["c"] + " more"), (9, text["d"]), (None, text["d"]), (None, None), (None, None), (3, ""), (3, " \n")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{n % 2}", 0) for n, (i, t) in enumerate(rows)], SCHEMA).repartition(3)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert Counter(1 << 62 if r.doc_id is None else r.doc_id for r in got) == brute_kept(rows) == {1: 1, 7: 1, 9: 1, 3: 2, 1 << 62: 3}
+    assert [r.text for r in got if r.doc_id == 7] == [text["b"]]
+
+
+def test_run_keeps_one_row_of_each_class(spark, sf, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    some = docs.where("doc_id % 4 = 0")
+    no_id = some.withColumn("doc_id", F.lit(None).cast("long"))
+    shared = docs.where("doc_id % 4 = 1").withColumn("doc_id", F.lit(0).cast("long"))
+    docs.unionByName(some).unionByName(no_id).unionByName(no_id).unionByName(shared).write.parquet(f"{tmp_path}/in/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "shared_folder", lambda spark: f"{tmp_path}/out")
+    done = corpus_pipeline.run(spark, f"{tmp_path}/in").collect()
+    stage = {name: [(r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_path}/out/{name}").collect()] for name in ("quality_rules", "jaccard_join")}
+    assert Counter(1 << 62 if i is None else i for i, _ in stage["jaccard_join"]) == brute_kept(stage["quality_rules"])
+    assert done and {r.doc_id for r in done} <= {i for i, _ in stage["jaccard_join"]}
