@@ -1,6 +1,7 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass finds anchors: at-signs, plus-digit pairs, digits, URL schemes and identifier cues. A local
+One Aho-Corasick pass finds anchors: at-signs, plus-digit pairs, digits, URL schemes and identifier cues, these last two
+in any mix of upper and lower case. A local
 parser then grows each anchor to both sides, checks the candidate (domain labels, address parts, Luhn, digit counts,
 IBAN remainder) and gives its boundaries. Texts without an anchor cost one pass of the automaton.
 
@@ -146,11 +147,16 @@ def parse_account(text: str, at: int) -> Span | None:
     return None
 
 
+def lowered(text: str) -> str:
+    """The text with A-Z in lower case and all else as it is, so that offsets stay."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def find_spans(text: str, automaton: ahocorasick.Automaton) -> list[Span]:
     """All spans of a text by start, then kind as listed."""
     spans: list[Span] = []
     done = dict.fromkeys(KINDS, 0)  # where each kind's scan stands
-    for last, (kind, size) in automaton.iter(text):
+    for last, (kind, size) in automaton.iter(lowered(text)):
         at = last - size + 1
         if kind == "at":
             if at >= done["email"] and (span := parse_email(text, at, done["email"])):

@@ -151,3 +151,13 @@ def test_pieces_round_trip(spark):
     texts = [(None,), ("",), ("Hello  world\n",), ("é漢字\U0001f600 x",), (" a" * 3_000,), ("x" * 3_000,)]
     rows = spark.createDataFrame(texts, "text string").select("text", pieces.encoded("text", vocabulary).alias("e")).select("text", "e.whole", pieces.decoded("e.ids", vocabulary).alias("back")).collect()
     assert all(r.whole and r.back == (r.text or "") for r in rows)
+
+
+def test_cues_in_any_case():
+    text = 'É K IBAN DE89 3704 0044 0532 0130 00; Password: hunter2hunter2 API_KEY=abcdEFGH1234 TOKEN = "24be64439e3e49cf" see HTTPS://X.org/A?b=1'
+    spans = pii.find_spans(text, pii._automaton())
+    assert [(text[a:b], k) for a, b, k in spans if k in pii.EXTRA_KINDS] == [
+        ("DE89 3704 0044 0532 0130 00", "account"), ("hunter2hunter2", "secret"), ("abcdEFGH1234", "secret"), ("24be64439e3e49cf", "secret"), ("HTTPS://X.org/A?b=1", "url"),
+    ]
+    assert pii.redact("Password: hunter2hunter2", pii.find_spans("Password: hunter2hunter2", pii._automaton())) == "Password: [SECRET]"
+    assert pii.lowered("İ\u212aÀ\ud800Z") == "İ\u212aÀ\ud800z"
