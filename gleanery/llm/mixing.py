@@ -11,7 +11,8 @@ Only built-in functions are used. Positions come from two-level sums (bucket tot
 task holds a whole source, and slot ranks are found within shards.
 
 Targets: sources sorted by code point, null last, weigh as given, in turn. They share the words of all documents; a
-target stops at `most` times the source's words, and the excess goes to the others by weight until none is above.
+target stops at `most` times the source's words, and the excess goes to the others by weight until none is above. A
+source with a positive target takes one block at least.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null source is a source of its own; repeated
 rows are documents of their own; an empty table gives an empty result; reruns over equal rows agree, except that of
@@ -66,9 +67,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: f
     settled = F.min_by("level", F.when(fits, F.col("_at"))).over(everything)
     filled = filled.withColumn("_at", F.row_number().over(full))
     out = filled.withColumn("level", F.coalesce(settled, F.lit(0.0))).withColumn("target", F.least(F.col("cap"), F.col("level") * F.col("weight")))
-    return out.select(
-        "_s", "rank", "weight", "source_size", "target", F.ceil(F.col("source_size") / block).cast("long").alias("n_blocks"), F.floor(F.col("target") / block).cast("long").alias("quota")
-    )
+    out = out.withColumn("n_blocks", F.ceil(F.col("source_size") / block).cast("long"))
+    # Whole passes count by the words they hold, since the last block of a source may be short; the rest by full blocks.
+    passes = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).cast("long")
+    quota = passes * F.col("n_blocks") + F.floor((F.col("target") - passes * F.col("source_size")) / block).cast("long")
+    quota = F.when(F.col("target") > 0, F.greatest(quota, F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long"))
+    return out.select("_s", "rank", "weight", "source_size", "target", "n_blocks", quota.alias("quota"))
 
 
 def block_pieces(docs: DataFrame, n_docs: int, block: int = BLOCK) -> DataFrame:
@@ -161,14 +165,18 @@ def covered_blocks(block: int = BLOCK) -> Column:
 
 
 def taken_words(placed: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
-    """placed with `taken`, the words of each document that the slots take, repeats counted."""
+    """placed with `taken`, the words of each document that the slots take, repeats counted.
+
+    Rows with words differ in (_s, start); rows without words may be equal in every column and get a number of their own.
+    """
     times = slots.groupBy("_s", "block").agg(F.count("*").alias("times"))
-    keyed = placed.withColumn("_b", F.explode_outer(covered_blocks(block)))
+    numbered = placed.withColumn("_n", F.when(F.col("size") == 0, F.monotonically_increasing_id()))
+    keyed = numbered.withColumn("_b", F.explode_outer(covered_blocks(block)))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("_b") + 1) * block) - F.greatest(F.col("start"), F.col("_b") * block)
     met = keyed.join(times, (keyed["_s"] == times["_s"]) & (keyed["_b"] == times["block"]), "left").select(
-        *[keyed[c] for c in placed.columns], F.coalesce(overlap * F.col("times"), F.lit(0)).alias("_w")
+        *[keyed[c] for c in numbered.columns], F.coalesce(overlap * F.col("times"), F.lit(0)).alias("_w")
     )
-    return met.groupBy(*placed.columns).agg(F.sum("_w").cast("long").alias("taken"))
+    return met.groupBy(*numbered.columns).agg(F.sum("_w").cast("long").alias("taken")).drop("_n")
 
 
 def mixed_pieces(docs: DataFrame, block: int, seed: int = 1) -> DataFrame:

@@ -259,3 +259,19 @@ def test_run_keeps_one_row_of_each_class(spark, sf, tmp_path, monkeypatch):
     stage = {name: [(r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_path}/out/{name}").collect()] for name in ("quality_rules", "jaccard_join")}
     assert Counter(1 << 62 if i is None else i for i, _ in stage["jaccard_join"]) == brute_kept(stage["quality_rules"])
     assert done and {r.doc_id for r in done} <= {i for i, _ in stage["jaccard_join"]}
+
+
+def test_mix_keeps_repeated_empty_rows(spark):
+    rows = [(1, "", "en", "s", 0)] * 3 + [(None, None, "en", "s", 0)] * 2 + [(2, "a b c", "en", "s", 0)] * 2
+    placed, slots, _ = mixing.mix(spark.createDataFrame(rows, SCHEMA).repartition(3), block=8)
+    got = mixing.taken_words(placed.select("doc_id", "_t", "_s", "size", "start", "source_size", "target"), slots, 8).collect()
+    assert Counter((r.doc_id, r["size"]) for r in got) == {(1, 0): 3, (None, 0): 2, (2, 3): 2}
+
+
+def test_small_sources_meet_their_targets(spark):
+    rows = [(1, " ".join(f"a{i}" for i in range(10)), "en", "a", 0), (2, " ".join(f"b{i}" for i in range(4_000)), "en", "b", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    placed, slots, _ = mixing.mix(docs, block=64)
+    got = {r.doc_id: r for r in mixing.taken_words(placed.select("doc_id", "_t", "_s", "size", "start", "source_size", "target"), slots, 64).collect()}
+    assert got[1].target == got[1].taken == 30 and abs(got[2].taken - got[2].target) < 64
+    assert {r.doc_id for r in mixing.mixed_pieces(docs, 512).collect()} == {1, 2}
