@@ -110,17 +110,21 @@ def evaluate(postfix: list[str]) -> list[frozenset[str]]:
     return stack[0]
 
 
-#: Expressions with more operators than this are not evaluated: their choices may grow exponentially. They keep their identifiers as labels.
-MOST_OPERATORS = 12
+def expression_labels(postfix: list[str]) -> set[str]:
+    """The licences of all choices together, without listing the choices: and, or join two sets, with names their pairs."""
+    stack: list[set[str]] = []
+    for token in postfix:
+        if token not in PRECEDENCE:
+            stack.append({token})
+            continue
+        right, left = stack.pop(), stack.pop()
+        stack.append({f"{x}-with-{y}" for x in left for y in right} if token == "with" else left | right)
+    return stack[0]
 
 
 def tag_labels(line: str) -> set[str]:
     postfix = parse_expression(line)
-    if postfix is None:
-        return {"unparsed"}
-    if sum(t in PRECEDENCE for t in postfix) > MOST_OPERATORS:
-        return {t for t in postfix if t not in PRECEDENCE}
-    return set().union(*evaluate(postfix))
+    return {"unparsed"} if postfix is None else expression_labels(postfix)
 
 
 def scan(text: str | None, automaton: ahocorasick.Automaton, phrases: dict[str, str]) -> tuple:

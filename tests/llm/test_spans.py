@@ -161,3 +161,10 @@ def test_cues_in_any_case():
     ]
     assert pii.redact("Password: hunter2hunter2", pii.find_spans("Password: hunter2hunter2", pii._automaton())) == "Password: [SECRET]"
     assert pii.lowered("İ\u212aÀ\ud800Z") == "İ\u212aÀ\ud800z"
+
+
+def test_long_expressions_are_evaluated():
+    line = " AND ".join(f"(L{i} OR M{i})" for i in range(40)) + " AND GPL-2.0-only WITH Classpath-exception-2.0"
+    assert licenses.tag_labels(line) == {f"{x}{i}" for i in range(40) for x in "lm"} | {"gpl-2.0-only-with-classpath-exception-2.0"}
+    short = "(A OR B AND C) WITH X OR D"
+    assert licenses.tag_labels(short) == set().union(*licenses.evaluate(licenses.parse_expression(short)))
