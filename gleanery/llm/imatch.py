@@ -5,8 +5,9 @@ for each of several randomised lexicon subsets. A subset is a class of a hash pa
 16 to 1024 classes (16 of them used) give subsets that suit short and long texts. The likeness of two fingerprints is the share of
 equal components among those that are not empty in both.
 
-The lexicon lives in a hashed space of 2^20 buckets: a bucket's document frequency is counted over all documents, and
-the band is a bitmap of 128 KB whatever the corpus, which is broadcast. Terms that share a bucket share its band.
+The lexicon is exact: document frequency is counted for each term (a 64-bit hash) over all documents, and only terms in
+the band are kept. The least share bounds their number by the average number of distinct words of a document divided by
+it, whatever the vocabulary. They lie in a table of short lists by bucket, in which a term is looked up by its full hash.
 
 Only built-in functions are used.
 
@@ -23,7 +24,8 @@ from pyspark.sql.window import Window
 
 from gleanery.llm.common import let, settle, table, words
 
-BUCKETS = 1 << 20
+#: Terms of the band in a list of the lexicon, about.
+PER_LIST = 4
 CLASSES = 16
 PARTITIONS = (16, 64, 256, 1024)
 LEAST_SHARE, MOST_SHARE = 0.0002, 0.05
@@ -34,26 +36,27 @@ def term_hashes(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(words(F.lower(text)), lambda w: F.xxhash64(w))))
 
 
-def _bucket(h: Column) -> Column:
-    return F.pmod(h, F.lit(BUCKETS))
+def band(texts: DataFrame, text_col: str = "text", least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
+    """(h): the terms whose share of documents lies in the band."""
+    n = texts.count()
+    seen = texts.select(F.explode(term_hashes(F.col(text_col))).alias("h"))
+    found = seen.groupBy("h").count().where((F.col("count") >= max(2.0, least * n)) & (F.col("count") <= max(2.0, most * n)))
+    return settle(found.select("h"))
 
 
 def lexicon(texts: DataFrame, text_col: str = "text", least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
-    """One row with `_bits`: bit b mod 64 of number b div 64 says that bucket b lies in the band of document shares."""
-    n = texts.count()
-    seen = texts.select(F.explode(F.array_distinct(F.transform(words(F.lower(text_col)), lambda w: _bucket(F.xxhash64(w))))).alias("b"))
-    band = seen.groupBy("b").count().where((F.col("count") >= max(2.0, least * n)) & (F.col("count") <= max(2.0, most * n)))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("b", F.lit(64)).cast("int"))
-    filled = band.select(F.floor(F.col("b") / 64).cast("long").alias("at"), one.alias("bit"))
-    every = texts.sparkSession.range(BUCKETS // 64).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("bit"))
-    numbers = filled.unionByName(every).groupBy("at").agg(F.bit_or("bit").alias("bit"))
-    row = numbers.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "bit"))), lambda x: x["bit"]).alias("_bits"))  # of 2^14 numbers
-    return settle(row.select(F.lit(0).cast("long").alias("_one"), "_bits"))
+    """One row with `_lists`: at place h mod its size, the terms h of the band; about PER_LIST in each list."""
+    terms = band(texts, text_col, least, most)
+    size = 1 << max(0, (terms.count() // PER_LIST).bit_length())
+    lists = terms.groupBy(F.pmod("h", F.lit(size)).alias("at")).agg(F.collect_list("h").alias("list"))
+    every = texts.sparkSession.range(size).select(F.col("id").alias("at")).join(lists, "at", "left")
+    whole = F.collect_list(F.struct("at", F.coalesce("list", F.array().cast("array<bigint>")).alias("list")))
+    return settle(every.agg(F.transform(F.array_sort(whole), lambda x: x["list"]).alias("_lists")))
 
 
-def _components(terms: Column, bits: Column) -> Column:
+def _components(terms: Column, lists: Column) -> Column:
     """The hash of the kept terms, then of each subset of them; null where a subset is empty."""
-    in_band = lambda h: F.getbit(F.get(bits, F.floor(_bucket(h) / 64).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1
+    in_band = lambda h: F.array_contains(F.get(lists, F.pmod(h, F.size(lists)).cast("int")), h)
     digest = lambda x: F.when(F.size(x) > 0, F.hash(x))
 
     def partition(kept: Column, k: int, classes: int) -> Column:
@@ -68,11 +71,12 @@ def _components(terms: Column, bits: Column) -> Column:
     return let(F.filter(terms, in_band), subsets)
 
 
-def with_components(df: DataFrame, text_col: str, out: str, bits: DataFrame) -> DataFrame:
-    """df plus the array of components of a text column. The lexicon's one row meets every row by a key that is always 0."""
-    keyed = df.withColumn("_terms", term_hashes(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_one", F.pmod(F.size("_terms").cast("long"), F.lit(1)))
-    joined = keyed.join(F.broadcast(bits), "_one")  # 128 KB
-    return joined.withColumn(out, let(F.col("_terms"), lambda t: _components(t, F.col("_bits")))).drop("_terms", "_bits", "_one")
+def with_components(df: DataFrame, text_col: str, out: str, lists: DataFrame) -> DataFrame:
+    """df plus the array of components of a text column. The lexicon's one row is a scalar, which the optimizer puts into the
+    expression that reads it (once, through a struct), so that it is not copied into every row."""
+    terms = term_hashes(F.coalesce(F.col(text_col), F.lit("")))
+    made = let(F.struct(terms.alias("t"), F.col("_lists").alias("l")), lambda x: _components(x["t"], x["l"]))
+    return df.withColumn("_lists", lists.scalar()).select(*[F.col(c) for c in df.columns], made.alias(out))
 
 
 def fingerprint(components: Column) -> Column:
@@ -108,8 +112,8 @@ def in_order(rows: DataFrame, buckets: int) -> DataFrame:
 def edited_fingerprints(docs: DataFrame, docs_per_bucket: int = 512, most_buckets: int = 4_096) -> DataFrame:
     """Fingerprints of each document and of its edited text, whose second half is the start of the next document."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    bits = lexicon(texts)
-    own = with_components(texts, "text", "c", bits)
+    lists = lexicon(texts)
+    own = with_components(texts, "text", "c", lists)
     n = texts.count()
     ordered = in_order(own, max(1, min(most_buckets, n // docs_per_bucket)))
     down = Window.partitionBy("_p").orderBy("_guest", F.desc("_k"), "th")
@@ -117,7 +121,7 @@ def edited_fingerprints(docs: DataFrame, docs_per_bucket: int = 512, most_bucket
     size = F.length("text")
     half = F.floor(size / 2).cast("int")
     text = F.concat(F.substring(F.col("text"), F.lit(1), size - half), F.substring(F.col("next_text"), F.lit(1), half))
-    done = with_components(led.select("doc_id", size.cast("long").alias("n_chars"), "c", "next_c", text.alias("edited")), "edited", "e", bits)
+    done = with_components(led.select("doc_id", size.cast("long").alias("n_chars"), "c", "next_c", text.alias("edited")), "edited", "e", lists)
     return done.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("c")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"),
         likeness(F.col("c"), F.col("e")).alias("near_edited"), likeness(F.col("c"), F.col("next_c")).alias("near_next"),

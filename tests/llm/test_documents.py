@@ -275,3 +275,24 @@ def test_small_sources_meet_their_targets(spark):
     got = {r.doc_id: r for r in mixing.taken_words(placed.select("doc_id", "_t", "_s", "size", "start", "source_size", "target"), slots, 64).collect()}
     assert got[1].target == got[1].taken == 30 and abs(got[2].taken - got[2].target) < 64
     assert {r.doc_id for r in mixing.mixed_pieces(docs, 512).collect()} == {1, 2}
+
+
+def test_band_counts_terms_one_by_one(spark):
+    rare = [f"rare{i}" for i in range(3_000)]
+    texts = [" ".join(rare[i * 50 : i * 50 + 50] + [f"pair{i // 2}", "every"]) for i in range(60)]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    pairs = spark.createDataFrame([(f"pair{i}",) for i in range(30)], "w string").select(F.xxhash64("w"))
+    expected = {r[0] for r in pairs.collect()}
+    assert {r.h for r in imatch.band(made).collect()} == expected
+    lists = imatch.lexicon(made)
+    assert sorted(h for x in lists.first()[0] for h in x) == sorted(expected)
+    kept = imatch.with_components(made, "text", "c", lists).select(F.get("c", F.lit(0)).alias("c"), F.hash(F.array(F.xxhash64(F.concat(F.lit("pair"), F.floor(F.col("doc_id") / 2).cast("string"))))).alias("e"))
+    assert all(r.c == r.e for r in kept.collect())
+
+
+def test_colliding_terms_stay_apart(spark):
+    sizes = spark.range(3_000_000).select(F.concat(F.lit("t"), "id").alias("w")).withColumn("b", F.pmod(F.xxhash64("w"), F.lit(1 << 20)))
+    a, b = sizes.where(F.col("b") == sizes.where("w = 't0'").first().b).limit(2).collect()
+    made = spark.createDataFrame([(1, f"{a.w} x1"), (2, f"{b.w} x2"), (3, "x3")], "doc_id long, text string")
+    assert imatch.band(made).count() == 0
+    assert not imatch.lexicon(made).first()[0][0]
