@@ -4,12 +4,15 @@ The lattice of a text has an edge for each piece that matches somewhere, and a b
 A forward Viterbi pass gives the best score up to each place; these scores are exact heuristics for a backward A-star
 search, which pops whole segmentations from best to worst. Pieces never run over a place where a new run of spaces or
 line ends begins, so a text's lattice falls apart into units: each unit is searched by itself (units met before are
-remembered in a bounded table), and the units' N best lists merge to the text's.
+remembered in a bounded table), and the units' N best lists merge to the text's: N whole lists of ids, each of which is
+decoded and compared with the text.
 
 The scores are those stored in the model. Normalisation is the model's: spaces become U+2581, and one is put in front.
 
 Defined cases: a null or empty text has no pieces and score 0; U+2581 in a text decodes as a space, as it does in
-SentencePiece; very long texts are read whole; ties are broken by the smaller ids from the end; other columns are kept.
+SentencePiece, so that such a text does not come back; very long texts are read whole; of segmentations with equal scores
+those with the smaller ids from the end come first, at all lengths (scores that are whole numbers, as the model's, are
+summed exactly); other columns are kept.
 """
 
 from __future__ import annotations
@@ -121,49 +124,45 @@ class Lattice:
         while heap and len(found) < most:
             cost, path, at, behind = pop(heap)
             if at == 0:
-                found.append((-cost, path))
+                found.append((-cost, path[::-1]))
                 continue
             bound = whole[most - 1] if len(whole) >= most else np.inf
             for i, score, ids in into[at]:
                 cost = -(best[i] + score + behind)
                 if cost <= bound:
-                    push(heap, (cost, ids + path, i, score + behind))
+                    push(heap, (cost, path + ids[::-1], i, score + behind))
                     if i == 0:
                         whole.append(cost)
                         whole.sort()
         return found
 
     def look_up(self, unit: str) -> tuple:
-        """(score, ids as bytes, score losses of the next best, whether they decode to the unit)."""
+        """(score, ids as bytes, score losses of the next best, their ids as bytes)."""
         found = self.known.get(unit)
         if found is None:
             ranked = self.search(unit) if len(unit) <= 200 else self.long_search(unit)
-            best, ids = ranked[0]
-            found = (best, array("i", ids).tobytes(), tuple([best - s for s, _ in ranked[1:]]), self.spell(ids) == unit)
+            best = ranked[0][0]
+            ids = [array("i", x).tobytes() for _, x in ranked]
+            found = (best, ids[0], tuple([best - s for s, _ in ranked[1:]]), tuple(ids[1:]))
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             self.known[unit] = found
         return found
 
     def long_search(self, unit: str) -> list[tuple[float, tuple[int, ...]]]:
-        """As search, with paths as linked lists: linear memory for units of any length."""
+        """As search, by the n_best ways to each place with links to the place before: linear memory for units of any length."""
         into = self.edges(unit)
-        best = [0.0] + [-np.inf] * len(unit)
+        kept: list[list[tuple]] = [[(0.0, None, ())]]  # (cost, (place, rank) before, ids of the last edge)
         for j in range(1, len(unit) + 1):
-            best[j] = max((best[i] + score for i, score, _ in into[j]), default=-np.inf)
-        heap, found, turn = [(-best[-1], 0, len(unit), 0.0, None)], [], 0
-        while heap and len(found) < self.n_best:
-            cost, _, at, behind, path = heapq.heappop(heap)
-            if at == 0:
-                ids: list[int] = []
-                while path:
-                    ids += path[0]
-                    path = path[1]
-                found.append((-cost, tuple(ids)))
-                continue
-            for i, score, ids_ in into[at]:
-                turn -= 1  # the newest first among equals, so that the search runs straight on
-                heapq.heappush(heap, (-(best[i] + score + behind), turn, i, score + behind, (ids_, path)))
+            ways = ((cost - score, ids[::-1], rank, i) for i, score, ids in into[j] for rank, (cost, _, _) in enumerate(kept[i]))
+            kept.append([(cost, (i, rank), back[::-1]) for cost, back, rank, i in heapq.nsmallest(self.n_best, ways)])
+        found = []
+        for cost, before, ids in kept[-1]:
+            parts = [ids]
+            while before != (0, 0):
+                _, before, ids = kept[before[0]][before[1]]
+                parts.append(ids)
+            found.append((-cost, tuple(itertools.chain.from_iterable(reversed(parts)))))
         return found
 
     def spell(self, ids: tuple[int, ...]) -> str:
@@ -178,14 +177,46 @@ class Lattice:
     def decode(self, ids: tuple[int, ...] | list[int]) -> str:
         return self.spell(tuple(ids)).replace(SPACE, " ")[1:]
 
-    def encode(self, text: str | None) -> tuple[bytes, list[float], bool]:
-        """(ids of the best segmentation as 32-bit numbers, scores of the N best, whether the pieces decode to the text)."""
+    def segment(self, text: str | None) -> tuple[list[bytes], list[float], bool]:
+        """(ids of the N best segmentations as 32-bit numbers, their scores, whether each decodes to the text)."""
         if not text:
-            return b"", [0.0], True
+            return [b""], [0.0], True
         known, look_up = self.known, self.look_up
         units = [known.get(u) or look_up(u) for u in self.cutter.findall(SPACE + text.replace(" ", SPACE))]
         best = sum([u[0] for u in units])
-        return b"".join([u[1] for u in units]), merged(best, [u[2] for u in units], self.n_best), all([u[3] for u in units])
+        first, lists, scores = [u[1] for u in units], [], []
+        for loss, chosen in choices(units, self.n_best):
+            parts = first.copy() if chosen else first
+            while chosen:
+                at, rank, chosen = chosen
+                parts[at] = units[at][3][rank - 1]
+            lists.append(b"".join(parts))
+            scores.append(best - loss)
+        return lists, scores, all([self.decode(array("i", x)) == text for x in lists])
+
+    def encode(self, text: str | None) -> tuple[bytes, list[float], bool]:
+        """(ids of the best segmentation as 32-bit numbers, scores of the N best, whether all N decode to the text)."""
+        lists, scores, whole = self.segment(text)
+        return lists[0], scores, whole
+
+
+def choices(units: list[tuple], n_best: int) -> list[tuple[float, tuple | None]]:
+    """The N best texts of units as look_up gives them: (loss, choice); a choice is (unit, rank, choice before it) or None.
+
+    Only units with a loss within the N-th best sum take part. They are gone through from the front, with the N best choices
+    kept and ties broken as in search.
+    """
+    sums = merged(0.0, [u[2] for u in units], n_best)
+    bound = -sums[-1] if len(sums) == n_best else np.inf
+    bound += 1e-9 * max(1.0, bound)
+    kept: list[tuple[float, tuple | None]] = [(0.0, None)]
+    for at, u in enumerate(units):
+        if u[2] and u[2][0] <= bound:
+            ends = [(0.0, array("i", u[1]).tolist()[::-1], 0)]
+            ends += [(loss, array("i", ids).tolist()[::-1], k) for k, (loss, ids) in enumerate(zip(u[2], u[3]), 1) if loss <= bound]
+            ways = [(before + loss, back, r, k) for r, (before, _) in enumerate(kept) for loss, back, k in ends]
+            kept = [(loss, (at, k, kept[r][1]) if k else kept[r][1]) for loss, _, r, k in heapq.nsmallest(n_best, ways)]
+    return kept
 
 
 def merged(best: float, losses: list[tuple[float, ...]], n_best: int) -> list[float]:
@@ -216,14 +247,16 @@ def lattice(vocabulary: Vocabulary, n_best: int) -> Lattice:
 
 
 def encoded(text: Column | str, vocabulary: Vocabulary, n_best: int = N_BEST) -> Column:
-    """A struct (ids, scores, whole): the best segmentation, the scores of the N best, whether decoding gives the text."""
+    """A struct (ids, scores, whole, ranked): the best segmentation, the scores of the N best, whether each of these decodes to
+    the text, and the N best segmentations."""
 
-    @pandas_udf("ids array<int>, scores array<double>, whole boolean")
+    @pandas_udf("ids array<int>, scores array<double>, whole boolean, ranked array<array<int>>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         found = lattice(vocabulary, n_best)
         for texts in batches:
-            rows = [found.encode(t) for t in texts]
-            yield pd.DataFrame({"ids": [np.frombuffer(r[0], np.int32) for r in rows], "scores": [r[1] for r in rows], "whole": [r[2] for r in rows]})
+            rows = [found.segment(t) for t in texts]
+            ranked = [[np.frombuffer(x, np.int32) for x in r[0]] for r in rows]
+            yield pd.DataFrame({"ids": [x[0] for x in ranked], "scores": [r[1] for r in rows], "whole": [r[2] for r in rows], "ranked": ranked})
 
     return encode(text)
 
@@ -246,4 +279,5 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> D
     return found.select(
         "doc_id", F.size("e.ids").cast("long").alias("n_pieces"), F.get("e.scores", F.lit(0)).alias("best_score"), F.get("e.scores", F.lit(1)).alias("second_score"),
         F.size("e.scores").alias("n_best"), F.sha2(F.array_join("e.ids", ",").cast("binary"), 256).alias("ids_sha256"), F.col("e.whole").alias("round_trip"),
+        F.transform("e.ranked", lambda x: F.sha2(F.array_join(x, ",").cast("binary"), 256)).alias("ranked_sha256"),
     )

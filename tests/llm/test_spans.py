@@ -168,3 +168,30 @@ def test_long_expressions_are_evaluated():
     assert licenses.tag_labels(line) == {f"{x}{i}" for i in range(40) for x in "lm"} | {"gpl-2.0-only-with-classpath-exception-2.0"}
     short = "(A OR B AND C) WITH X OR D"
     assert licenses.tag_labels(short) == set().union(*licenses.evaluate(licenses.parse_expression(short)))
+
+
+def test_all_n_best_are_kept_under_one_tie_rule(small):
+    random.seed(8)
+    ties = pieces.Vocabulary(small.pieces, tuple([0.0] * 256 + [-2.0, -1.0, -1.0, -2.0, -2.0, -3.0, -4.0, -3.0, -1.0]), 0, small.special)
+    for vocabulary in (small, ties):
+        lattice = pieces.Lattice(vocabulary, 4)
+        for _ in range(300):
+            text = "".join(random.choices("ab ,é", k=random.randint(1, 12)))
+            unit = "▁" + text.replace(" ", "▁")
+            into = lattice.edges(unit)
+
+            def paths(end, into=into):
+                return [(0.0, ())] if end == 0 else [(c - score, ids + more) for i, score, more in into[end] for c, ids in paths(i)]
+
+            expected = [(-c, ids) for c, ids in sorted(paths(len(unit)), key=lambda x: (x[0], x[1][::-1]))[:4]]
+            lists, scores, whole = lattice.segment(text)
+            merged = [(s, tuple(np.frombuffer(x, np.int32).tolist())) for s, x in zip(scores, lists)]
+            assert lattice.search(unit) == lattice.long_search(unit) == merged == expected and whole
+
+
+def test_round_trip_of_whole_lists(spark):
+    vocabulary = pieces.load_vocabulary()
+    rows = spark.createDataFrame([("Hello  world, again\n",), ("a▁b",), ("",)], "text string").select("text", pieces.encoded("text", vocabulary).alias("e")).collect()
+    assert [r.e.whole for r in rows] == [True, False, True] and len(rows[0].e.ranked) == pieces.N_BEST == len({tuple(x) for x in rows[0].e.ranked})
+    lattice = pieces.Lattice(vocabulary)
+    assert all(lattice.decode(x) == rows[0].text for x in rows[0].e.ranked) and rows[0].e.ranked[0] == rows[0].e.ids
