@@ -1,9 +1,10 @@
-"""N-gram Jaccard join with a MinHash LSH forest.
+"""N-gram Jaccard join with banded MinHash.
 
 A document's set is the set of its five-word shingles. Documents with equal sets form one class, told by a hash of the
-set; one of them stands for the class. Each class gets TREES MinHash labels of up to DEPTH values, and in each tree the
-classes are sorted by label: those that share a prefix are candidates. The matched prefix is shortened from DEPTH on
-until a pair at the threshold is found in some tree with the target probability.
+set; one of them stands for the class. Each class gets TREES bands of prefix_length() MinHash values; classes with an equal
+band are candidates. The length is the longest, from DEPTH down, at which a pair at the threshold shares some band with the
+target probability. It follows from the constants alone: no labels of DEPTH values are sorted, and nothing is shortened
+from what the data show, as an LSH forest would.
 
 Buckets are never expanded into pairs. In each bucket every member is compared with the bucket's first member, so that
 copies gather in components by verified links; then members of one bucket that lie in different components are compared
