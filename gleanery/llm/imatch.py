@@ -1,9 +1,11 @@
 """Document fingerprints by I-Match.
 
-Terms whose inverse document frequency lies in a band are kept, sorted and hashed, once for the whole lexicon and once
-for each of several randomised lexicon subsets. A subset is a class of a hash partition of the lexicon; partitions of
-16 to 1024 classes (16 of them used) give subsets that suit short and long texts. The likeness of two fingerprints is the share of
-equal components among those that are not empty in both.
+Terms whose inverse document frequency lies in a band are kept, sorted and hashed (64 bits): once for the whole lexicon,
+once for each of LEFT_OUT lexicons that leave out a random part of it, and once for each of several small random
+subsets of it. Subsets of one scale are drawn by bits of the term's hash that no other scale uses, so subsets of different
+scales overlap at random. The lexicons that leave out an eighth survive small edits; the small subsets, of 1/8 to 1/2048
+of the lexicon, tell how much of a short or a long text an edit has left. The likeness of two fingerprints is the share
+of equal components among those that are not empty in either.
 
 The lexicon is exact: document frequency is counted for each term (a 64-bit hash) over all documents, and only terms in
 the band are kept. The least share bounds their number by the average number of distinct words of a document divided by
@@ -13,7 +15,8 @@ Only built-in functions are used.
 
 Defined cases: null and empty texts have no terms, and equal fingerprints; a text without a term in the band is
 fingerprinted by all its terms; documents follow each other by falling doc_id (null last), then by a hash of the text;
-the last is followed by the first, a single one by itself; other columns are kept out of the result.
+the last is followed by the first, a single one by itself; repeated rows follow each other; an empty table gives an
+empty result; other columns are kept out of the result.
 """
 
 from __future__ import annotations
@@ -26,14 +29,17 @@ from gleanery.llm.common import let, settle, table, words
 
 #: Terms of the band in a list of the lexicon, about.
 PER_LIST = 4
-CLASSES = 16
-PARTITIONS = (16, 64, 256, 1024)
+#: Lexicons that leave out one class of as many, and subsets used of each scale; (first bit, bits) of the hash for each.
+LEFT_OUT = CLASSES = 8
+LEFT_OUT_BITS, SCALES = (8, 3), ((11, 3), (14, 5), (19, 7), (26, 9), (35, 11))
 LEAST_SHARE, MOST_SHARE = 0.0002, 0.05
+#: Bounds of id ranges in a group; a row is placed by the groups' first bounds, then within its group.
+GROUP = 128
 
 
 def term_hashes(text: Column) -> Column:
     """Hashes of the distinct lower-cased words of a text, in order of the hash."""
-    return F.array_sort(F.array_distinct(F.transform(words(F.lower(text)), lambda w: F.xxhash64(w))))
+    return F.sort_array(F.array_distinct(F.transform(words(F.lower(text)), lambda w: F.xxhash64(w))))
 
 
 def band(texts: DataFrame, text_col: str = "text", least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
@@ -54,19 +60,25 @@ def lexicon(texts: DataFrame, text_col: str = "text", least: float = LEAST_SHARE
     return settle(every.agg(F.transform(F.array_sort(whole), lambda x: x["list"]).alias("_lists")))
 
 
+def _class(h: Column, bits: tuple[int, int]) -> Column:
+    """The class of a term by some bits of its hash."""
+    return F.shiftrightunsigned(h, bits[0]).bitwiseAND(F.lit((1 << bits[1]) - 1))
+
+
 def _components(terms: Column, lists: Column) -> Column:
-    """The hash of the kept terms, then of each subset of them; null where a subset is empty."""
+    """The hash of the kept terms, then of each lexicon without a part, then of each subset; null where one is empty."""
     in_band = lambda h: F.array_contains(F.get(lists, F.pmod(h, F.size(lists)).cast("int")), h)
-    digest = lambda x: F.when(F.size(x) > 0, F.hash(x))
+    digest = lambda x: F.when(F.size(x) > 0, F.xxhash64(x))
+    numbers = F.sequence(F.lit(0), F.lit(CLASSES - 1)).cast("array<bigint>")
 
-    def partition(kept: Column, k: int, classes: int) -> Column:
-        of = lambda h: F.pmod(F.xxhash64(h, F.lit(k)), F.lit(classes))
-        numbers = F.sequence(F.lit(0), F.lit(CLASSES - 1))
-        return let(F.filter(kept, lambda h: of(h) < CLASSES), lambda x: F.transform(numbers, lambda c: digest(F.filter(x, lambda h: of(h) == c))))
+    def scale(kept: Column, bits: tuple[int, int]) -> Column:
+        few = F.filter(kept, lambda h: _class(h, bits) < CLASSES)
+        return let(few, lambda x: F.transform(numbers, lambda c: digest(F.filter(x, lambda h: _class(h, bits) == c))))
 
     def subsets(kept: Column) -> Column:
-        whole = F.array(F.when(F.size(kept) > 0, F.hash(kept)).otherwise(F.hash(terms, F.lit("all"))))
-        return F.concat(whole, *[partition(kept, k, classes) for k, classes in enumerate(PARTITIONS)])
+        whole = F.array(F.when(F.size(kept) > 0, F.xxhash64(kept)).otherwise(F.xxhash64(terms, F.lit("all"))))
+        without = F.transform(numbers, lambda c: digest(F.filter(kept, lambda h: _class(h, LEFT_OUT_BITS) != c)))
+        return F.concat(whole, without, *[scale(kept, bits) for bits in SCALES])
 
     return let(F.filter(terms, in_band), subsets)
 
@@ -80,42 +92,55 @@ def with_components(df: DataFrame, text_col: str, out: str, lists: DataFrame) ->
 
 
 def fingerprint(components: Column) -> Column:
-    return F.array_join(F.transform(components, lambda c: F.coalesce(F.lower(F.hex(F.pmod(c.cast("long"), F.lit(1 << 32)))), F.lit("-"))), ".")
+    return F.array_join(F.transform(components, lambda c: F.coalesce(F.lower(F.hex(c)), F.lit("-"))), ".")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal components among those that are not empty in both."""
+    """Share of equal components among those that are not empty in either."""
     pairs = F.filter(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p: p["x"].isNotNull() | p["y"].isNotNull())
     return let(pairs, lambda z: F.size(F.filter(z, lambda p: F.coalesce(p["x"] == p["y"], F.lit(False)))) / F.greatest(F.size(z), F.lit(1)))
 
 
-def in_order(rows: DataFrame, buckets: int) -> DataFrame:
+def range_starts(ids: DataFrame, buckets: int) -> list[int]:
+    """Falling ids that begin about `buckets` ranges of as many rows, from a table of `doc_id`; nulls count as the least number.
+
+    At most `buckets` numbers come to the driver, found in one pass over the ids alone.
+    """
+    k = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    shares = F.percentile_approx(k, [i / buckets for i in range(1, buckets)] or [0.5], 10 * buckets) if buckets > 1 else F.array().cast("array<bigint>")
+    found, most = ids.agg(shares, F.max(k)).first()
+    return sorted({*(found or ()), 0 if most is None else most}, reverse=True)
+
+
+def in_order(rows: DataFrame, starts: list[int]) -> DataFrame:
     """rows plus bucket `_p`, `_guest` and sort key `_k` (the id, null last), ready for windows over each bucket.
 
-    Buckets are ranges of falling ids, begun by ids that occur. Each bucket also gets, as guests at its end, the rows of
-    the id that begins the following bucket, and the last bucket those of the first, so that every row finds its follower
-    in its own bucket. The bounds, at most `buckets` numbers, are the only thing that is brought to the driver.
+    Buckets are ranges of falling ids, begun by the ids of `starts`. Each bucket also gets, as guests at its end, the rows
+    of the id that begins the following bucket, and the last bucket those of the first, so that every row finds its
+    follower in its own bucket.
     """
+    groups = [starts[i : i + GROUP] for i in range(0, len(starts), GROUP)]
+    numbers = lambda x: F.array([F.lit(b).cast("long") for b in x])
+    heads, inside = numbers([g[0] for g in groups]), F.array([numbers(g) for g in groups])
     keyed = rows.withColumn("_k", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))
-    shares = [i / buckets for i in range(1, buckets + 1)]
-    found = keyed.agg(F.percentile_approx("_k", shares, 100 * buckets)).first()[0] or [0]
-    bounds = sorted(set(found) | {keyed.agg(F.max("_k")).first()[0] or 0}, reverse=True)
-    begun = F.array([F.lit(b).cast("long") for b in bounds])
-    at = F.size(F.filter(begun, lambda b: b >= F.col("_k"))) - 1
-    placed = keyed.withColumn("_p", at)
-    before = F.pmod(F.col("_p") - 1, F.lit(len(bounds)))
-    places = F.when(F.get(begun, F.col("_p")) == F.col("_k"), F.array(F.struct(F.col("_p").alias("p"), F.lit(False).alias("g")), F.struct(before.alias("p"), F.lit(True).alias("g"))))
-    dealt = placed.withColumn("_to", F.explode(F.coalesce(places, F.array(F.struct(F.col("_p").alias("p"), F.lit(False).alias("g"))))))
-    return dealt.withColumns({"_p": F.col("_to.p"), "_guest": F.col("_to.g")}).drop("_to")
-
-
-def edited_fingerprints(docs: DataFrame, docs_per_bucket: int = 512, most_buckets: int = 4_096) -> DataFrame:
+    reached = lambda bounds: F.size(F.filter(bounds, lambda b: b >= F.col("_k")))
+    group = keyed.withColumn("_g", reached(heads) - 1)
+    at = F.col("_g") * GROUP + reached(F.get(inside, F.col("_g"))) - 1
+    placed = group.withColumn("_p", at)
+    begins = F.get(F.get(inside, F.col("_g")), F.col("_p") - F.col("_g") * GROUP) == F.col("_k")
+    place = lambda p, guest: F.struct(p.alias("p"), F.lit(guest).alias("g"))
+    own = place(F.col("_p"), False)
+    places = F.when(begins, F.array(own, place(F.pmod(F.col("_p") - 1, F.lit(len(starts))), True))).otherwise(F.array(own))
+    dealt = placed.withColumn("_to", F.explode(places))
+    return dealt.withColumns({"_p": F.col("_to.p"), "_guest": F.col("_to.g")}).drop("_to", "_g")
+
+
+def edited_fingerprints(docs: DataFrame, docs_per_bucket: int = 512, most_buckets: int = 16_384) -> DataFrame:
     """Fingerprints of each document and of its edited text, whose second half is the start of the next document."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     lists = lexicon(texts)
-    own = with_components(texts, "text", "c", lists)
-    n = texts.count()
-    ordered = in_order(own, max(1, min(most_buckets, n // docs_per_bucket)))
+    starts = range_starts(docs.select("doc_id"), max(1, min(most_buckets, docs.count() // docs_per_bucket)))
+    ordered = in_order(with_components(texts, "text", "c", lists), starts)
     down = Window.partitionBy("_p").orderBy("_guest", F.desc("_k"), "th")
     led = ordered.withColumns({"next_text": F.lead("text").over(down), "next_c": F.lead("c").over(down)}).where("not _guest")
     size = F.length("text")
