@@ -1,43 +1,57 @@
 """SentencePiece encoding and decoding with the N best segmentations.
 
 The lattice of a text has an edge for each piece that matches somewhere, and a byte edge for characters without a piece.
-A forward Viterbi pass gives the best score up to each place; these scores are exact heuristics for a backward A-star
-search, which pops whole segmentations from best to worst. Pieces never run over a place where a new run of spaces or
-line ends begins, so a text's lattice falls apart into units: each unit is searched by itself (units met before are
-remembered in a bounded table), and the units' N best lists merge to the text's: N whole lists of ids, each of which is
+A forward Viterbi pass gives the best score up to each place. These scores are exact heuristics for a backward A-star
+search: a partial path from the end costs what it loses against the best one, and its best completion loses nothing more,
+so each partial path that is taken from the queue is completed along edges without loss at once, and the edges beside it
+enter the queue. Only the N best waiting paths are kept, which is all that can still be among the N best.
+
+Pieces never run over a place where a new run of spaces or line ends begins, so a text's lattice falls apart into units.
+The forward pass over a unit gives its best path and the least loss beside it (short units met before are remembered in
+a bounded table). The N - 1 least losses bound what the N best segmentations of a text lose, so only units with a loss
+within the bound are searched for their N best, and these merge to the text's: N whole lists of ids, each of which is
 decoded and compared with the text.
 
 The scores are those stored in the model. Normalisation is the model's: spaces become U+2581, and one is put in front.
 
 Defined cases: a null or empty text has no pieces and score 0; U+2581 in a text decodes as a space, as it does in
-SentencePiece, so that such a text does not come back; very long texts are read whole; of segmentations with equal scores
-those with the smaller ids from the end come first, at all lengths (scores that are whole numbers, as the model's, are
-summed exactly); other columns are kept.
+SentencePiece, so that such a text does not come back; very long texts, and units without any space, are read whole, in
+memory linear in their length; of segmentations with equal scores those with the smaller ids from the end come first
+(scores that are whole numbers, as the model's, are summed exactly); repeated rows give equal results; an empty table
+gives an empty result; other columns are kept.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
-import itertools
 import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
+from operator import itemgetter
 
+import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from gleanery.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 N_BEST = 4
-#: Units remembered by a worker; the table is emptied when it is full.
-REMEMBERED = 250_000
+#: Units remembered by a worker after the forward pass and after the search, and the longest that is; a full table is emptied.
+REMEMBERED, SEARCHED, LONGEST = 300_000, 20_000, 64
+#: Characters of the texts that a worker segments before it hands their rows over.
+CHUNK = 1_000_000
+
+#: An edge of the lattice by where it ends: (length, score, ids as 32-bit numbers, ids from the end).
+Edge = tuple[int, float, bytes, tuple[int, ...]]
 
 
 @dataclass(frozen=True)
@@ -65,174 +79,202 @@ class Lattice:
 
     def __init__(self, vocabulary: Vocabulary, n_best: int = N_BEST) -> None:
         self.vocabulary, self.n_best = vocabulary, n_best
-        self.ids = {p: i for i, p in enumerate(vocabulary.pieces) if i not in vocabulary.special}
+        self.ids = {p: i for i, p in enumerate(vocabulary.pieces) if i not in vocabulary.special and p}
         usual = [s for i, s in enumerate(vocabulary.scores) if i not in vocabulary.special and s > -1e8]
         self.byte_score = min(usual, default=0.0) - 10.0
-        self.trie = self._trie()
+        self.single = {p for p in self.ids if len(p) == 1}
+        self.matcher = self._matcher()
         self.cutter = self._cutter()
-        self.bytes_ = range(vocabulary.first_byte, vocabulary.first_byte + 256)
+        self.spelled = self._spelled()
         self.known: dict[str, tuple] = {}
+        self.searched: dict[str, list] = {}
 
-    def _trie(self) -> dict:
-        """Nested tables by character; the key "" holds (score, ids) where a piece ends."""
-        root: dict = {}
+    def _matcher(self) -> ahocorasick.Automaton:
+        """Gives the edge of each piece that ends at a place, places in order."""
+        found = ahocorasick.Automaton()
         for piece, k in self.ids.items():
-            node = root
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = (self.vocabulary.scores[k], (k,))
-        return root
+            found.add_word(piece, (len(piece), self.vocabulary.scores[k], array("i", (k,)).tobytes(), (k,)))
+        found.make_automaton()
+        return found
 
     def _cutter(self) -> re.Pattern:
         """Units start where a run of the characters begins that no piece holds after another character."""
         starts = {chr(c) for c in range(128) if not chr(c).isalnum()} | {SPACE}
-        while bad := {b for p in self.ids for a, b in itertools.pairwise(p) if b in starts and a not in starts}:
+        while bad := {b for p in self.ids for a, b in pairwise(p) if b in starts and a not in starts}:
             starts -= bad
         inside = "".join(map(re.escape, sorted(starts)))
         return re.compile(f"[{inside}]+[^{inside}]*|[^{inside}]+", re.DOTALL)
 
-    def edges(self, unit: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each place, the (start, score, ids) of the edges that end there."""
-        n, into = len(unit), [[] for _ in range(len(unit) + 1)]
-        root = self.trie
-        for i in range(n):
-            node = root.get(unit[i])
-            if node is None or "" not in node:
-                spelled = tuple(self.vocabulary.first_byte + b for b in unit[i].encode("utf-8", "surrogatepass"))
-                into[i + 1].append((i, self.byte_score, spelled))
-            j = i + 1
-            while node is not None:
-                if (end := node.get("")) is not None:
-                    into[j].append((i, *end))
-                if j == n:
-                    break
-                node = node.get(unit[j])
-                j += 1
-        return into
-
-    def search(self, unit: str) -> list[tuple[float, tuple[int, ...]]]:
-        """Up to n_best (score, ids) of a unit, best first."""
-        into = self.edges(unit)
-        best = [0.0] + [-np.inf] * len(unit)
-        for j in range(1, len(unit) + 1):
-            for i, score, _ in into[j]:
-                if best[i] + score > best[j]:
-                    best[j] = best[i] + score
-        heap, found = [(-best[-1], (), len(unit), 0.0)], []
-        push, pop, most = heapq.heappush, heapq.heappop, self.n_best
-        whole: list[float] = []  # costs of the whole paths in the heap; what costs more than the N-th of them cannot be among the N best
-        while heap and len(found) < most:
-            cost, path, at, behind = pop(heap)
-            if at == 0:
-                found.append((-cost, path[::-1]))
-                continue
-            bound = whole[most - 1] if len(whole) >= most else np.inf
-            for i, score, ids in into[at]:
-                cost = -(best[i] + score + behind)
-                if cost <= bound:
-                    push(heap, (cost, path + ids[::-1], i, score + behind))
-                    if i == 0:
-                        whole.append(cost)
-                        whole.sort()
-        return found
-
-    def look_up(self, unit: str) -> tuple:
-        """(score, ids as bytes, score losses of the next best, their ids as bytes)."""
+    def _spelled(self) -> pa.Array:
+        """The UTF-8 bytes that each id stands for, U+2581 as a space."""
+        first = self.vocabulary.first_byte
+        spell = lambda i, p: bytes([i - first]) if first <= i < first + 256 else p.replace(SPACE, " ").encode("utf-8", "surrogatepass")
+        return pa.array([spell(i, p) for i, p in enumerate(self.vocabulary.pieces)], pa.binary())
+
+    def edges(self, unit: str) -> Iterator[tuple[int, Edge]]:
+        """The edges of a unit's lattice, each after the place of its last character; places in order."""
+        found = self.matcher.iter(unit) if self.ids else ()
+        if self.single.issuperset(unit):
+            return found
+        spelled = []
+        for i, c in enumerate(unit):
+            if c not in self.single:
+                ids = array("i", [self.vocabulary.first_byte + b for b in c.encode("utf-8", "surrogatepass")])
+                spelled.append((i, (1, self.byte_score, ids.tobytes(), tuple(ids[::-1]))))
+        return sorted([*found, *spelled], key=itemgetter(0))
+
+    def best(self, unit: str) -> tuple[float, bytes, float]:
+        """(best score, its ids, the least loss of any other path) of a unit by the forward pass."""
+        best, second, lead = [0.0] + [-np.inf] * len(unit), [-np.inf] * (len(unit) + 1), [None] * (len(unit) + 1)
+        for end, edge in self.edges(unit):
+            end += 1
+            score, top = best[end - edge[0]] + edge[1], best[end]
+            if score > top:
+                best[end], second[end], lead[end] = score, top, edge
+            elif score == top:
+                second[end] = top
+                if edge[3] < lead[end][3]:
+                    lead[end] = edge
+            elif score > second[end]:
+                second[end] = score
+        at, path, least = len(unit), [], np.inf
+        while at:
+            edge = lead[at]
+            path.append(edge[2])
+            lost = best[at] - second[at]
+            if lost < least:
+                least = lost
+            at -= edge[0]
+        path.reverse()
+        return best[-1], b"".join(path), least
+
+    def search(self, unit: str) -> list[tuple[float, bytes]]:
+        """Up to n_best (loss, ids) of a unit, best first."""
+        best, lead = [0.0] + [-np.inf] * len(unit), [None] * (len(unit) + 1)  # the best score up to each place and the edge that reaches it
+        into: list[list[tuple[float, Edge]]] = [[] for _ in best]
+        for end, edge in self.edges(unit):
+            end += 1
+            score = best[end - edge[0]] + edge[1]
+            into[end].append((score, edge))
+            if score > best[end] or score == best[end] and edge[3] < lead[end][3]:  # of several the smallest ids
+                best[end], lead[end] = score, edge
+        paths: list[list[Edge]] = []  # whole paths from the end
+        losses: list[float] = []
+        queue: list[tuple] = [(0.0, None, 0, None, len(unit))]  # (loss, path it leaves, number of its edges kept, edge taken then, where that starts), best first
+        while queue and len(paths) < self.n_best:
+            loss, base, kept, edge, at = queue.pop(0)
+            path, number, room = paths[base][:kept] + [edge] if edge else [], len(paths), self.n_best - len(paths) - 1
+            paths.append(path)
+            losses.append(loss)
+            del queue[room:]
+            while at:
+                taken = lead[at]
+                for score, way in into[at] if room else ():
+                    if way is not taken:
+                        enter(queue, (loss + (best[at] - score), number, len(path), way, at - way[0]), paths, room)
+                path.append(taken)
+                at -= taken[0]
+        return [(loss, b"".join([e[2] for e in reversed(path)])) for loss, path in zip(losses, paths)]
+
+    def look_up(self, unit: str) -> tuple[float, bytes, float]:
         found = self.known.get(unit)
         if found is None:
-            ranked = self.search(unit) if len(unit) <= 200 else self.long_search(unit)
-            best = ranked[0][0]
-            ids = [array("i", x).tobytes() for _, x in ranked]
-            found = (best, ids[0], tuple([best - s for s, _ in ranked[1:]]), tuple(ids[1:]))
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[unit] = found
+            found = self.best(unit)
+            if len(unit) <= LONGEST:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[unit] = found
         return found
 
-    def long_search(self, unit: str) -> list[tuple[float, tuple[int, ...]]]:
-        """As search, by the n_best ways to each place with links to the place before: linear memory for units of any length."""
-        into = self.edges(unit)
-        kept: list[list[tuple]] = [[(0.0, None, ())]]  # (cost, (place, rank) before, ids of the last edge)
-        for j in range(1, len(unit) + 1):
-            ways = ((cost - score, ids[::-1], rank, i) for i, score, ids in into[j] for rank, (cost, _, _) in enumerate(kept[i]))
-            kept.append([(cost, (i, rank), back[::-1]) for cost, back, rank, i in heapq.nsmallest(self.n_best, ways)])
-        found = []
-        for cost, before, ids in kept[-1]:
-            parts = [ids]
-            while before != (0, 0):
-                _, before, ids = kept[before[0]][before[1]]
-                parts.append(ids)
-            found.append((-cost, tuple(itertools.chain.from_iterable(reversed(parts)))))
+    def ranked(self, unit: str) -> list[tuple[float, bytes]]:
+        found = self.searched.get(unit)
+        if found is None:
+            found = self.search(unit)
+            if len(unit) <= LONGEST:
+                if len(self.searched) >= SEARCHED:
+                    self.searched.clear()
+                self.searched[unit] = found
         return found
 
-    def spell(self, ids: tuple[int, ...]) -> str:
-        """The characters of ids, spaces still as U+2581."""
-        if not any(map(self.bytes_.__contains__, ids)):
-            return "".join([self.vocabulary.pieces[i] for i in ids])
-        out, first = [], self.vocabulary.first_byte
-        for is_byte, run in itertools.groupby(ids, lambda i: first <= i < first + 256):
-            out.append(bytes(i - first for i in run).decode("utf-8", "surrogatepass") if is_byte else "".join(self.vocabulary.pieces[i] for i in run))
-        return "".join(out)
-
-    def decode(self, ids: tuple[int, ...] | list[int]) -> str:
-        return self.spell(tuple(ids)).replace(SPACE, " ")[1:]
-
-    def segment(self, text: str | None) -> tuple[list[bytes], list[float], bool]:
-        """(ids of the N best segmentations as 32-bit numbers, their scores, whether each decodes to the text)."""
+    def segment(self, text: str | None) -> tuple[list[bytes], list[float]]:
+        """(ids of the N best segmentations as 32-bit numbers, their scores)."""
         if not text:
-            return [b""], [0.0], True
+            return [b""], [0.0]
         known, look_up = self.known, self.look_up
-        units = [known.get(u) or look_up(u) for u in self.cutter.findall(SPACE + text.replace(" ", SPACE))]
-        best = sum([u[0] for u in units])
-        first, lists, scores = [u[1] for u in units], [], []
-        for loss, chosen in choices(units, self.n_best):
+        units = self.cutter.findall(SPACE + text.replace(" ", SPACE))
+        found = [known.get(u) or look_up(u) for u in units]
+        best = sum(map(itemgetter(0), found))
+        first, lists, scores = list(map(itemgetter(1), found)), [], []
+        for loss, chosen in self.choices(units, list(map(itemgetter(2), found))):
             parts = first.copy() if chosen else first
             while chosen:
-                at, rank, chosen = chosen
-                parts[at] = units[at][3][rank - 1]
+                at, ids, chosen = chosen
+                parts[at] = ids
             lists.append(b"".join(parts))
             scores.append(best - loss)
-        return lists, scores, all([self.decode(array("i", x)) == text for x in lists])
-
-    def encode(self, text: str | None) -> tuple[bytes, list[float], bool]:
-        """(ids of the best segmentation as 32-bit numbers, scores of the N best, whether all N decode to the text)."""
-        lists, scores, whole = self.segment(text)
-        return lists[0], scores, whole
-
+        return lists, scores
+
+    def choices(self, units: list[str], least: list[float]) -> list[tuple[float, tuple | None]]:
+        """The N best texts of units: (loss, choice); a choice is (unit, its ids, choice before it), or None for the best.
+
+        Units with a loss within the bound are gone through from the front, with the N best choices kept; ties go by the
+        smaller ids from the end, so first by those of the unit that comes later.
+        """
+        n, every = self.n_best, np.array(least)
+        bound = np.partition(every, n - 2)[n - 2] if 2 <= n <= len(least) + 1 else np.inf  # the (N - 1)-th least loss
+        bound += 1e-9 * max(1.0, bound)
+        kept: list[tuple[float, tuple | None]] = [(0.0, None)]
+        for at in np.flatnonzero(every <= bound).tolist() if n > 1 else ():
+            ends = [(loss, array("i", ids).tolist()[::-1], ids if k else None) for k, (loss, ids) in enumerate(self.ranked(units[at])) if loss <= bound]
+            ways = [(before + loss, back, r, ids) for r, (before, _) in enumerate(kept) for loss, back, ids in ends]
+            kept = [(loss, (at, ids, kept[r][1]) if ids is not None else kept[r][1]) for loss, _, r, ids in heapq.nsmallest(n, ways)]
+        return kept
+
+    def spell(self, lists: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids, with the space in front that the model puts there."""
+        at = lists.offsets
+        pieces = self.spelled.take(lists.values[at[0].as_py() : at[-1].as_py()])
+        return pc.binary_join(pa.ListArray.from_arrays(pc.subtract(at, at[0]), pieces), b"")
 
-def choices(units: list[tuple], n_best: int) -> list[tuple[float, tuple | None]]:
-    """The N best texts of units as look_up gives them: (loss, choice); a choice is (unit, rank, choice before it) or None.
-
-    Only units with a loss within the N-th best sum take part. They are gone through from the front, with the N best choices
-    kept and ties broken as in search.
-    """
-    sums = merged(0.0, [u[2] for u in units], n_best)
-    bound = -sums[-1] if len(sums) == n_best else np.inf
-    bound += 1e-9 * max(1.0, bound)
-    kept: list[tuple[float, tuple | None]] = [(0.0, None)]
-    for at, u in enumerate(units):
-        if u[2] and u[2][0] <= bound:
-            ends = [(0.0, array("i", u[1]).tolist()[::-1], 0)]
-            ends += [(loss, array("i", ids).tolist()[::-1], k) for k, (loss, ids) in enumerate(zip(u[2], u[3]), 1) if loss <= bound]
-            ways = [(before + loss, back, r, k) for r, (before, _) in enumerate(kept) for loss, back, k in ends]
-            kept = [(loss, (at, k, kept[r][1]) if k else kept[r][1]) for loss, _, r, k in heapq.nsmallest(n_best, ways)]
-    return kept
-
-
-def merged(best: float, losses: list[tuple[float, ...]], n_best: int) -> list[float]:
-    """The N best sums when each unit may take one of its losses: combinations of the n - 1 smallest single losses.
-
-    These come from the n - 1 units whose first losses are smallest.
+    def decode(self, ids: tuple[int, ...] | list[int]) -> str:
+        return self.spell(pa.array([list(ids)], pa.list_(pa.int32())))[0].as_py().decode("utf-8", "surrogatepass")[1:]
+
+    def segment_all(self, texts: list[str | None]) -> pa.StructArray:
+        """(scores, whole, ranked) of each text; whole says whether all of its segmentations decode to it."""
+        rows = [self.segment(t) for t in texts]
+        every = [x for lists, _ in rows for x in lists]
+        starts = lambda sizes: np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)])
+        ids = pa.ListArray.from_arrays(starts([len(x) // 4 for x in every]), pa.array(np.frombuffer(b"".join(every), np.int32)))
+        of_text = starts([len(lists) for lists, _ in rows])
+        wanted = pa.array([f" {t}".encode("utf-8", "surrogatepass") if t else b"" for t in texts], pa.binary())
+        same = pc.equal(self.spell(ids), wanted.take(pa.array(np.repeat(np.arange(len(rows)), np.diff(of_text))))).to_numpy(zero_copy_only=False)
+        whole = pa.array(np.logical_and.reduceat(same, of_text[:-1]) if len(rows) else np.zeros(0, bool))
+        scores = pa.ListArray.from_arrays(of_text, pa.array(np.array([x for _, each in rows for x in each], np.float64)))
+        return pa.StructArray.from_arrays([scores, whole, pa.ListArray.from_arrays(of_text, ids)], ["scores", "whole", "ranked"])
+
+
+def enter(queue: list[tuple], new: tuple, paths: list[list[Edge]], room: int) -> None:
+    """Put a waiting path at its place in the queue, of which the first `room` stay."""
+    at = len(queue)
+    if at >= room and new[0] > queue[-1][0]:
+        return
+    while at and (new[0] < queue[at - 1][0] or new[0] == queue[at - 1][0] and ahead(new, queue[at - 1], paths)):
+        at -= 1
+    if at < room:
+        queue.insert(at, new)
+        del queue[room:]
+
+
+def ahead(a: tuple, b: tuple, paths: list[list[Edge]]) -> bool:
+    """Whether, of two waiting paths with equal losses, a has the smaller ids from the end.
+
+    Each follows a whole path for some edges and then leaves it, so they are compared where they first differ.
     """
-    first = [x[0] if x else np.inf for x in losses]
-    near = sorted(range(len(first)), key=first.__getitem__)[: n_best - 1]
-    single = heapq.nsmallest(n_best - 1, [(x, i) for i in near for x in losses[i]])
-    sums = [0.0]
-    for size in range(1, len(single) + 1):
-        for chosen in itertools.combinations(single, size):
-            if len({i for _, i in chosen}) == size:
-                sums.append(sum(x for x, _ in chosen))
-    return [best - x for x in heapq.nsmallest(n_best, sums)]
+    (_, p, i, left, _), (_, q, j, right, _) = a, b
+    at = min(i, j)
+    if p != q:
+        at = min(at, next((k for k, (x, y) in enumerate(zip(paths[p], paths[q])) if x is not y), at))
+    return (left if at == i else paths[p][at])[3] < (right if at == j else paths[q][at])[3]
 
 
 _lattices: dict[tuple, Lattice] = {}
@@ -247,28 +289,30 @@ def lattice(vocabulary: Vocabulary, n_best: int) -> Lattice:
 
 
 def encoded(text: Column | str, vocabulary: Vocabulary, n_best: int = N_BEST) -> Column:
-    """A struct (ids, scores, whole, ranked): the best segmentation, the scores of the N best, whether each of these decodes to
-    the text, and the N best segmentations."""
+    """A struct (scores, whole, ranked): the scores of the N best segmentations, whether each of these decodes to the text, and
+    their ids, the best first."""
 
-    @pandas_udf("ids array<int>, scores array<double>, whole boolean, ranked array<array<int>>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @arrow_udf("scores array<double>, whole boolean, ranked array<array<int>>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         found = lattice(vocabulary, n_best)
         for texts in batches:
-            rows = [found.segment(t) for t in texts]
-            ranked = [[np.frombuffer(x, np.int32) for x in r[0]] for r in rows]
-            yield pd.DataFrame({"ids": [x[0] for x in ranked], "scores": [r[1] for r in rows], "whole": [r[2] for r in rows], "ranked": ranked})
+            lengths = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)) // CHUNK
+            cuts = [0, *(np.flatnonzero(np.diff(lengths)) + 1).tolist(), len(texts)]
+            parts = [found.segment_all(texts[a:b].to_pylist()) for a, b in pairwise(cuts)]
+            yield pa.concat_arrays(parts)
 
     return encode(text)
 
 
 def decoded(ids: Column | str, vocabulary: Vocabulary) -> Column:
-    """The text of an array of ids."""
+    """The text of an array of ids; null gives null. Bytes that are no UTF-8 become U+FFFD."""
 
-    @pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("string")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         found = lattice(vocabulary, N_BEST)
         for lists in batches:
-            yield pd.Series([None if x is None else found.decode(list(x)) for x in lists])
+            texts = [x.decode("utf-8", "replace")[1:] for x in found.spell(lists.fill_null([])).to_pylist()]
+            yield pc.if_else(lists.is_valid(), pa.array(texts, pa.string()), None)
 
     return decode(ids)
 
@@ -276,8 +320,9 @@ def decoded(ids: Column | str, vocabulary: Vocabulary) -> Column:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = docs.select("doc_id", encoded("text", load_vocabulary(model)).alias("e"))
-    return found.select(
-        "doc_id", F.size("e.ids").cast("long").alias("n_pieces"), F.get("e.scores", F.lit(0)).alias("best_score"), F.get("e.scores", F.lit(1)).alias("second_score"),
-        F.size("e.scores").alias("n_best"), F.sha2(F.array_join("e.ids", ",").cast("binary"), 256).alias("ids_sha256"), F.col("e.whole").alias("round_trip"),
-        F.transform("e.ranked", lambda x: F.sha2(F.array_join(x, ",").cast("binary"), 256)).alias("ranked_sha256"),
+    digests = F.transform("e.ranked", lambda x: F.sha2(F.array_join(x, ",").cast("binary"), 256))
+    named = found.select("doc_id", "e", digests.alias("ranked_sha256"))
+    return named.select(
+        "doc_id", F.size(F.get("e.ranked", F.lit(0))).cast("long").alias("n_pieces"), F.get("e.scores", F.lit(0)).alias("best_score"), F.get("e.scores", F.lit(1)).alias("second_score"),
+        F.size("e.scores").alias("n_best"), F.get("ranked_sha256", F.lit(0)).alias("ids_sha256"), F.col("e.whole").alias("round_trip"), "ranked_sha256",
     )

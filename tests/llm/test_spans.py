@@ -112,45 +112,89 @@ def small():
     return pieces.Vocabulary(tuple(made), tuple([0.0] * 256 + [-9.0, -5.0, -6.0, -7.0, -7.5, -4.0, -6.5, -8.0, -3.0]), 0, frozenset(range(256)))
 
 
+def into_places(lattice, unit):
+    into = [[] for _ in range(len(unit) + 1)]
+    for end, edge in lattice.edges(unit):
+        into[end + 1].append(edge)
+    return into
+
+
 def brute_paths(lattice, unit):
-    into = lattice.edges(unit)
+    """Every (cost, ids) of a unit, by cost, then by the ids from the end."""
+    into = into_places(lattice, unit)
 
     def paths(end):
-        if end == 0:
-            return [(0.0, ())]
-        return [(s + score, ids + more) for i, score, more in into[end] for s, ids in paths(i)]
+        return [(0.0, ())] if end == 0 else [(c - score, ids + back[::-1]) for length, score, _, back in into[end] for c, ids in paths(end - length)]
 
-    return sorted((-s for s, _ in paths(len(unit))))
+    return sorted(paths(len(unit)), key=lambda x: (x[0], x[1][::-1]))
 
 
-def test_n_best_equals_all_paths(small):
-    lattice = pieces.Lattice(small, 4)
-    random.seed(6)
-    for _ in range(300):
-        unit = "".join(random.choices("▁abé,", k=random.randint(1, 9)))
-        expected = brute_paths(lattice, unit)[:4]
-        for search in (lattice.search, lattice.long_search):
-            found = search(unit)
-            assert [-s for s, _ in found] == pytest.approx(expected)
-            assert len({ids for _, ids in found}) == len(found) and all(lattice.spell(ids) == unit for _, ids in found)
+def numbers(packed):
+    return tuple(np.frombuffer(packed, np.int32).tolist())
+
+
+@pytest.fixture(scope="module")
+def tied(small):
+    return pieces.Vocabulary(small.pieces, tuple([0.0] * 256 + [-2.0, -1.0, -1.0, -2.0, -2.0, -3.0, -4.0, -3.0, -1.0]), 0, small.special)
 
 
-def test_merged_units_equal_whole_search(small):
-    lattice = pieces.Lattice(small, 4)
+@pytest.mark.parametrize("n_best", [1, 2, 4, 7])
+def test_n_best_equals_all_paths(small, tied, n_best):
+    random.seed(6)
+    for vocabulary in (small, tied):
+        lattice = pieces.Lattice(vocabulary, n_best)
+        for _ in range(150):
+            unit = "".join(random.choices("▁abé,", k=random.randint(1, 9)))
+            expected = brute_paths(lattice, unit)
+            best, ids, least = lattice.best(unit)
+            assert (best, numbers(ids)) == (-expected[0][0], expected[0][1]) and least == (expected[1][0] - expected[0][0] if len(expected) > 1 else np.inf)
+            assert [(best - loss, numbers(x)) for loss, x in lattice.search(unit)] == [(-c, ids) for c, ids in expected[:n_best]]
+
+
+@pytest.mark.parametrize("n_best", [1, 2, 4, 7])
+def test_merged_units_equal_whole_search(small, tied, n_best):
     random.seed(7)
-    for _ in range(200):
-        text = "".join(random.choices("ab ,é", k=random.randint(1, 12)))
-        whole = "▁" + text.replace(" ", "▁")
-        ids, scores, ok = lattice.encode(text)
-        assert scores == pytest.approx([s for s, _ in lattice.search(whole)]) and ok
-        assert lattice.decode(np.frombuffer(ids, np.int32).tolist()) == text
+    for vocabulary in (small, tied):
+        lattice = pieces.Lattice(vocabulary, n_best)
+        for _ in range(200):
+            text = "".join(random.choices("ab ,é", k=random.randint(1, 12)))
+            expected = [(-c, ids) for c, ids in brute_paths(lattice, "▁" + text.replace(" ", "▁"))[:n_best]]
+            lists, scores = lattice.segment(text)
+            assert [(s, numbers(x)) for s, x in zip(scores, lists)] == expected
+            assert all(lattice.decode(numbers(x)) == text for x in lists)
+
+
+def test_long_tied_units():
+    lattice = pieces.Lattice(pieces.load_vocabulary())
+    for text in ("-" * 300, "-" * 20_000, "x" * 20_000, "ab" * 5_000):
+        lists, scores = lattice.segment(text)
+        assert len(lists) == len({*lists}) == 4 and scores == sorted(scores, reverse=True) and all(lattice.decode(numbers(x)) == text for x in lists)
 
 
 def test_pieces_round_trip(spark):
     vocabulary = pieces.load_vocabulary()
-    texts = [(None,), ("",), ("Hello  world\n",), ("é漢字\U0001f600 x",), (" a" * 3_000,), ("x" * 3_000,)]
-    rows = spark.createDataFrame(texts, "text string").select("text", pieces.encoded("text", vocabulary).alias("e")).select("text", "e.whole", pieces.decoded("e.ids", vocabulary).alias("back")).collect()
-    assert all(r.whole and r.back == (r.text or "") for r in rows)
+    texts = [(None,), ("",), ("Hello  world\n",), ("é漢字\U0001f600 x",), (" a" * 3_000,), ("x" * 3_000,), ("x" * 3_000,)]
+    rows = spark.createDataFrame(texts, "text string").select("text", pieces.encoded("text", vocabulary).alias("e")).select("text", "e.whole", pieces.decoded(F.get("e.ranked", F.lit(0)), vocabulary).alias("back")).collect()
+    assert len(rows) == len(texts) and all(r.whole and r.back == (r.text or "") for r in rows)
+    assert spark.createDataFrame([], "text string").select(pieces.encoded("text", vocabulary)).count() == 0
+    assert spark.createDataFrame([(None,)], "ids array<int>").select(pieces.decoded("ids", vocabulary)).first()[0] is None
+
+
+def test_pieces_query_equals_brute_force(spark, tmp_path):
+    """The query's columns from the lattice alone, on texts short enough that every path of each unit can be listed."""
+    import hashlib
+
+    texts = ["Hello  world, again", "a▁b", "", None, "x-y", "x-y"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lattice = pieces.Lattice(pieces.load_vocabulary())
+    sha = lambda ids: hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    for r in pieces.op3_sentencepiece(spark, str(tmp_path)).collect():
+        ways = [(0.0, ())]
+        for unit in lattice.cutter.findall("▁" + texts[r.doc_id].replace(" ", "▁")) if texts[r.doc_id] else []:
+            each = brute_paths(lattice, unit)[:4]
+            ways = sorted(((c + d, ids + more) for c, ids in ways for d, more in each), key=lambda x: (x[0], x[1][::-1]))[:4]
+        assert list(r.ranked_sha256) == [sha(ids) for _, ids in ways] and r.ids_sha256 == r.ranked_sha256[0]
+        assert (r.n_pieces, r.best_score, r.n_best, r.round_trip) == (len(ways[0][1]), -ways[0][0], len(ways), texts[r.doc_id] != "a▁b")
 
 
 def test_cues_in_any_case():
@@ -170,28 +214,9 @@ def test_long_expressions_are_evaluated():
     assert licenses.tag_labels(short) == set().union(*licenses.evaluate(licenses.parse_expression(short)))
 
 
-def test_all_n_best_are_kept_under_one_tie_rule(small):
-    random.seed(8)
-    ties = pieces.Vocabulary(small.pieces, tuple([0.0] * 256 + [-2.0, -1.0, -1.0, -2.0, -2.0, -3.0, -4.0, -3.0, -1.0]), 0, small.special)
-    for vocabulary in (small, ties):
-        lattice = pieces.Lattice(vocabulary, 4)
-        for _ in range(300):
-            text = "".join(random.choices("ab ,é", k=random.randint(1, 12)))
-            unit = "▁" + text.replace(" ", "▁")
-            into = lattice.edges(unit)
-
-            def paths(end, into=into):
-                return [(0.0, ())] if end == 0 else [(c - score, ids + more) for i, score, more in into[end] for c, ids in paths(i)]
-
-            expected = [(-c, ids) for c, ids in sorted(paths(len(unit)), key=lambda x: (x[0], x[1][::-1]))[:4]]
-            lists, scores, whole = lattice.segment(text)
-            merged = [(s, tuple(np.frombuffer(x, np.int32).tolist())) for s, x in zip(scores, lists)]
-            assert lattice.search(unit) == lattice.long_search(unit) == merged == expected and whole
-
-
 def test_round_trip_of_whole_lists(spark):
     vocabulary = pieces.load_vocabulary()
     rows = spark.createDataFrame([("Hello  world, again\n",), ("a▁b",), ("",)], "text string").select("text", pieces.encoded("text", vocabulary).alias("e")).collect()
     assert [r.e.whole for r in rows] == [True, False, True] and len(rows[0].e.ranked) == pieces.N_BEST == len({tuple(x) for x in rows[0].e.ranked})
     lattice = pieces.Lattice(vocabulary)
-    assert all(lattice.decode(x) == rows[0].text for x in rows[0].e.ranked) and rows[0].e.ranked[0] == rows[0].e.ids
+    assert all(lattice.decode(x) == rows[0].text for x in rows[0].e.ranked)
