@@ -54,7 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The best segmentation of each text as ids, the N best and their scores, and the check of their round trips."""
     found = docs.select("doc_id", "source", pieces.encoded("text", pieces.load_vocabulary()).alias("e"))
-    return found.select("doc_id", "source", F.col("e.ids").alias("ids"), F.col("e.scores").alias("scores"), F.col("e.ranked").alias("ranked"), F.col("e.whole").alias("round_trip"))
+    return found.select("doc_id", "source", F.get("e.ranked", F.lit(0)).alias("ids"), F.col("e.scores").alias("scores"), F.col("e.ranked").alias("ranked"), F.col("e.whole").alias("round_trip"))
 
 
 STAGES = [
