@@ -8,15 +8,18 @@ at j's place in a pseudorandom permutation of the source's block numbers, a new
 are joined by (source, block number).
 
 Only built-in functions are used. Positions come from two-level sums (bucket totals, then within the bucket), so no
-task holds a whole source, and slot ranks are found within shards.
+task holds a whole source, and slot ranks are found within shards. What is ordered in one task is one row per bucket of
+BUCKET_DOCS documents of a source, or per shard of SHARD slots.
 
 Targets: sources sorted by code point, null last, weigh as given, in turn. They share the words of all documents; a
-target stops at `most` times the source's words, and the excess goes to the others by weight until none is above. A
-source with a positive target takes one block at least.
+target stops at `most` times the source's words, and the excess goes to the others by weight until none is above. Whole
+passes over a source take all its words; of the last, partial pass the slots take blocks, and the last of them only so
+many words of its block as the target still needs, so that a source misses its target by less than a word.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null source is a source of its own; repeated
-rows are documents of their own; an empty table gives an empty result; reruns over equal rows agree, except that of
-rows equal in id and text any may bear the other's count.
+rows are documents of their own; an empty table gives an empty result; input columns may have any names, since a row is
+carried as one struct; reruns over equal rows agree, except that of rows equal in id and text any may bear the other's
+count.
 """
 
 from __future__ import annotations
@@ -38,13 +41,16 @@ BUCKET_DOCS = 2_048
 PRIMES = (2_147_483_647, 2_147_483_629, 2_147_483_587, 2_147_483_579, 2_147_483_563)
 
 
-def sized(docs: DataFrame, text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with `size`, a source key `_s` that is never null, and a bucket `_b` by a hash of the row."""
-    return docs.withColumns({
-        "size": F.size(words(F.col(text_col))).cast("long"),
-        "_s": F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col))),
-        "_t": F.xxhash64(text_col),
-    })
+#: Sources up to which the table of targets, a row each, is broadcast.
+FEW_SOURCES = 100_000
+
+
+def sized(docs: DataFrame, keep: Sequence[str], text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(row, doc_id, text, size, _s, _t): the kept columns as a struct, and a source key `_s` that is never null."""
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "doc_id", F.col(text_col).alias("text"), F.size(words(F.col(text_col))).cast("long").alias("size"),
+        F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col))).alias("_s"), F.xxhash64(text_col).alias("_t"),
+    )
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, block: int = BLOCK) -> DataFrame:
@@ -68,11 +74,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: f
     filled = filled.withColumn("_at", F.row_number().over(full))
     out = filled.withColumn("level", F.coalesce(settled, F.lit(0.0))).withColumn("target", F.least(F.col("cap"), F.col("level") * F.col("weight")))
     out = out.withColumn("n_blocks", F.ceil(F.col("source_size") / block).cast("long"))
-    # Whole passes count by the words they hold, since the last block of a source may be short; the rest by full blocks.
     passes = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).cast("long")
-    quota = passes * F.col("n_blocks") + F.floor((F.col("target") - passes * F.col("source_size")) / block).cast("long")
-    quota = F.when(F.col("target") > 0, F.greatest(quota, F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long"))
-    return out.select("_s", "rank", "weight", "source_size", "target", "n_blocks", quota.alias("quota"))
+    rest = F.floor(F.col("target") - passes * F.col("source_size")).cast("long")
+    out = out.withColumns({"passes": passes, "rest": rest})
+    # A block more than the rest needs, since the source's last block, which may be short, may be among them.
+    quota = F.col("passes") * F.col("n_blocks") + F.when(F.col("rest") > 0, F.least(F.ceil(F.col("rest") / block) + 1, F.col("n_blocks"))).otherwise(0).cast("long")
+    return out.select("_s", "rank", "weight", "source_size", "target", "n_blocks", "passes", "rest", F.when(F.col("target") > 0, quota).otherwise(0).cast("long").alias("quota"))
 
 
 def block_pieces(docs: DataFrame, n_docs: int, block: int = BLOCK) -> DataFrame:
@@ -141,21 +148,40 @@ def permuted(j: Column, n: Column, key: Column, seed: int = 1) -> Column:
     return F.pmod(F.pmod(multiplier, n) * k + shift, n)
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, block: int = BLOCK, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+def with_takes(slots: DataFrame, block: int = BLOCK) -> DataFrame:
+    """slots (with j, block and their source's targets) plus `take`, the words they take from the start of their block.
+
+    All that the block holds, but for slots of the last pass that reach over the rest. Before the k-th slot of that pass lie k
+    blocks, less what the source's last block lacks if it is among them; its place is found first, one row per source.
+    """
+    last = F.col("block") == F.col("n_blocks") - 1
+    lacks = F.col("n_blocks") * block - F.col("source_size")
+    k = F.col("j") - F.col("passes") * F.col("n_blocks")
+    where = slots.where(last & (k >= 0)).select(F.col("_s").alias("_p"), k.alias("place"))
+    placed = slots.join(where, F.col("_s") == F.col("_p"), "left").drop("_p")
+    holds = F.lit(block) - F.when(last, lacks).otherwise(0)
+    before = k * block - F.when(F.col("place") < k, lacks).otherwise(0)
+    return placed.withColumn("take", F.when(k < 0, holds).otherwise(F.greatest(F.least(holds, F.col("rest") - before), F.lit(0)))).where("take > 0")
+
+
+def mix(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, block: int = BLOCK, seed: int = 1, keep: Sequence[str] | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, slots, targets) of a mix; documents and slots meet on (_s, block).
 
-    documents: the rows of docs with size, start, source_size and target; a document of size n at start covers the blocks
-    start div block to (start + n - 1) div block of its source. slots: (slot, shard, _s, block).
+    documents: sized() with start, source_size and target; a document of size n at start covers the blocks start div block to
+    (start + n - 1) div block of its source. slots: (slot, shard, _s, block, take).
     """
-    counted = sized(docs)
+    counted = sized(docs, ["doc_id"] if keep is None else keep)
     sizes = settle(counted.groupBy("_s").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
-    n_docs = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n_docs, n_sources = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     targets = settle(source_targets(sizes.select("_s", "source_size"), weights, most, block))
+    few = F.broadcast if n_sources <= FEW_SOURCES else lambda df: df
     quotas = [(r["_s"], r["quota"]) for r in targets.where("quota > 0").orderBy("rank").collect()]  # a row per source
-    slots = draw_slots(docs.sparkSession, quotas, seed).join(F.broadcast(targets.select("_s", "n_blocks")), "_s")
-    slots = slots.withColumn("block", permuted(F.col("j"), F.col("n_blocks"), F.col("_s"), seed)).select("slot", "shard", "_s", "block")
-    placed = block_pieces(counted, n_docs, block).join(F.broadcast(targets.select("_s", "source_size", "target")), "_s")
-    return placed, slots, targets
+    slots = draw_slots(docs.sparkSession, quotas, seed).join(few(targets.select("_s", "n_blocks", "source_size", "passes", "rest")), "_s")
+    slots = with_takes(slots.withColumn("block", permuted(F.col("j"), F.col("n_blocks"), F.col("_s"), seed)), block)
+    placed = block_pieces(counted, n_docs, block).join(few(targets.select("_s", "source_size", "target")), "_s")
+    return placed, slots.select("slot", "shard", "_s", "block", "take"), targets
 
 
 def covered_blocks(block: int = BLOCK) -> Column:
@@ -169,37 +195,38 @@ def taken_words(placed: DataFrame, slots: DataFrame, block: int = BLOCK) -> Data
 
     Rows with words differ in (_s, start); rows without words may be equal in every column and get a number of their own.
     """
-    times = slots.groupBy("_s", "block").agg(F.count("*").alias("times"))
+    times = slots.groupBy("_s", "block", "take").agg(F.count("*").alias("times"))
     numbered = placed.withColumn("_n", F.when(F.col("size") == 0, F.monotonically_increasing_id()))
-    keyed = numbered.withColumn("_b", F.explode_outer(covered_blocks(block)))
-    overlap = F.least(F.col("start") + F.col("size"), (F.col("_b") + 1) * block) - F.greatest(F.col("start"), F.col("_b") * block)
-    met = keyed.join(times, (keyed["_s"] == times["_s"]) & (keyed["_b"] == times["block"]), "left").select(
-        *[keyed[c] for c in numbered.columns], F.coalesce(overlap * F.col("times"), F.lit(0)).alias("_w")
-    )
-    return met.groupBy(*numbered.columns).agg(F.sum("_w").cast("long").alias("taken")).drop("_n")
+    keyed = numbered.withColumn("block", F.explode_outer(covered_blocks(block)))
+    ends = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("take"))
+    overlap = F.greatest(ends - F.greatest(F.col("start"), F.col("block") * block), F.lit(0))
+    met = keyed.join(times, ["_s", "block"], "left").withColumn("_w", F.coalesce(overlap * F.col("times"), F.lit(0)))
+    kept = [c for c in placed.columns if c not in ("_s", "start")]
+    return met.groupBy("_s", "start", "_n").agg(*[F.first(c).alias(c) for c in kept], F.sum("_w").cast("long").alias("taken")).drop("_n")
 
 
 def mixed_pieces(docs: DataFrame, block: int, seed: int = 1) -> DataFrame:
-    """The mix itself: one row per slot and document in its block, with docs' columns, the text cut to the block's words."""
+    """The mix itself: one row per slot and document in its block, with docs' columns, the text cut to the words taken."""
     columns = docs.columns
-    placed, slots, _ = mix(docs, block=block, seed=seed)
-    parts = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    keep = [c for c in columns if c not in ("text", "n_chars")]
+    placed, slots, _ = mix(docs, block=block, seed=seed, keep=keep)
+    parts = lambda text: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
 
     def cut(found: Column) -> Column:
         at = lambda b: F.greatest(b * block - F.col("start"), F.lit(0))
         piece = lambda b: F.concat_ws("", F.slice(found, (at(b) + 1).cast("int"), (F.least((b + 1) * block - F.col("start"), F.col("size")) - at(b)).cast("int")))
         return F.transform(covered_blocks(block), lambda b: F.struct(b.alias("block"), piece(b).alias("piece")))
 
-    pieces = placed.select("_s", *[F.col(c) for c in columns if c not in ("text", "n_chars")], F.explode(let(parts, cut)).alias("p"))
-    pieces = pieces.select("*", "p.block", F.col("p.piece").alias("text")).drop("p")
-    times = slots.groupBy("_s", "block").agg(F.count("*").alias("times"))
-    taken = pieces.join(times, ["_s", "block"]).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    made = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return taken.select(*[made[c].alias(c) if c in made else F.col(c) for c in columns])
+    pieces = placed.select("_s", "row", "start", F.explode(let(parts(F.col("text")), cut)).alias("p"))
+    pieces = pieces.select("_s", "row", "p.block", "p.piece", F.greatest(F.col("start") - F.col("p.block") * block, F.lit(0)).alias("ahead"))
+    times = slots.groupBy("_s", "block", "take").agg(F.count("*").alias("times"))
+    taken = pieces.join(times, ["_s", "block"]).where("ahead < take").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    some = F.concat_ws("", F.slice(parts(F.col("piece")), F.lit(1), (F.col("take") - F.col("ahead")).cast("int")))
+    text = F.when(F.col("take") < block, some).otherwise(F.col("piece"))
+    made = {"text": text, "n_chars": F.length(text).cast("long")}
+    return taken.select(*[made[c].alias(c) if c in made else F.col("row").getField(c).alias(c) for c in columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    placed, slots, _ = mix(docs.select("doc_id", "text", "source"))
-    light = placed.select("doc_id", "_t", "_s", "size", "start", "source_size", "target")
-    return taken_words(light, slots).select("doc_id", "size", "source_size", "target", "taken")
+    placed, slots, _ = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return taken_words(placed.drop("text", "row"), slots).select("doc_id", "size", "source_size", "target", "taken")

@@ -143,25 +143,60 @@ def test_targets_are_filled_by_weight(spark):
     assert got["sa"] == 30.0 and got["sb"] == pytest.approx(1980 * 2 / 3) and got["n"] == pytest.approx(1980 / 3)
 
 
-def test_mix_meets_targets(docs, texts):
-    placed, slots, _ = mixing.mix(docs, block=8)
-    rows = mixing.taken_words(placed.select("doc_id", "_t", "_s", "size", "start", "source_size", "target"), slots, 8).collect()
-    assert sorted(r.doc_id for r in rows) == sorted(texts) and all(r.taken <= 3 * r["size"] for r in rows)
-    assert all(r["size"] == len(WORDS.findall(texts[r.doc_id])) for r in rows)
-    for s in {r["_s"] for r in rows}:
+def mixed(docs, block):
+    placed, slots, _ = mixing.mix(docs, block=block)
+    return mixing.taken_words(placed.drop("text", "row"), slots, block).select("doc_id", "size", "source_size", "target", "taken", "_s").collect()
+
+
+def brute_targets(sizes):
+    """Targets by source key: shares by weight, those above three times the size set to that, again until none is."""
+    order = sorted(sizes, key=lambda s: (s == "n", s))
+    weight, fixed, total = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, {}, sum(sizes.values())
+    while True:
+        free = [s for s in order if s not in fixed]
+        level = (total - sum(fixed.values())) / max(sum(weight[s] for s in free), 1)
+        above = [s for s in free if level * weight[s] > 3 * sizes[s]]
+        if not above:
+            return fixed | {s: level * weight[s] for s in free}
+        fixed |= {s: 3.0 * sizes[s] for s in above}
+
+
+def check_mix(rows, docs):
+    frame = [(r.doc_id, len(WORDS.findall(r.text or "")), "n" if r.source is None else "s" + r.source) for r in docs.select("doc_id", "text", "source").collect()]
+    assert Counter((r.doc_id, r["size"], r["_s"]) for r in rows) == Counter(frame)
+    sizes = Counter()
+    for _, n, s in frame:
+        sizes[s] += n
+    targets = brute_targets(dict(sizes))
+    for s in sizes:
         mine = [r for r in rows if r["_s"] == s]
-        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 3 * 8 + 8
-    again, slots2, _ = mixing.mix(docs.repartition(5), block=8)
-    rows2 = mixing.taken_words(again.select("doc_id", "_t", "_s", "size", "start", "source_size", "target"), slots2, 8).collect()
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, rows2))
+        assert mine[0].target == pytest.approx(targets[s]) and mine[0].source_size == sizes[s]
+        assert targets[s] - 1 < sum(r.taken for r in mine) <= targets[s] + 1e-6
+    assert all(0 <= r.taken <= 3 * r["size"] for r in rows)
+
+
+@pytest.mark.parametrize("block", [8, 64])
+def test_mix_meets_targets(docs, block):
+    rows = mixed(docs, block)
+    check_mix(rows, docs)
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixed(docs.repartition(5), block)))
 
 
 def test_mixed_pieces_keep_columns_and_words(docs):
     made = mixing.mixed_pieces(docs, 16)
     assert made.columns == docs.columns
-    placed, slots, _ = mixing.mix(docs, block=16)
-    expected = mixing.taken_words(placed.select("doc_id", "_t", "_s", "size", "start", "source_size", "target"), slots, 16).agg(F.sum("taken")).first()[0]
-    assert sum(len(WORDS.findall(r.text)) for r in made.collect()) == expected
+    got = Counter()
+    for r in made.collect():
+        got[r.doc_id] += len(WORDS.findall(r.text))
+    assert got == Counter({r.doc_id: r.taken for r in mixed(docs, 16) if r.taken})
+
+
+def test_mix_with_clashing_columns(spark, docs):
+    names = ("size", "start", "target", "block", "p", "_s", "row", "take", "times", "_i", "a b", "m")
+    more = docs.limit(20).withColumns({c: F.lit(f"own {c}") for c in names[:-1]} | {"m": F.create_map(F.lit("k"), F.lit(1))})
+    made = mixing.mixed_pieces(more, 16)
+    assert made.columns == more.columns and all(r[c] == f"own {c}" for r in made.collect() for c in names[:-1])
+    check_mix(mixed(more, 8), more)
 
 
 def test_empty_mix(docs):
@@ -263,18 +298,16 @@ def test_run_keeps_one_row_of_each_class(spark, sf, tmp_path, monkeypatch):
 
 def test_mix_keeps_repeated_empty_rows(spark):
     rows = [(1, "", "en", "s", 0)] * 3 + [(None, None, "en", "s", 0)] * 2 + [(2, "a b c", "en", "s", 0)] * 2
-    placed, slots, _ = mixing.mix(spark.createDataFrame(rows, SCHEMA).repartition(3), block=8)
-    got = mixing.taken_words(placed.select("doc_id", "_t", "_s", "size", "start", "source_size", "target"), slots, 8).collect()
-    assert Counter((r.doc_id, r["size"]) for r in got) == {(1, 0): 3, (None, 0): 2, (2, 3): 2}
+    made = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    check_mix(mixed(made, 8), made)
 
 
 def test_small_sources_meet_their_targets(spark):
-    rows = [(1, " ".join(f"a{i}" for i in range(10)), "en", "a", 0), (2, " ".join(f"b{i}" for i in range(4_000)), "en", "b", 0)]
-    docs = spark.createDataFrame(rows, SCHEMA)
-    placed, slots, _ = mixing.mix(docs, block=64)
-    got = {r.doc_id: r for r in mixing.taken_words(placed.select("doc_id", "_t", "_s", "size", "start", "source_size", "target"), slots, 64).collect()}
-    assert got[1].target == got[1].taken == 30 and abs(got[2].taken - got[2].target) < 64
-    assert {r.doc_id for r in mixing.mixed_pieces(docs, 512).collect()} == {1, 2}
+    sizes = {"a": 10, "b": 4_000, "c": 200, "d": 40, None: 63, "e": 65}
+    rows = [(i, " ".join(f"{s}{k}" for k in range(n)), "en", s, 0) for i, (s, n) in enumerate(sizes.items())]
+    made = spark.createDataFrame(rows, SCHEMA)
+    check_mix(mixed(made, 64), made)
+    assert {r.source for r in mixing.mixed_pieces(made, 512).collect()} == set(sizes)
 
 
 def test_band_counts_terms_one_by_one(spark):
