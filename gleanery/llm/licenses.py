@@ -2,16 +2,23 @@
 
 A text is lower-cased (A-Z) and cut into words; one automaton runs over the words joined by single spaces, so a
 phrase matches however its words are separated. Tags are searched in the text itself; the rest of a tag's line is an
-expression of identifiers, `and`, `or`, `with` and brackets.
+expression of identifiers, `and`, `or`, `with` and brackets. Its value says which licences are named, which of them hold
+whatever is chosen (`required`), and whether some choice is free of copyleft (`permissive`); expressions of any length
+are evaluated in one walk.
 
 Defined cases: a null or empty text has no words and score 0; expressions that do not parse give the label
-`unparsed`; very long texts are read whole; repeated rows give equal results; other columns are kept.
+`unparsed`; several tags hold together; without a tag `required` is empty and `permissive` null; very long texts are read
+whole, in time linear in their length; repeated rows give equal results; an empty table gives an empty result; other
+columns are kept.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import pandas as pd
@@ -43,6 +50,8 @@ MORE_PHRASES = {
 }
 TAG = "spdx-license-identifier:"
 TAG_WORDS = "spdx license identifier"
+#: Starts of the names of licences with copyleft.
+COPYLEFT = ("gpl", "lgpl", "agpl", "mpl", "epl", "eupl", "cddl", "cc-by-sa", "osl", "sspl")
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+|\S")
@@ -110,48 +119,69 @@ def evaluate(postfix: list[str]) -> list[frozenset[str]]:
     return stack[0]
 
 
-def expression_labels(postfix: list[str]) -> set[str]:
-    """The licences of all choices together, without listing the choices: and, or join two sets, with names their pairs."""
-    stack: list[set[str]] = []
+@dataclass(frozen=True)
+class Value:
+    """What an expression says: the licences it names, those that hold in every choice, and whether a choice has no copyleft."""
+
+    named: frozenset[str]
+    required: frozenset[str]
+    permissive: bool
+
+
+def value(postfix: list[str]) -> Value:
+    """The value of an expression, without listing its choices."""
+    stack: list[Value] = []
     for token in postfix:
         if token not in PRECEDENCE:
-            stack.append({token})
+            stack.append(Value(frozenset([token]), frozenset([token]), not token.startswith(COPYLEFT)))
             continue
         right, left = stack.pop(), stack.pop()
-        stack.append({f"{x}-with-{y}" for x in left for y in right} if token == "with" else left | right)
+        if token == "with":
+            pairs = lambda a, b: frozenset(f"{x}-with-{y}" for x in a for y in b)
+            stack.append(Value(pairs(left.named, right.named), pairs(left.required, right.required), left.permissive))
+        elif token == "and":
+            stack.append(Value(left.named | right.named, left.required | right.required, left.permissive and right.permissive))
+        else:
+            stack.append(Value(left.named | right.named, left.required & right.required, left.permissive or right.permissive))
     return stack[0]
 
 
-def tag_labels(line: str) -> set[str]:
+def tag_value(line: str) -> Value:
     postfix = parse_expression(line)
-    return {"unparsed"} if postfix is None else expression_labels(postfix)
+    return Value(frozenset(["unparsed"]), frozenset(), False) if postfix is None else value(postfix)
 
 
 def scan(text: str | None, automaton: ahocorasick.Automaton, phrases: dict[str, str]) -> tuple:
-    """(words, places, first, last, base labels, labels, score) of a text."""
+    """(words, places, first, last, base labels, labels, score, required, permissive) of a text."""
     low = (text or "").translate(_LOWER) if text and not text.isascii() else (text or "").lower()
     words = _WORD.findall(low)
     joined = f" {' '.join(words)} "
-    n_base, first, last, base, more, tagged = 0, None, None, set(), set(), False
+    places, base, more, tagged = [], set(), set(), False
     for end, phrase in automaton.iter(joined):
         if phrase == TAG_WORDS:
             tagged = True
             continue
         if phrase in BASE_PHRASES:
-            at = joined.count(" ", 0, end - len(phrase) - 1)
-            n_base, first, last = n_base + 1, at if first is None else min(first, at), at if last is None else max(last, at)
+            places.append(end - len(phrase) - 1)
             base.add(BASE_PHRASES[phrase])
         more.add(phrases[phrase])
-    tags, at = 0, low.find(TAG) if tagged else -1
+    values, at = [], low.find(TAG) if tagged else -1
     while at >= 0:
         end = low.find("\n", at)
-        more |= tag_labels(low[at + len(TAG) : end if end >= 0 else len(low)].strip().removesuffix("*/").removesuffix("-->"))
-        tags, at = tags + 1, low.find(TAG, at + 1)
-    score = 1.0 if tags else 1.0 - 0.5 ** (n_base + len(more - base))
-    return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(base | more)), score
+        values.append(tag_value(low[at + len(TAG) : end if end >= 0 else len(low)].strip().removesuffix("*/").removesuffix("-->")))
+        at = low.find(TAG, end) if end >= 0 else -1
+    first = last = None
+    if places:  # a phrase stands at the space before its first word; the i-th word begins at the i-th space
+        spaces = list(accumulate((len(w) + 1 for w in words), initial=0))
+        first, last = bisect_left(spaces, min(places)), bisect_left(spaces, max(places))
+    more = more.union(*[v.named for v in values])
+    required = frozenset().union(*[v.required for v in values])
+    permissive = all(v.permissive for v in values) if values else None
+    score = 1.0 if values else 1.0 - 0.5 ** (len(places) + len(more - base))
+    return len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(base | more)), score, ",".join(sorted(required)), permissive
 
 
-SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, required string, permissive boolean"
 
 
 def _scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -160,7 +190,7 @@ def _scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     for texts in batches:
         rows = pd.DataFrame([scan(t, automaton, phrases) for t in texts], columns=names)
-        yield rows.astype({"first_word": "Int64", "last_word": "Int64"})
+        yield rows.astype({"first_word": "Int64", "last_word": "Int64", "permissive": "boolean"})
 
 
 def license_scan(text: Column | str) -> Column:
@@ -171,5 +201,3 @@ def license_scan(text: Column | str) -> Column:
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", license_scan("text").alias("s")).select("doc_id", "s.*")
-
-

@@ -1,24 +1,30 @@
 """Toxicity by a weighted lexicon.
 
-Texts are folded first: letters that look like Latin ones become Latin, digits and signs inside words become the
-letters they stand for. One Aho-Corasick automaton then finds lexicon terms and exception phrases in the folded
+Texts are folded first: compatibility forms (NFKC) become plain, combining marks go, letters that look like Latin ones
+become Latin, and digits and signs inside words become the letters they stand for. One Aho-Corasick automaton then finds lexicon terms and exception phrases in the folded
 words; a term inside an exception phrase does not count. The weights found are summed and normalised by length, and a
 logistic curve turns the result into a score.
 
 The lexicon is learned: a term is a word or a stem, its weight its smoothed log odds between toxic and clean labelled documents. Support is
 the number of different words seen before the term in toxic documents, so a term that only copies of one text share
-has next to none. Fitting reads at most `max_rows` labelled rows (a parameter) and keeps at most `max_terms` terms.
+has next to none. Exception phrases are a given table and those that are learned: a term with the word before or after it
+that occurs in clean labelled documents only. Fitting reads at most `max_rows` labelled rows (a parameter), which bounds the
+lexicon; nothing else is cut.
 
 Defined cases: null and empty texts have no hits and get the score of a clean text; with one class only every score is
-that class's; ties in weight are broken by the term; repeated rows are scored alike; other columns are kept.
+that class's; repeated rows are scored alike; very long texts are read whole, in time linear in their length; an empty
+table gives an empty result; other columns are kept.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import pandas as pd
@@ -39,6 +45,7 @@ EXCEPTIONS = ("clown fish", "trash can", "trash bin")
 STEMS = (5, 6, 7, 8)
 
 _FOLD = str.maketrans(HOMOGLYPHS | LEET)
+_MARKS = dict.fromkeys(range(0x300, 0x370))
 _GLYPHS = str.maketrans(HOMOGLYPHS)
 _TOKEN = re.compile(r"[^\W_]+(?:[@$!]+[^\W_]+)*")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -46,8 +53,11 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 def fold(text: str | None) -> list[str]:
     """Folded words. Digits stand for letters only in words that hold a letter."""
-    found = _TOKEN.findall((text or "").lower())
-    if text and not text.isascii():
+    plain = text or ""
+    if not plain.isascii():
+        plain = unicodedata.normalize("NFKC", plain).translate(_MARKS)
+    found = _TOKEN.findall(plain.lower())
+    if not plain.isascii():
         found = [w.translate(_GLYPHS) for w in found]
     return [w if w.isalpha() else w.translate(_FOLD) if _LETTER.search(w) else w for w in found]
 
@@ -100,9 +110,11 @@ def shortest(weights: dict[str, float], slack: float = 0.7) -> dict[str, float]:
 def automaton(lexicon: Lexicon) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for term in lexicon.weights:
-        found.add_word(pattern(term), (term, False))
+        found.add_word(pattern(term), (term, False, len(pattern(term))))
     for phrase in lexicon.exceptions:
-        found.add_word(f" {' '.join(fold(phrase))} ", (phrase, True))
+        if words := fold(phrase):
+            spelled = f" {' '.join(words)} "
+            found.add_word(spelled, (phrase, True, len(spelled)))
     found.make_automaton()
     return found
 
@@ -111,16 +123,22 @@ def hits(folded: list[str], lexicon: Lexicon, found: ahocorasick.Automaton) -> t
     """Number and summed weight of the lexicon terms outside exception phrases."""
     if not len(found):
         return 0, 0.0
-    joined, spans, safe = f" {' '.join(folded)} ", [], []
-    for end, (term, exempt) in found.iter(joined):
-        if exempt:
-            safe.append((end - len(" ".join(fold(term))) - 1, end))
-        else:
-            spans.append((end - len(pattern(term)) + 1, end, term))
-    kept = [t for a, b, t in spans if not any(s <= a and b <= e for s, e in safe)] if safe else [t for _, _, t in spans]
+    kept = [t for _, t in kept_hits(f" {' '.join(folded)} ", found)]
     return len(kept), float(sum(lexicon.weights[t] for t in kept))
 
 
+def kept_hits(joined: str, found: ahocorasick.Automaton) -> list[tuple[int, str]]:
+    """(place, term) of the terms that no exception phrase covers, in a text of folded words between spaces."""
+    spans, safe = [], []
+    for end, (term, exempt, size) in found.iter(joined):
+        (safe if exempt else spans).append((end - size + 1, end, term))
+    if safe:
+        safe.sort()
+        starts, reach = [a for a, _, _ in safe], list(accumulate((b for _, b, _ in safe), max))
+        spans = [(a, b, t) for a, b, t in spans if not (k := bisect_right(starts, a)) or reach[k - 1] < b]
+    return [(a, t) for a, _, t in spans]
+
+
 def toxic_hits(text: Column | str, lexicon: Lexicon) -> Column:
     """A struct (hits, weight, n_words) of a text."""
 
@@ -142,7 +160,32 @@ def normalised(found: Column) -> Column:
     return found["weight"] / (F.lit(1.0) + F.log1p(found["n_words"].cast("double")) / F.lit(10.0))
 
 
-def learn(train: DataFrame, max_terms: int = 5_000, least_support: int = 8, least_weight: float = 2.5, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+def _phrases(lexicon: Lexicon):
+    """A function from texts to the distinct phrases of two words in which a term of the lexicon occurs."""
+
+    def found(texts: pd.Series) -> pd.Series:
+        matcher, out = automaton(lexicon), []
+        for t in texts:
+            joined = f" {' '.join(fold(t))} "
+            phrases = {}
+            for at, _ in kept_hits(joined, matcher) if len(matcher) else ():
+                word = joined[at + 1 : joined.index(" ", at + 1)]
+                before, after = joined[joined.rfind(" ", 0, at) + 1 : at] if at else "", joined[at + len(word) + 2 :].split(" ", 1)[0] if at + len(word) + 2 < len(joined) else ""
+                phrases |= dict.fromkeys([f"{before} {word}"] * bool(before) + [f"{word} {after}"] * bool(after))
+            out.append(list(phrases))
+        return pd.Series(out)
+
+    return found
+
+
+def learn_exceptions(train: DataFrame, lexicon: Lexicon, least: int = 3) -> tuple[str, ...]:
+    """Phrases of a term and the word beside it that occur in `least` clean rows or more and in no toxic one."""
+    seen = train.where("label is not null").select(F.col("label").cast("long").alias("label"), F.explode(pandas_udf(_phrases(lexicon), "array<string>")("text")).alias("phrase"))
+    counts = seen.groupBy("phrase").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    return tuple(sorted(r["phrase"] for r in counts.where((F.col("pos") == 0) & (F.col("neg") >= least)).collect()))  # of labelled rows only
+
+
+def learn(train: DataFrame, least_support: int = 8, least_weight: float = 2.5, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Lexicon and curve from a settled table (text, label)."""
     sizes = {int(r[0]): r[1] for r in train.where("label is not null").groupBy("label").count().collect()}
     if set(sizes) != {0, 1}:
@@ -152,15 +195,16 @@ def learn(train: DataFrame, max_terms: int = 5_000, least_support: int = 8, leas
     seen = train.where("label is not null").select(label.alias("label"), F.explode(pandas_udf(_terms, "array<string>")("text")).alias("term"))
     counts = seen.groupBy("term").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")).where(F.col("pos") >= least_support)
     weight = F.log((F.col("pos") + 0.5) / F.lit(sizes[1] + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(sizes[0] + 1.0))
-    heavy = counts.withColumn("weight", weight).where(F.col("weight") >= least_weight).orderBy(F.desc("weight"), "term").limit(max_terms)
-    rows = {r["term"]: r["weight"] for r in heavy.collect() if r["term"]}  # at most max_terms rows
+    heavy = counts.withColumn("weight", weight).where(F.col("weight") >= least_weight)
+    rows = {r["term"]: r["weight"] for r in heavy.collect() if r["term"]}  # terms of the labelled rows, least_support times or more
     near = pandas_udf(_contexts(frozenset(rows)), "array<struct<before:string,term:string>>")
     pairs = train.where("label = 1").select(F.explode(near("text")).alias("p")).select("p.*").distinct()
     support = {r[0]: r[1] for r in pairs.groupBy("term").count().collect()}  # a row for each of the terms
     lexicon = Lexicon(shortest({t: w for t, w in rows.items() if support.get(t, 0) >= least_support}), exceptions)
+    lexicon = Lexicon(lexicon.weights, tuple(dict.fromkeys([*exceptions, *learn_exceptions(train, lexicon)])))
     curve = settle(train.where("label is not null").select(F.col("label").cast("double").alias("y"), normalised(toxic_hits("text", lexicon)).alias("x")))
     fitted = LogisticRegression(featuresCol="v", labelCol="y", regParam=0.001, maxIter=50).fit(VectorAssembler(inputCols=["x"], outputCol="v").transform(curve))
-    return Lexicon(lexicon.weights, exceptions, float(fitted.coefficients[0]), float(fitted.intercept))
+    return Lexicon(lexicon.weights, lexicon.exceptions, float(fitted.coefficients[0]), float(fitted.intercept))
 
 
 def toxicity_score(found: Column, lexicon: Lexicon) -> Column:

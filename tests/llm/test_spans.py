@@ -67,16 +67,50 @@ def test_phrases_by_brute_force():
         text = " ".join(random.choices(vocabulary, k=random.randint(0, 15)))
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
         places = [(i, label) for p, label in licenses.BASE_PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
-        n, n_base, first, last, base, _, _ = licenses.scan(text, automaton, phrases)
+        n, n_base, first, last, base, *_ = licenses.scan(text, automaton, phrases)
         starts = [i for i, _ in places]
         assert (n, n_base, first, last) == (len(w), len(places), min(starts, default=None), max(starts, default=None))
         assert base == ",".join(sorted({label for _, label in places}))
 
 
+def labels_of(line):
+    return set(licenses.tag_value(line).named)
+
+
+def test_expression_values_equal_their_choices():
+    random.seed(11)
+
+    def made(depth):
+        if not depth or random.random() < 0.3:
+            return random.choice(["MIT", "GPL-2.0-only", "Apache-2.0", "LGPL-2.1", "BSD-3-Clause"])
+        if random.random() < 0.2:
+            return f"{made(0)} WITH {random.choice(['Classpath-exception-2.0', 'LLVM-exception'])}"
+        return f"({made(depth - 1)} {random.choice(['AND', 'OR'])} {made(depth - 1)})"
+
+    for _ in range(300):
+        line = made(4)
+        choices = licenses.evaluate(licenses.parse_expression(line))
+        got = licenses.tag_value(line)
+        free = lambda c: not any(x.startswith(licenses.COPYLEFT) for x in c)
+        assert got.named == frozenset().union(*choices) and got.permissive == any(map(free, choices)), line
+        assert got.required <= frozenset.intersection(*choices)
+    assert licenses.tag_value("MIT OR GPL-2.0").required == frozenset() != licenses.tag_value("MIT AND GPL-2.0").required
+    assert licenses.tag_value("(MIT AND X) OR MIT").required == {"mit"}
+
+
+def test_long_license_text_is_linear():
+    import time
+
+    phrases = licenses.BASE_PHRASES | licenses.MORE_PHRASES
+    began = time.process_time()
+    got = licenses.scan("mit license " * 200_000, licenses._automaton(phrases), phrases)
+    assert got[:4] == (400_000, 200_000, 0, 399_998) and time.process_time() - began < 20
+
+
 def test_expressions():
     assert licenses.evaluate(licenses.parse_expression("MIT OR Apache-2.0 AND BSD-3-Clause")) == [frozenset({"mit"}), frozenset({"apache-2.0", "bsd-3-clause"})]
-    assert licenses.tag_labels("(GPL-2.0-only WITH Classpath-exception-2.0)") == {"gpl-2.0-only-with-classpath-exception-2.0"}
-    assert licenses.tag_labels("MIT OR") == licenses.tag_labels("(MIT") == licenses.tag_labels("") == {"unparsed"}
+    assert labels_of("(GPL-2.0-only WITH Classpath-exception-2.0)") == {"gpl-2.0-only-with-classpath-exception-2.0"}
+    assert labels_of("MIT OR") == labels_of("(MIT") == labels_of("") == {"unparsed"}
 
 
 def test_license_query_edge_cases(spark):
@@ -94,6 +128,43 @@ def test_folding_and_exceptions():
     assert count(None) == count("") == (0, 0.0)
 
 
+def test_folding_of_compatibility_forms_and_marks():
+    assert toxicity.fold("ＩＤＩＯＴ i\u0332d\u0332iot") == ["idiot", "idiot"]
+
+
+def test_exceptions_cover_by_brute_force():
+    random.seed(12)
+    lexicon = toxicity.Lexicon({"a": 1.0, "b": 2.0, "abcde*": 4.0}, ("a b", "b c a", "x abcdefg"))
+    found = toxicity.automaton(lexicon)
+    for _ in range(500):
+        words = random.choices(["a", "b", "c", "x", "abcdefg"], k=random.randint(0, 12))
+        safe = {(i, i + len(p.split())) for p in lexicon.exceptions for i in range(len(words)) if words[i : i + len(p.split())] == p.split()}
+        kept = [w for i, w in enumerate(words) if w in ("a", "b", "abcdefg") and not any(s <= i < e for s, e in safe)]
+        assert toxicity.hits(words, lexicon, found) == (len(kept), sum({"a": 1.0, "b": 2.0, "abcdefg": 4.0}[w] for w in kept))
+
+
+def test_exceptions_are_learned(spark):
+    random.seed(13)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
+    rows = [(" ".join([*random.sample(words, 30), random.choice(words), *(["crab apple"] if y == 0 and i % 40 == 0 else ["crab"] * y)]), y) for i in range(240) for y in (i % 2,)]
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "text string, label int"))
+    assert "crab" in lexicon.weights and "crab apple" in lexicon.exceptions
+    assert toxicity.hits(toxicity.fold("crab apple crab"), lexicon, toxicity.automaton(lexicon))[0] == 1
+
+
+def test_toxicity_held_out(spark, sf):
+    got = toxicity.op4_toxicity(spark, sf)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    met = got.join(labels, "doc_id").where("held_out").agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int"))).first()[0]
+    assert got.count() == 200 and met >= 0.9
+
+
+def test_toxicity_edge_cases(spark):
+    lexicon = toxicity.Lexicon({"vile": 3.0}, (), 1.0, -2.0)
+    rows = spark.createDataFrame([*EDGE, (8, "vile " * 200_000, "z")], SCHEMA).select("doc_id", toxicity.toxic_hits("text", lexicon).alias("f")).collect()
+    assert [r.f.hits for r in rows] == [0] * len(EDGE) + [200_000]
+
+
 def test_toxicity_learns(spark):
     random.seed(5)
     words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
@@ -209,9 +280,9 @@ def test_cues_in_any_case():
 
 def test_long_expressions_are_evaluated():
     line = " AND ".join(f"(L{i} OR M{i})" for i in range(40)) + " AND GPL-2.0-only WITH Classpath-exception-2.0"
-    assert licenses.tag_labels(line) == {f"{x}{i}" for i in range(40) for x in "lm"} | {"gpl-2.0-only-with-classpath-exception-2.0"}
+    assert labels_of(line) == {f"{x}{i}" for i in range(40) for x in "lm"} | {"gpl-2.0-only-with-classpath-exception-2.0"}
     short = "(A OR B AND C) WITH X OR D"
-    assert licenses.tag_labels(short) == set().union(*licenses.evaluate(licenses.parse_expression(short)))
+    assert labels_of(short) == set().union(*licenses.evaluate(licenses.parse_expression(short)))
 
 
 def test_round_trip_of_whole_lists(spark):
