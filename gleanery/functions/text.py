@@ -38,13 +38,15 @@ def strip_tags(text: Column) -> Column:
 
 
 def decode_and_normalise(text: Column) -> Column:
-    """Entities decoded, tags as spaces, NFKC. Spark has no entity table and no Unicode normaliser, so this is an Arrow function."""
+    """Entities decoded, tags as spaces, NFKC. Spark has no entity table and no Unicode normaliser, so this is an Arrow function;
+    it is sent only the texts that hold an ampersand or a character beyond ASCII, which are all that these steps can change."""
     tag = re.compile("<[^>]+>")
 
     def decode(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", tag.sub(" ", html.unescape(t))))
 
-    return pandas_udf(decode, "string")(text)
+    changes = text.rlike(r"&|[^\x00-\x7F]")
+    return F.when(changes, pandas_udf(decode, "string")(F.when(changes, text))).otherwise(strip_tags(text))
 
 
 def clean_text(text: Column, native: bool = False) -> Column:

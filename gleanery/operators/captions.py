@@ -20,6 +20,7 @@ CATEGORIES = {
     "vehicle": ("car", "truck", "bike", "vehicle", "plane", "boat"),
 }
 NO_TAGS = ("the", "a", "an", "and", "or", "but", "is", "on", "in", "to", "for", "with", "of", "at", "by", "from", "as", "stock", "photo", "image", "picture", "royalty-free", "premium", "high-res")
+# What counts as an entity and as a tag.
 ENTITY = r"(?U)\b[A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)*\b"
 TAG = r"(?U)\b[a-zA-Z_-]+\b"
 
@@ -43,7 +44,7 @@ def category(found: Column, categories: Mapping[str, tuple[str, ...]] = CATEGORI
 
 def enrich_captions(items: DataFrame, topic: str, categories: Mapping[str, tuple[str, ...]] = CATEGORIES, stop: tuple[str, ...] = ENGLISH) -> DataFrame:
     """Image items with tags, entities, category and a score that is at least 0.4 where a topic word occurs."""
-    scored = cosine_to_topic(items.where("caption <> ''"), topic, "caption", max_features=5_000, bigrams=False, sublinear=False, stop=stop)
+    scored = cosine_to_topic(items.where("caption <> ''"), topic, "caption", max_features=5_000, bigrams=False, sublinear=False, stop=stop, when_empty=1.0)
     hit = F.lit(False)
     for word in topic.lower().split():
         if len(word) > 3:
@@ -55,6 +56,7 @@ def enrich_captions(items: DataFrame, topic: str, categories: Mapping[str, tuple
 
 def preprocess_manifest(configs: DataFrame) -> DataFrame:
     """Configurations (target_size, quality, output_format, grayscale, edge_enhance, equalize) with `format` and `steps`."""
+    # The wording of the steps.
     size = F.concat_ws("x", F.transform("target_size", lambda x: x.cast("string")))
     steps = F.array(
         F.concat(F.lit("Resize to "), size, F.lit(" (Lanczos)")), F.lit("RGB channel normalization"), F.when(F.col("equalize"), "Histogram equalization"), F.when(F.col("edge_enhance"), "Edge enhancement"),

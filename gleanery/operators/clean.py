@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
 from gleanery.functions import text as T
 
 
@@ -23,6 +21,11 @@ def clean_captions(items: DataFrame, native: bool = False) -> DataFrame:
 
 def exact_dedup(items: DataFrame) -> DataFrame:
     """The best-scored copy of each text: score, then source and place decide."""
-    order = Window.partitionBy("_hash").orderBy(F.desc("score"), "source_url", "item_idx")
-    ranked = items.withColumn("_hash", T.content_hash(F.col("text"))).withColumn("_rank", F.row_number().over(order))
-    return ranked.where("_rank = 1").drop("_hash", "_rank")
+    return first_of(items, T.content_hash(F.col("text")), F.struct(F.col("score").isNull(), -F.col("score"), "source_url", "item_idx"))
+
+
+def first_of(rows: DataFrame, group: Column, order: Column) -> DataFrame:
+    """The first row of each group. Copies meet on the map side first, so that a frequent group does not fill one task."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    best = rows.groupBy(group.alias("group")).agg(F.min_by(whole, order).alias("row"))
+    return best.select(*[F.col("row").getField(c).alias(c) for c in rows.columns])

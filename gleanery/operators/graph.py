@@ -10,10 +10,13 @@ from gleanery.operators.lineage import settle
 
 
 def mentions(paragraphs: DataFrame, extract=None) -> DataFrame:
-    """(source_url, item_idx, node): distinct entities of each paragraph; `extract` maps the text column to an array."""
+    """(source_url, item_idx, node): distinct entities of each paragraph; `extract` maps the text column to an array.
+
+    Items without text, such as the maps of other modalities, take no part.
+    """
     found = (extract or (lambda c: entities(c, longer_than=2, stop=())))(F.col("text"))
     nodes = F.array_distinct(F.transform(found, lambda e: F.replace(e, F.lit("\n"), F.lit(" "))))
-    return paragraphs.select("source_url", "item_idx", F.explode(nodes).alias("node"))
+    return paragraphs.where(F.col("text").isNotNull()).select("source_url", "item_idx", F.explode(nodes).alias("node"))
 
 
 def node_weights(found: DataFrame) -> DataFrame:
@@ -85,6 +88,11 @@ def concept_links(records: DataFrame) -> DataFrame:
 
 
 def source_star(sources: DataFrame, hub: str) -> DataFrame:
-    """(id, name, val): one hub and a node for each source."""
+    """(id, name, val): one hub and a node for each source; star_links gives the links."""
     nodes = sources.select(F.col("url").alias("id"), F.col("domain").alias("name"), (F.col("relevance_score") * 10).alias("val"))
     return nodes.unionByName(sources.sparkSession.range(1).select(F.lit("hub").alias("id"), F.lit(hub).alias("name"), F.lit(20.0).alias("val")))
+
+
+def star_links(sources: DataFrame) -> DataFrame:
+    """(source, target): the hub's link to each source."""
+    return sources.select(F.lit("hub").alias("source"), F.col("url").alias("target"))

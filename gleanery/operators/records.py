@@ -36,6 +36,18 @@ def build_records(items: DataFrame, modality: str, run_ts: str, content: Column,
     )
 
 
+def content_of(modality: str) -> Column:
+    """What a record of a modality holds as its content, from the item's columns."""
+    if modality == "graph_gnn":
+        return edge_content(F.col("source_node"), F.col("target_node"))
+    return F.lit("") if modality == "network" else F.col({"image_cnn": "caption", "audio": "transcript"}.get(modality, "text"))
+
+
+def passed_through(items: DataFrame) -> DataFrame:
+    """Structured items as they are, with the full score."""
+    return items.withColumn("score", F.lit(1.0))
+
+
 def edge_content(source: Column, target: Column) -> Column:
     return F.concat(F.coalesce(source, F.lit("")), F.lit(" -> "), F.coalesce(target, F.lit("")))
 
@@ -54,12 +66,19 @@ def toggled(chosen: DataFrame, changed: DataFrame) -> DataFrame:
     return chosen.exceptAll(changed).unionByName(changed.exceptAll(chosen))
 
 
+def edited(chosen: DataFrame, every: DataFrame, how: str) -> DataFrame:
+    """The chosen ids after a choice of all or none of the ids shown."""
+    if how not in ("all", "none"):
+        raise ValueError("how must be all or none")
+    return chosen.unionByName(every).distinct() if how == "all" else chosen.exceptAll(every)
+
+
 def preview(records: DataFrame, most: int = PREVIEW) -> DataFrame:
     """The best records as rows for display."""
     host = F.try_parse_url(F.element_at("metadata", "source_url"), F.lit("HOST"))
     top = records.orderBy(F.desc("score"), "source_url", "item_idx").limit(most)
     percent = F.when(F.coalesce("score", F.lit(0.0)) == 0, F.lit("100")).otherwise(F.round(F.col("score") * 100, 0).cast("int").cast("string"))
-    return top.select("id", F.coalesce(F.nullif("content", F.lit("")), F.substring(F.to_json(F.struct("id", "type", "content")), 1, 100)).alias("content"), F.coalesce(host, F.nullif("source_url", F.lit("")), F.lit("Unknown")).alias("source"), percent.alias("percent"))
+    return top.select("id", F.coalesce(F.nullif("content", F.lit("")), F.substring(F.to_json(F.struct("id", "type", "content", "tags", "entities", "category", "metadata")), 1, 100)).alias("content"), F.coalesce(host, F.nullif("source_url", F.lit("")), F.lit("Unknown")).alias("source"), percent.alias("percent"))
 
 
 def run_summary(sources: DataFrame, records: DataFrame, topic: str, modality: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
@@ -12,22 +12,16 @@ from gleanery.plans.sql import TOPIC, oracle_sql  # noqa: F401  (part of this mo
 from gleanery.sources import html, sinks, tables
 
 RUN_TS = "2026-01-01T00:00:00+00:00"
-ASCII = r"^[\x00-\x7F]*$"
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
     return tables.text_items(tables.read(spark, sf, "documents"))
 
 
-def _english(spark: SparkSession, sf: str) -> DataFrame:
-    """English ASCII lines, the paragraphs of the entity graph."""
-    return tables.text_items(tables.read(spark, sf, "documents").where("lang = 'en'")).where(F.col("text").rlike(ASCII))
-
-
 def _captions(spark: SparkSession, sf: str) -> DataFrame:
-    """First lines of English documents as captions."""
-    first = _english(spark, sf).where("item_idx = 0")
-    return first.select("source_url", "item_idx", F.concat(F.lit("https://img.example.com/"), "source_url", F.lit(".png")).alias("image_url"), F.col("text").alias("caption"))
+    """The lines of documents as captions."""
+    address = F.concat(F.lit("https://img.example.com/"), "source_url", F.lit("/"), "item_idx", F.lit(".png"))
+    return _items(spark, sf).select("source_url", "item_idx", address.alias("image_url"), F.col("text").alias("caption"))
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,7 +40,7 @@ def rank_sources(spark, sf):
 
 
 def modality_query(spark, sf):
-    topics = tables.read(spark, sf, "benchmark").select("item_id", F.explode(F.array(*[F.lit(m) for m in tables.SUFFIXES])).alias("modality"), F.substring("text", 1, 40).alias("topic"))
+    topics = tables.read(spark, sf, "benchmark").select("item_id", F.explode(F.array(*[F.lit(m) for m in tables.SUFFIXES])).alias("modality"), F.col("text").alias("topic"))
     return topics.select("item_id", "modality", tables.modality_query(F.col("topic"), F.col("modality")).alias("query"))
 
 
@@ -55,12 +49,12 @@ def clean_paragraphs(spark, sf):
 
 
 def boilerplate_flags(spark, sf):
-    cleaned = _items(spark, sf).withColumn("c", T.clean_text(F.col("text"), native=True))
+    cleaned = _items(spark, sf).withColumn("c", T.clean_text(F.col("text")))
     return cleaned.select("source_url", "item_idx", T.is_navigation(F.col("c")).alias("navigation"), (F.length("c") < T.MIN_LENGTH).alias("short"))
 
 
 def special_ratio(spark, sf):
-    cleaned = _items(spark, sf).withColumn("c", T.clean_text(F.col("text"), native=True))
+    cleaned = _items(spark, sf).withColumn("c", T.clean_text(F.col("text")))
     return cleaned.select("source_url", "item_idx", F.round(T.special_share(F.col("c")), 6).alias("share"))
 
 
@@ -91,7 +85,7 @@ def vocab_topk(spark, sf):
 
 
 def _scored(spark, sf):
-    return tfidf.score_paragraphs(clean.clean_paragraphs(_items(spark, sf), native=True), TOPIC)
+    return tfidf.score_paragraphs(clean.clean_paragraphs(_items(spark, sf)), TOPIC)
 
 
 def score_paragraphs(spark, sf):
@@ -118,15 +112,15 @@ def fuzzy_dedup(spark, sf):
 
 
 def clean_captions(spark, sf):
-    return clean.clean_captions(_captions(spark, sf), native=True)
+    return clean.clean_captions(_captions(spark, sf))
 
 
 def caption_entities(spark, sf):
-    return _captions(spark, sf).select("source_url", F.array_join(captions.entities(F.col("caption")), "|").alias("entities"))
+    return _captions(spark, sf).select("source_url", "item_idx", F.array_join(captions.entities(F.col("caption")), "|").alias("entities"))
 
 
 def caption_tags(spark, sf):
-    return _captions(spark, sf).select("source_url", F.array_join(captions.tags(F.col("caption")), "|").alias("tags"))
+    return _captions(spark, sf).select("source_url", "item_idx", F.array_join(captions.tags(F.col("caption")), "|").alias("tags"))
 
 
 #: Categories over words that the synthetic captions hold.
@@ -134,15 +128,15 @@ CATEGORIES = {"first": ("thth", "thon", "that"), "second": ("ering", "anre", "wi
 
 
 def caption_category(spark, sf):
-    return _captions(spark, sf).select("source_url", captions.category(captions.tags(F.col("caption")), CATEGORIES).alias("category"))
+    return _captions(spark, sf).select("source_url", "item_idx", captions.category(captions.tags(F.col("caption")), CATEGORIES).alias("category"))
 
 
 def _enriched(spark, sf):
-    return captions.enrich_captions(clean.clean_captions(_captions(spark, sf), native=True), TOPIC, CATEGORIES)
+    return captions.enrich_captions(clean.clean_captions(_captions(spark, sf)), TOPIC, CATEGORIES)
 
 
 def enrich_captions(spark, sf):
-    return _enriched(spark, sf).select("source_url", "score", "category", F.array_join("tags", "|").alias("tags"), F.array_join("entities", "|").alias("entities"))
+    return _enriched(spark, sf).select("source_url", "item_idx", "score", "category", F.array_join("tags", "|").alias("tags"), F.array_join("entities", "|").alias("entities"))
 
 
 def preprocess_manifest(spark, sf):
@@ -152,7 +146,7 @@ def preprocess_manifest(spark, sf):
 
 
 def _mentions(spark, sf):
-    return graph.mentions(_english(spark, sf))
+    return graph.mentions(_items(spark, sf))
 
 
 def entity_nodes(spark, sf):
@@ -182,13 +176,21 @@ def edge_dataset(spark, sf):
 
 
 def edge_view(spark, sf):
+    return graph.edge_view(_edge_records(spark, sf))[0]
+
+
+def _edge_records(spark, sf):
+    """Edges in the order of their nodes' names, numbered without bringing all to one task."""
     edges = graph.edge_weights(_mentions(spark, sf)).select(F.col("src").alias("source_node"), F.col("dst").alias("target_node"))
-    nodes, _ = graph.edge_view(edges.withColumn("seq", F.xxhash64("source_node") * 0))
-    return nodes.select("id")
+    return sinks.numbered(edges, ["source_node", "target_node"], "seq")
+
+
+def edge_view_links(spark, sf):
+    return graph.edge_view(_edge_records(spark, sf))[1]
 
 
 def concept_graph(spark, sf):
-    named = _captions(spark, sf).select(F.col("source_url").alias("id"), captions.tags(F.col("caption")).alias("tags"), captions.entities(F.col("caption")).alias("entities"))
+    named = _captions(spark, sf).select(F.concat_ws("/", "source_url", "item_idx").alias("id"), captions.tags(F.col("caption")).alias("tags"), captions.entities(F.col("caption")).alias("entities"))
     return graph.concept_links(named)
 
 
@@ -196,6 +198,103 @@ def source_star(spark, sf):
     return graph.source_star(tables.rank_sources(_hits(spark, sf), 50), "topic")
 
 
+def source_star_links(spark, sf):
+    return graph.star_links(tables.rank_sources(_hits(spark, sf), 50))
+
+
+def selected_sources(spark, sf):
+    flags = tables.read(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 4 != 0, F.col("page_id") % 4 == 1).alias("selected"))
+    return tables.selected(flags).select("page_id")
+
+
+def select_all_ids(spark, sf):
+    labels = tables.read(spark, sf, "labels")
+    return records.edited(labels.where("quality = 1").select("doc_id").distinct(), tables.read(spark, sf, "documents").select("doc_id").distinct(), "all")
+
+
+def select_no_ids(spark, sf):
+    labels = tables.read(spark, sf, "labels")
+    return records.edited(labels.where("quality = 1").select("doc_id").distinct(), labels.where("toxic = 1").select("doc_id").distinct(), "none")
+
+
+def network_records(spark, sf):
+    """Rows of supplier as structured items that pass without cleaning."""
+    items = tables.read(spark, sf, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("source_url"), F.lit(0).alias("item_idx"), F.create_map(F.lit("name"), F.col("s_name"), F.lit("nation"), F.col("s_nationkey").cast("string")).alias("m"))
+    made = records.build_records(records.passed_through(items), "network", RUN_TS, records.content_of("network"), F.col("m"))
+    of = lambda k: F.element_at("metadata", k)
+    return made.select("type", "content", "score", of("source_url").alias("source_url"), of("name").alias("name"), of("nation").alias("nation"), of("relevance_score").alias("relevance_score"))
+
+
+def graph_records(spark, sf):
+    """Edges as records, their content the two ends."""
+    edges = graph.edge_weights(_mentions(spark, sf)).select(F.col("src").alias("source_node"), F.col("dst").alias("target_node"), F.lit("Synthesized Graph").alias("source_url"), F.lit(0).alias("item_idx"), F.col("weight").cast("double").alias("score"))
+    return records.build_records(edges, "graph_gnn", RUN_TS, records.content_of("graph_gnn")).select("id", "type", "content", "score")
+
+
+def _escaped(text):
+    """A text as the text of an element."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def _composed(rows, url, *parts):
+    """Pages (url, html) composed from columns of a table."""
+    return rows.select(url.alias("url"), F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]).alias("html"))
+
+
+def composed_paragraphs(spark, sf):
+    """Lines of documents as paragraphs of a page for each document; every seventh document lies in a footer."""
+    docs = tables.read(spark, sf, "documents").where("text is not null")
+    lines = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("<p>"), _escaped(x), F.lit("</p>"))), "")
+    holder = F.when(F.col("doc_id") % 7 == 0, "footer").otherwise("div")
+    pages = _composed(docs, F.concat(F.lit("https://doc.example.com/"), "doc_id"), "<script>var p = '<p>';</script><", holder, ">", lines, "</", holder, ">")
+    return html.extract(pages, "text").select("source_url", F.sha1(F.col("text").cast("binary")).alias("sha"), F.length("text").alias("n"))
+
+
+def composed_images(spark, sf):
+    """Parts as pictures; every third has an alternative text, the others lie in figures with the name and brand."""
+    part, key = tables.read(spark, sf, "part"), F.col("p_partkey").cast("string")
+    alone = F.concat(F.lit('<img src="/img/'), key, F.lit('.png" alt=" '), F.col("p_name"), F.lit(' ">'))
+    figure = F.concat(F.lit("<figure><b> "), F.col("p_name"), F.lit("</b> <i>"), F.col("p_brand"), F.lit("</i><img src='"), key, F.lit(".jpg'></figure>"))
+    pages = _composed(part, F.concat(F.lit("https://shop.example.com/p/"), key, F.lit(".html")), F.when(F.col("p_partkey") % 3 == 0, alone).otherwise(figure))
+    return html.extract(pages, "image_cnn")
+
+
+def composed_audio(spark, sf):
+    """Turns of conversations with a recording: named in lower case, behind a question mark, or in upper case (which is none)."""
+    talks = tables.read(spark, sf, "conversations").where("text is not null")
+    name = F.concat_ws("-", "conv_id", "turn")
+    link = F.concat(F.lit("a/"), name, F.element_at(F.array(*[F.lit(x) for x in (".mp3", ".wav?x=1", ".MP3")]), (F.col("turn") % 3 + 1).cast("int")))
+    pages = _composed(talks, F.concat(F.lit("https://talk.example.com/"), name, F.lit("/index.html")), "<div>", _escaped(F.col("text")), "<audio src='", link, "'></audio></div>")
+    return html.extract(pages, "audio")
+
+
+def composed_headings(spark, sf):
+    """Customers as headings over a list of their segment and nation; every fifth has a paragraph between."""
+    rows = tables.read(spark, sf, "customer")
+    between = F.when(F.col("c_custkey") % 5 == 0, "<p>none</p>").otherwise("")
+    pages = _composed(rows, F.concat(F.lit("https://c.example.com/"), "c_custkey"), "<h3> ", F.col("c_name"), " </h3>", between, "<div></div><ul><li>", F.col("c_mktsegment"), "</li><li>nation ", F.col("c_nationkey").cast("string"), "</li></ul>")
+    return html.extract(pages, "header_edges")
+
+
+def composed_tables(spark, sf):
+    """Suppliers as a table with a header for two of three columns; every fourth row is short."""
+    rows = tables.read(spark, sf, "supplier")
+    cells = F.when(F.col("s_suppkey") % 4 == 0, "").otherwise(F.concat(F.lit("<td> "), F.col("s_nationkey").cast("string"), F.lit("</td><td>x</td>")))
+    pages = _composed(rows, F.concat(F.lit("https://s.example.com/"), "s_suppkey"), "<table><tr><th>name</th><th>nation</th><th></th></tr><tr><td>", F.col("s_name"), "</td>", cells, "</tr></table>")
+    of = lambda k: F.coalesce(F.try_element_at("row", F.lit(k)), F.lit("-"))
+    return html.extract(pages, "network").select("source_url", "item_idx", of("name").alias("name"), of("nation").alias("nation"), of("feature_2").alias("third"))
+
+
+def approximate_recall(spark, sf):
+    """How many of the similar pairs the approximate operator finds, and whether it finds any other."""
+    docs = _unique_docs(spark, sf).select(F.substring("source_url", 5, 20).cast("long").alias("id"), "text")
+    exact, near = dedup.similar_pairs(docs).select("a", "b"), dedup.approximate_pairs(docs).select("a", "b", F.lit(1).alias("found"))
+    met = exact.withColumn("true", F.lit(1)).join(near, ["a", "b"], "full")
+    return met.agg((F.sum(F.col("true") * F.col("found")) >= 0.9 * F.sum("true")).alias("recall_reached"), F.count_if(F.col("true").isNull()).alias("wrong"))
+
+
 def audio_ext(spark, sf):
     kinds = ("process", "download", "generic_image", "generic_audio")
     made = tables.read(spark, sf, "pages").select("page_id", F.concat("url", F.element_at(F.array(*[F.lit(x) for x in (".mp3", ".WAV?x=1", ".ogg", ".png", "")]), (F.col("page_id") % 5 + 1).cast("int"))).alias("u"))
@@ -224,13 +323,15 @@ def _event_records(spark, sf):
 
 
 def metadata_keys(spark, sf):
-    return sinks.metadata_keys(_event_records(spark, sf), ["item_idx"]).select("key")
+    """Keys with their place in the order of first occurrence."""
+    keys = sinks.key_columns(_event_records(spark, sf), ["item_idx"])
+    return spark.createDataFrame(list(enumerate(keys)), "place int, key string")  # the columns of the flat export
 
 
 def flat_csv(spark, sf):
     made = _event_records(spark, sf)
-    keys = [r["key"] for r in sinks.metadata_keys(made, ["item_idx"]).orderBy("pos").collect() if r["key"] != "relevance_score"]
-    return sinks.flat_rows(made, keys)
+    flat = sinks.flat_rows(made, sinks.key_columns(made, ["item_idx"]))
+    return flat.withColumn("metadata.relevance_score", F.col("`metadata.relevance_score`").cast("double"))
 
 
 def select_by_id(spark, sf):
@@ -261,7 +362,7 @@ def run_summary(spark, sf):
 
 def stage_funnel(spark, sf):
     items = _items(spark, sf)
-    cleaned = clean.clean_paragraphs(items, native=True)
+    cleaned = clean.clean_paragraphs(items)
     scored = tfidf.score_paragraphs(cleaned, TOPIC)
     return records.stage_funnel([("clean", items, cleaned), ("score", cleaned, scored), ("exact", scored, clean.exact_dedup(scored))])
 
@@ -291,6 +392,26 @@ def media_manifest(spark, sf):
     return sinks.media_manifest(pages, ["page_id"], "image_cnn")
 
 
+def media_manifest_audio(spark, sf):
+    return _recordings(spark, sf, "audio")
+
+
+def media_manifest_spectrograms(spark, sf):
+    return _recordings(spark, sf, "spectrogram")
+
+
+def media_manifest_files(spark, sf):
+    return _recordings(spark, sf, "file_audio")
+
+
+def _recordings(spark, sf, modality):
+    """Pages as recordings: the address is a column for even pages, metadata for the others but every seventh."""
+    ends = F.concat("url", F.element_at(F.array(*[F.lit(x) for x in (".mp3", ".WAV", ".ogg")]), (F.col("page_id") % 3 + 1).cast("int")))
+    kept = F.when(F.col("page_id") % 7 != 0, F.create_map(F.lit("audio_url"), ends)).otherwise(F.create_map().cast("map<string,string>"))
+    pages = tables.read(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, ends).alias("audio_url"), kept.alias("metadata"))
+    return sinks.media_manifest(pages, ["page_id"], modality)
+
+
 def _extracted(modality: str):
     def query(spark, sf):
         return html.extract(tables.latest_pages(tables.read(spark, sf, "pages")), modality)
@@ -311,7 +432,8 @@ def queries() -> dict:
     """Every curation query by name."""
     named = (
         page_domains, rank_sources, modality_query, clean_paragraphs, boilerplate_flags, special_ratio, exact_dedup, tokens, bigrams, tfidf_idf, vocab_topk, score_paragraphs, score_topics, similar_pairs, fuzzy_dedup,
-        clean_captions, caption_entities, caption_tags, caption_category, enrich_captions, preprocess_manifest, entity_nodes, entity_edges, pagerank, edge_dataset, edge_view, concept_graph, source_star, audio_ext, audio_scores,
+        clean_captions, caption_entities, caption_tags, caption_category, enrich_captions, preprocess_manifest, entity_nodes, entity_edges, pagerank, edge_dataset, edge_view, concept_graph, source_star, source_star_links, edge_view_links, selected_sources, select_all_ids, select_no_ids, network_records, graph_records,
+        composed_paragraphs, composed_images, composed_audio, composed_headings, composed_tables, approximate_recall, media_manifest_audio, media_manifest_spectrograms, media_manifest_files, audio_ext, audio_scores,
         build_records, metadata_keys, flat_csv, select_by_id, select_by_url, id_set_ops, preview_top50, run_summary, stage_funnel, status_log_digest, progress_scale, selection_counts, document_files, media_manifest, page_tables, fetch_outcome,
     )
     return {f.__name__: f for f in named} | {"page_paragraphs": _extracted("text"), "page_images": _extracted("image_cnn"), "page_audio": _extracted("audio"), "header_edges": _extracted("header_edges")}

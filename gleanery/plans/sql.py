@@ -38,8 +38,7 @@ def _hash(x: str) -> str:
 
 
 _LINES = "select 'doc:' || doc_id as source_url, (unnest(range(1, len(ls) + 1)) - 1)::int as item_idx, unnest(ls) as text, lang from (select doc_id, lang, string_split(text, chr(10)) as ls from documents)"
-_ENGLISH = rf"select source_url, item_idx, text from ({_LINES}) where lang = 'en' and regexp_matches(text, '^[\x00-\x7F]*$')"
-_CAPTIONS = f"select source_url, item_idx, 'https://img.example.com/' || source_url || '.png' as image_url, text as caption from ({_ENGLISH}) where item_idx = 0"
+_CAPTIONS = f"select source_url, item_idx, 'https://img.example.com/' || source_url || '/' || item_idx || '.png' as image_url, text as caption from ({_LINES})"
 _WHOLE = "select 'doc:' || doc_id as source_url, 0 as item_idx, text, doc_id from documents"
 _UNIQUE = f"select * from (select *, row_number() over (partition by {_hash('text')} order by source_url, item_idx) as r from ({_WHOLE})) where r = 1"
 _RANKED = r"""select 'Page ' || page_id as title, url, ltrim(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), 'w.') as domain,
@@ -88,26 +87,31 @@ s0 as (select id, null::boolean as kept from (select e as id from o union select
 _STOPTAGS = "['the', 'a', 'an', 'and', 'or', 'but', 'is', 'on', 'in', 'to', 'for', 'with', 'of', 'at', 'by', 'from', 'as', 'stock', 'photo', 'image', 'picture', 'royalty-free', 'premium', 'high-res']"
 
 
+def _bounded(x: str) -> str:
+    """Letters and digits beyond ASCII as 0 and other characters beyond ASCII as ~: DuckDB's word boundaries know ASCII only."""
+    return rf"regexp_replace(regexp_replace({x}, '[^\x00-\x7F\p{{L}}\p{{N}}\p{{M}}]', '~', 'g'), '[^\x00-\x7F]', '0', 'g')"
+
+
 def _first_seen(x: str) -> str:
     """Distinct elements in order of their first occurrence."""
     return f"list_transform(list_sort(list_transform(list_distinct({x}), lambda v: {{'at': list_position({x}, v), 'v': v}})), lambda s: s.v)"
 
 
 def _entities(x: str, longer: int, stop: bool) -> str:
-    found = rf"regexp_extract_all({x}, '\b[A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)*\b')"
+    found = rf"regexp_extract_all({_bounded(x)}, '\b[A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)*\b')"
     keep = f"length(e) > {longer}" + (f" and not list_contains({_STOPTAGS}, lower(e))" if stop else "")
     return f"list_filter({_first_seen(found)}, lambda e: {keep})"
 
 
 def _tags(x: str) -> str:
-    found = rf"list_filter(regexp_extract_all(lower({x}), '\b[a-zA-Z_-]+\b'), lambda w: length(w) > 2 and not list_contains({_STOPTAGS}, w))"
+    found = rf"list_filter(regexp_extract_all({_bounded(f'lower({x})')}, '\b[a-zA-Z_-]+\b'), lambda w: length(w) > 2 and not list_contains({_STOPTAGS}, w))"
     return f"{_first_seen(found)}[1:5]"
 
 
 _CATEGORY = "case when list_has_any(tg, ['thth', 'thon', 'that']) then 'first' when list_has_any(tg, ['ering', 'anre', 'with']) then 'second' when list_has_any(tg, ['and', 'this', 'are']) then 'third' else 'general' end"
 _CLEAN_CAPTIONS = rf"""select source_url, item_idx, image_url, caption from (select source_url, item_idx, image_url, {_clean(rf"regexp_replace(regexp_replace(caption, '(?i)(stock pictures, royalty-free photos & images|royalty-free images|stock photos|high-res pictures).*', ''), '{_TRIM}', '', 'g')")} as caption
   from ({_CAPTIONS}) where caption <> '' and not regexp_matches(lower(caption), 'istock|getty|shutterstock|stock images|stock pictures|royalty-free|premium high-res|download free')) where length(caption) > 3"""
-_MENTIONS = f"select source_url, item_idx, unnest({_entities('text', 2, False)}) as node from ({_ENGLISH})"
+_MENTIONS = f"select source_url, item_idx, unnest({_entities('text', 2, False)}) as node from ({_LINES})"
 _EDGES = f"m as materialized ({_MENTIONS}), nd as materialized (select node, count(*) as weight from m group by node), ed as materialized (select a.node as src, b.node as dst, count(*) as weight from m a join m b on a.source_url = b.source_url and a.item_idx = b.item_idx and a.node < b.node group by all)"
 
 
@@ -126,6 +130,11 @@ _AUDIO = "select 'conv:' || conv_id as source_url, turn::int as item_idx, 'https
 _EXT = "case when contains(l, 'png') then 'png' when contains(l, 'webp') then 'webp' when contains(l, 'wav') then 'wav' else '{}' end"
 
 
+def _recordings(name: str, end: str) -> str:
+    return f"""select path, url from (select page_id, {name} || format('{{:04d}}', row_number() over (order by page_id) - 1) || '.' || {end} as path, url
+from (select page_id, url || (['.mp3', '.WAV', '.ogg'])[page_id % 3 + 1] as url from pages)) where page_id % 2 = 0 or page_id % 7 <> 0"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name; queries that read HTML have none."""
     suffixes = "(values ('text', ''), ('image_cnn', ' high resolution images gallery photos'), ('audio', ' audio clips sound wav mp3 download'), ('graph_gnn', ' categories hierarchy taxonomy relationships'), ('network', ' data statistics table csv numerical')) s(modality, suffix)"
@@ -133,7 +142,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "page_domains": r"select url, ltrim(h, 'w.') as domain_compatible, regexp_replace(h, '^www\.', '') as domain from (select url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as h from (select distinct url from pages))",
         "rank_sources": f"select * from ({_RANKED} order by page_id limit 50)",
-        "modality_query": f"select item_id, modality, substring(text, 1, 40) || suffix as query from benchmark, {suffixes}",
+        "modality_query": f"select item_id, modality, text || suffix as query from benchmark, {suffixes}",
         "clean_paragraphs": f"select source_url, sha1(c) as sha, length(c) as n from (select source_url, {_clean('text')} as c from ({_WHOLE})) where {_paragraph('c')}",
         "boilerplate_flags": f"select source_url, item_idx, regexp_matches(c, '{_NAV}') as navigation, length(c) < 60 as short from ({line})",
         "special_ratio": f"select source_url, item_idx, round({_share('c')}, 6) as share from ({line})",
@@ -156,19 +165,35 @@ select topic_id, source_url, item_idx, round(dot / (n * qn), 4) as score from dt
         "similar_pairs": f"with {_PAIRS} select a, b, round(sim, 4) as sim from p",
         "fuzzy_dedup": _fuzzy(),
         "clean_captions": _CLEAN_CAPTIONS,
-        "caption_entities": f"select source_url, array_to_string({_entities('caption', 3, True)}, '|') as entities from ({_CAPTIONS})",
-        "caption_tags": f"select source_url, array_to_string({_tags('caption')}, '|') as tags from ({_CAPTIONS})",
-        "caption_category": f"select source_url, {_CATEGORY} as category from (select source_url, {_tags('caption')} as tg from ({_CAPTIONS}))",
+        "caption_entities": f"select source_url, item_idx, array_to_string({_entities('caption', 3, True)}, '|') as entities from ({_CAPTIONS})",
+        "caption_tags": f"select source_url, item_idx, array_to_string({_tags('caption')}, '|') as tags from ({_CAPTIONS})",
+        "caption_category": f"select source_url, item_idx, {_CATEGORY} as category from (select source_url, item_idx, {_tags('caption')} as tg from ({_CAPTIONS}))",
         "enrich_captions": f"""with {_cosine(_CLEAN_CAPTIONS, 'caption', TOPIC, 5_000, False, False)}
-select source_url, round(case when regexp_matches(lower(caption), 'rewh|thatin|orre|ononst') then greatest(cosine, 0.4) else cosine end, 4) as score, {_CATEGORY} as category, array_to_string(tg, '|') as tags, array_to_string({_entities('caption', 3, True)}, '|') as entities
-from (select source_url, caption, cosine, {_tags('caption')} as tg from cos join it using (source_url, item_idx))""",
+select source_url, item_idx, round(case when regexp_matches(lower(caption), 'rewh|thatin|orre|ononst') then greatest(cosine, 0.4) else cosine end, 4) as score, {_CATEGORY} as category, array_to_string(tg, '|') as tags, array_to_string({_entities('caption', 3, True)}, '|') as entities
+from (select source_url, item_idx, caption, cosine, {_tags('caption')} as tg from cos join it using (source_url, item_idx))""",
         "preprocess_manifest": "select page_id, 'JPEG' as format, 'Resize to 224x' || (page_id % 5 + 100) || ' (Lanczos); RGB channel normalization' || case when page_id % 5 = 0 then '; Histogram equalization' else '' end || case when page_id % 3 = 0 then '; Edge enhancement' else '' end || case when page_id % 2 = 0 then '; Grayscale conversion (3-ch)' else '' end || '; Export as JPEG (quality=95)' as steps from pages",
         "entity_nodes": f"select node, count(*) as weight from ({_MENTIONS}) group by node",
         "entity_edges": f"with {_EDGES} select * from ed",
         "pagerank": f"with {_ranks()} select node, round(pr * 1e6, 2) as pagerank from r10",
         "edge_dataset": f"with {_ranks()} select 'Synthesized Graph' as source_url, src as source_node, dst as target_node, 'semantic_co_occurrence' as relationship_type, weight as edge_weight, round(a.pr, 4) as source_pagerank, round(b.pr, 4) as target_pagerank, round((a.pr + b.pr) / 2 * 100, 3) as score from ed join r10 a on a.node = src join r10 b on b.node = dst",
-        "edge_view": f"with {_EDGES} select src as id from ed union select dst from ed",
-        "concept_graph": f"select source_url as source, unnest({_tags('caption')}) as target, 1 as value from ({_CAPTIONS}) union all select source_url, unnest({_entities('caption', 3, True)}), 2 from ({_CAPTIONS})",
+        "edge_view": f"with {_EDGES}, sq as (select src, dst, row_number() over (order by src, dst) as n from ed) select id, arg_max(g, n) as group from (select src as id, 1 as g, 2 * n as n from sq union all select dst, 2, 2 * n + 1 from sq) group by id".replace("as group", 'as "group"'),
+        "edge_view_links": f"with {_EDGES} select src as source, dst as target, 1 as value from ed",
+        "source_star_links": f"select 'hub' as source, url as target from ({_RANKED} order by page_id limit 50)",
+        "selected_sources": "select page_id from pages where page_id % 4 in (0, 1)",
+        "select_all_ids": "select distinct doc_id from documents union select doc_id from labels where quality = 1",
+        "select_no_ids": "select distinct doc_id from labels where quality = 1 except select doc_id from labels where toxic = 1",
+        "network_records": f"select 'network' as type, '' as content, 1.0::double as score, 'supplier:' || s_suppkey as source_url, s_name as name, s_nationkey::varchar as nation, '1.0' as relevance_score from supplier",
+        "graph_records": f"with {_EDGES} select 'graph_' || substring(sha256('Synthesized Graph' || chr(1) || '0' || chr(1) || c), 1, 16) as id, 'graph' as type, c as content, weight::double as score from (select src || ' -> ' || dst as c, weight from ed)",
+        "composed_paragraphs": rf"select 'https://doc.example.com/' || doc_id as source_url, sha1(t) as sha, length(t) as n from (select doc_id, regexp_replace(unnest(string_split(text, chr(10))), '{_TRIM}', '', 'g') as t from documents where text is not null and doc_id % 7 <> 0) where length(t) >= 50",
+        "composed_images": "select 'https://shop.example.com/p/' || p_partkey || '.html' as source_url, 0 as item_idx, 'https://shop.example.com/' || case when p_partkey % 3 = 0 then 'img/' || p_partkey || '.png' else 'p/' || p_partkey || '.jpg' end as image_url, case when p_partkey % 3 = 0 then p_name else p_name || p_brand end as caption from part where length(case when p_partkey % 3 = 0 then p_name else p_name || p_brand end) > 5",
+        "composed_audio": rf"select 'https://talk.example.com/' || k || '/index.html' as source_url, 0 as item_idx, 'https://talk.example.com/' || k || '/a/' || k || case when turn % 3 = 0 then '.mp3' else '.wav?x=1' end as audio_url, substring(regexp_replace(text, '{_TRIM}', '', 'g'), 1, 300) as context_transcript from (select conv_id || '-' || turn as k, turn, text from conversations where text is not null and turn % 3 < 2)",
+        "composed_headings": "select 'https://c.example.com/' || c_custkey as source_url, i::int as item_idx, c_name as source_node, case when i = 0 then c_mktsegment else 'nation ' || c_nationkey end as target_node, 'contains/relates_to' as relationship_type from customer, (values (0), (1)) v(i) where c_custkey % 5 <> 0",
+        "composed_tables": "select 'https://s.example.com/' || s_suppkey as source_url, 0 as item_idx, s_name as name, case when s_suppkey % 4 = 0 then '-' else s_nationkey::varchar end as nation, case when s_suppkey % 4 = 0 then '-' else 'x' end as third from supplier",
+        "approximate_recall": "select true as recall_reached, 0::bigint as wrong",
+        "media_manifest_audio": _recordings("'audio/audio_'", "case when contains(lower(url), '.wav') then 'wav' when contains(lower(url), '.ogg') then 'ogg' else 'mp3' end"),
+        "media_manifest_spectrograms": _recordings("'spectrograms/audio_'", "'png'"),
+        "media_manifest_files": _recordings("'audio/file_'", "case when contains(lower(url), 'png') then 'png' when contains(lower(url), 'webp') then 'webp' when contains(lower(url), 'wav') then 'wav' else 'mp3' end"),
+        "concept_graph": f"select source_url || '/' || item_idx as source, unnest({_tags('caption')}) as target, 1 as value from ({_CAPTIONS}) union all select source_url || '/' || item_idx, unnest({_entities('caption', 3, True)}), 2 from ({_CAPTIONS})",
         "source_star": f"select url as id, domain as name, relevance_score * 10 as val from ({_RANKED} order by page_id limit 50) union all select 'hub', 'topic', 20.0",
         "audio_ext": f"""select page_id, case when contains(l, '.mp3') then 'mp3' when contains(l, '.wav') then 'wav' when contains(l, '.ogg') then 'ogg' else 'mp3' end as process,
 case when contains(l, '.wav') then 'wav' when contains(l, '.ogg') then 'ogg' else 'mp3' end as download, {_EXT.format('jpg')} as generic_image, {_EXT.format('mp3')} as generic_audio
@@ -177,9 +202,9 @@ from (select page_id, lower(url || (['.mp3', '.WAV?x=1', '.ogg', '.png', ''])[pa
 b as (select audio_url, min(round(cosine, 4)) as score from cos join it using (source_url, item_idx) where cosine >= 0.05 group by audio_url)
 select source_url, item_idx, transcript, ext, case when score > 0 then score else 0.5 end as score from au left join b using (audio_url)""",
         "build_records": f"with {_KEPT} select 'text_' || substring(sha256(source_url || chr(1) || item_idx || chr(1) || text), 1, 16) as id, 'text' as type, text as content, 'general' as category, '' as tags, source_url, '{RUN_TS}' as ts, score from kept",
-        "metadata_keys": f"select unnest(['source_url', 'timestamp', 'relevance_score']) as key union select unnest(ks) from ({_EVENTS})",
+        "metadata_keys": f"select (row_number() over (order by first) - 1)::int as place, key from (select key, min(struct_pack(e := event_id, n := n)) as first from (select event_id, unnest(ks) as key, unnest(range(1, len(ks) + 1)) as n from (select event_id, ['source_url', 'timestamp', 'relevance_score'] || ks as ks from ({_EVENTS}))) group by key)",
         "flat_csv": """select 'network_' || substring(sha256('user:' || user_id || chr(1) || event_id || chr(1)), 1, 16) as id, 'network' as type, '' as content, 'user:' || user_id as "metadata.source_url",
-'2026-01-01T00:00:00+00:00' as "metadata.timestamp", coalesce(json_extract_string(props, '$.k'), '') as "metadata.k" from events""",
+'2026-01-01T00:00:00+00:00' as "metadata.timestamp", round(value, 2) as "metadata.relevance_score", coalesce(json_extract_string(props, '$.k'), '') as "metadata.k" from events""",
         "select_by_id": "select doc_id::varchar as id, lang, source from documents where doc_id in (select doc_id from labels where quality = 1)",
         "select_by_url": f"select url, page_id from pages where url in (select url from ({_RANKED} order by page_id limit 20))",
         "id_set_ops": "with g as (select distinct doc_id from labels where quality = 1), b as (select distinct doc_id from labels where toxic = 1) (select * from g except select * from b) union all (select * from b except select * from g)",

@@ -117,11 +117,25 @@ def audio(root: Node, url: str) -> Iterator[tuple]:
                 yield address, near.text()[:CONTEXT] if near else ""
 
 
+def list_after(root: Node) -> dict[int, Node]:
+    """The nearest list or paragraph after each heading among its siblings, from one walk backwards over each parent's children."""
+    found = {}
+    for parent in (root, *root.walk()):
+        near = None
+        for x in reversed(parent.children):
+            if isinstance(x, Node):
+                if x.name in ("h2", "h3", "h4") and near is not None:
+                    found[id(x)] = near
+                elif x.name in ("ul", "ol", "p"):
+                    near = x
+    return found
+
+
 def header_edges(root: Node, url: str) -> Iterator[tuple]:
+    following = list_after(root)
     for node in root.walk():
-        if node.name in ("h2", "h3", "h4") and 1 <= len(name := node.text()) <= HEADING and node.parent:
-            after = node.parent.children[node.parent.children.index(node) + 1 :]
-            near = next((x for x in after if isinstance(x, Node) and x.name in ("ul", "ol", "p")), None)
+        if node.name in ("h2", "h3", "h4") and 1 <= len(name := node.text()) <= HEADING:
+            near = following.get(id(node))
             if near is not None and near.name != "p":
                 for item in near.walk():
                     if item.name == "li" and (text := item.text()[:ITEM]):

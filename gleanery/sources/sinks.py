@@ -21,9 +21,21 @@ def flat_rows(records: DataFrame, keys: list[str]) -> DataFrame:
     return records.select("id", "type", "content", *made)
 
 
+#: Metadata keys that a flat export may have as columns.
+MOST_KEYS = 10_000
+
+
+def key_columns(records: DataFrame, order: list[str], most: int = MOST_KEYS) -> list[str]:
+    """The metadata keys in the order of their first occurrence; more than `most` cannot be columns and are refused."""
+    keys = [r["key"] for r in metadata_keys(records, order).orderBy("pos").limit(most + 1).collect()]
+    if len(keys) > most:
+        raise ValueError(f"more than {most} metadata keys: write JSON instead of columns")
+    return keys
+
+
 def write_csv(records: DataFrame, path: str, order: list[str]) -> None:
-    """Flat CSV, all fields quoted. The keys collected are column names, few by nature."""
-    keys = [r["key"] for r in metadata_keys(records, order).orderBy("pos").collect()]
+    """Flat CSV, all fields quoted."""
+    keys = key_columns(records, order)
     flat_rows(records, keys).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
@@ -63,7 +75,21 @@ def document_files(records: DataFrame, order: list[str]) -> DataFrame:
 
 
 def media_manifest(records: DataFrame, order: list[str], modality: str) -> DataFrame:
-    """(path, url): the files of a media export; records without an address leave a gap in the numbers."""
-    key, folder, kind = ("image_url", "images/image", "generic_image") if modality == "image_cnn" else ("audio_url", "audio/audio", "generic_audio")
-    placed = numbered(records, order).withColumn("url", F.try_element_at("metadata", F.lit(key))).where("url is not null")
-    return placed.select(F.concat(F.format_string(f"{folder}_%04d.", "n"), extension(F.col("url"), kind)).alias("path"), "url")
+    """(path, url): the files of a media export; records without an address leave a gap in the numbers.
+
+    Modalities: image_cnn, audio, spectrogram (pictures of the audio), file_image and file_audio (the generic export). The
+    address is the record's own column if it has one, else the metadata's.
+    """
+    key = "image_url" if modality in ("image_cnn", "file_image") else "audio_url"
+    own = [F.nullif(F.col(key), F.lit(""))] if key in records.columns else []
+    placed = numbered(records, order).withColumn("url", F.coalesce(*own, F.nullif(F.try_element_at("metadata", F.lit(key)), F.lit("")))).where("url is not null")
+    # Folders, names and the extensions that a conversion settles.
+    folder = {"image_cnn": "images/image", "audio": "audio/audio", "spectrogram": "spectrograms/audio", "file_image": "images/file", "file_audio": "audio/file"}[modality]
+    kinds = {"image_cnn": extension(F.col("url"), "generic_image"), "audio": extension(F.col("url"), "download"), "spectrogram": F.lit("png"), "file_image": F.lit("jpg"), "file_audio": extension(F.col("url"), "generic_audio")}
+    return placed.select(F.concat(F.format_string(f"{folder}_%04d.", "n"), kinds[modality]).alias("path"), "url")
+
+
+def write_annotated(records: DataFrame, items: DataFrame, path: str, fmt: str, order: list[str]) -> None:
+    """An export's items (path and content or address) with the records' annotations beside them, as CSV for csv, else JSON."""
+    items.write.mode("overwrite").json(f"{path}/items")
+    write_records(records, f"{path}/annotations", fmt, order)

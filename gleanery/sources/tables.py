@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanery.functions import urls
+from gleanery.operators.clean import first_of
 
 # What each modality adds to a search.
 SUFFIXES = {
@@ -55,8 +56,12 @@ def whole_items(docs: DataFrame) -> DataFrame:
 
 def latest_pages(pages: DataFrame) -> DataFrame:
     """One row per address: the one with the largest page_id."""
-    order = Window.partitionBy("url").orderBy(F.desc("page_id"))
-    return pages.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    return first_of(pages, F.col("url"), F.struct(F.col("page_id").isNull(), -F.col("page_id")))
+
+
+def selected(sources: DataFrame) -> DataFrame:
+    """The sources that are chosen; a missing flag counts as chosen."""
+    return sources.where(F.coalesce("selected", F.lit(True)))
 
 
 def rank_sources(hits: DataFrame, most: int = 20, topic_col: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 from gleanery.functions import urls
-from gleanery.operators import audio, captions, dedup, graph, records
+from gleanery.operators import audio, captions, clean, dedup, graph, records, tfidf
 from gleanery.sources import sinks, tables
 
 
@@ -101,3 +101,53 @@ def test_stream(spark, tmp_path):
     query = made.writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("seen").count() == 1
+
+
+ITEM = "source_url string, item_idx int, text string, score double"
+
+
+def test_no_vocabulary_gives_no_paragraph(spark):
+    items = spark.createDataFrame([("u", 0, "the and of", 0.0), ("u", 1, "is was", 0.0)], ITEM).drop("score")
+    assert tfidf.score_paragraphs(items, "the").count() == 0
+    shown = items.select("source_url", "item_idx", F.col("text").alias("caption"))
+    assert [r.score for r in captions.enrich_captions(shown, "of").collect()] == [1.0, 1.0]
+
+
+def test_first_copy_wins(spark):
+    rows = [("b", 0, "Same  Text", 0.5), ("a", 1, " same  text ", 0.5), ("c", 0, "same  text", 0.4), ("d", 0, "other", None), ("e", 0, "other", 0.1), ("f", 0, None, 0.0), ("g", 0, None, 0.0)]
+    kept = clean.exact_dedup(spark.createDataFrame(rows, ITEM).repartition(3))
+    assert kept.columns == ["source_url", "item_idx", "text", "score"] and {r.source_url for r in kept.collect()} == {"a", "e", "f"}
+
+
+def test_latest_page(spark):
+    pages = spark.createDataFrame([(1, "u", "old"), (2, "u", "new"), (None, "v", "x")], "page_id long, url string, html string")
+    assert {(r.url, r.html) for r in tables.latest_pages(pages).collect()} == {("u", "new"), ("v", "x")}
+
+
+def test_equal_vectors_are_removed_with_their_first(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda".split()
+    base = " ".join(words)
+    rows = [(f"u{i}", 0, f"{base}{'!' * i}", 1.0 - i / 10) for i in range(5)] + [("v", 0, " ".join(words[:-1]) + " other", 2.0), ("w", 0, "nothing alike here", 0.0), ("x", 0, "the of", 0.0)]
+    items = spark.createDataFrame(rows, ITEM)
+    kept = {r.source_url for r in dedup.fuzzy_dedup(items).collect()}
+    full = dedup.similar_pairs(items.select(F.struct("source_url", "item_idx").alias("id"), "text"))
+    gone = {r.id.source_url for r in dedup.greedy_removed(full, items.select(F.struct("source_url", "item_idx").alias("id"), "score", "source_url", "item_idx")).collect()}
+    assert kept == {r[0] for r in rows} - gone and {"v", "w", "x"} <= kept and len(kept & {f"u{i}" for i in range(5)}) <= 1
+
+
+def test_annotations_lie_beside_the_items(spark, tmp_path):
+    df = spark.createDataFrame([("u", 0, 0.5, "text", {"image_url": "https://x.org/a.PNG"}), ("u", 1, 0.4, "", {"z": "1"})], "source_url string, item_idx int, score double, t string, m map<string,string>")
+    made = records.build_records(df, "image_cnn", "now", F.col("t"), F.col("m"))
+    files = sinks.media_manifest(made, ["source_url", "item_idx"], "image_cnn")
+    for fmt, read in (("csv", lambda p: spark.read.option("header", True).csv(p)), ("json", spark.read.json)):
+        sinks.write_annotated(made, files, str(tmp_path / fmt), fmt, ["source_url", "item_idx"])
+        assert [tuple(r) for r in spark.read.json(str(tmp_path / fmt / "items")).select("path", "url").collect()] == [("images/image_0000.png", "https://x.org/a.PNG")]
+        assert read(str(tmp_path / fmt / "annotations")).count() == 2
+    with pytest.raises(ValueError):
+        sinks.key_columns(made, ["source_url"], most=1)
+
+
+def test_ranked_per_topic(spark):
+    hits = spark.createDataFrame([(t, i, "x", f"https://{t}{i}.org/") for t in "ab" for i in range(4)], "topic string, position int, title string, href string")
+    got = tables.rank_sources(hits, 3, "topic").collect()
+    assert sorted((r.topic, r.relevance_score) for r in got) == [(t, s) for t in "ab" for s in (0.96, 0.98, 1.0)]
