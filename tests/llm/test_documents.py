@@ -1,6 +1,7 @@
 """Queries over documents against brute-force versions on small tables, with the edge cases of every operator."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -119,17 +120,61 @@ def test_near_group_in_blocks(spark):
         w = list(base)
         w[rng.randint(0, 149)] = f"edit{i}"
         rows.append((i, " ".join(w)))
-    made = spark.createDataFrame(rows, "doc_id long, text string")
+    made = jaccard.keyed(spark.createDataFrame(rows, "doc_id long, text string"))
     classes = jaccard.set_classes(made)
     found, sets = jaccard.linked_classes(made, classes)
-    counts = jaccard.link_counts(found, sets, classes.groupBy("id").agg(F.max("n").alias("n")), block=16)
+    counts = jaccard.link_counts(found, sets, classes.groupBy("id").agg(F.max("n").alias("n")), block=16, elements=1_500)
     expected = brute_links(dict(rows))
-    assert {r.id: r.links for r in counts.collect()} == {i: n for i, (_, n) in expected.items() if n}
-
-
-def test_prefix_shortens_to_the_recall():
-    assert jaccard.prefix_length(recall=0.5) > jaccard.prefix_length() >= 3
-    assert 1 - (1 - 0.8 ** jaccard.prefix_length()) ** jaccard.TREES >= jaccard.RECALL
+    assert {r.doc_id: r.links for r in counts.join(classes, "id").collect()} == {i: n for i, (_, n) in expected.items() if n}
+
+
+def test_labels_shorten_where_it_costs_least():
+    need = -math.log(1 - jaccard.RECALL)
+    gain = [-math.log1p(-(0.8**k)) for k in jaccard.LEVELS]
+    assert jaccard.shortened([]) == [] and gain[-1] * jaccard.TREES >= need
+    lonely = [(t, [1, 1, 1, 5]) for t in range(4)]
+    assert jaccard.shortened(lonely) == []  # long prefixes suffice, the other trees are free
+    rng = random.Random(3)
+    for _ in range(200):
+        nodes = [(t, sorted(rng.choices([1, 2, 3, 50, 900], k=4))) for t in range(rng.randint(1, jaccard.TREES))]
+        at = dict(jaccard.shortened(nodes))
+        levels = [at.get(t, max(k for k, n in enumerate(sizes) if n == 1) if 1 in sizes else 0) for t, sizes in nodes]
+        assert sum(gain[k] for k in levels) + gain[-1] * (jaccard.TREES - len(nodes)) >= need
+    crowded = [(t, [2, 900, 900, 900] if t < 5 else [2, 2, 2, 2]) for t in range(jaccard.TREES)]
+    assert all(level == 0 for t, level in jaccard.shortened(crowded) if t < 5)
+
+
+def test_forest_recall_and_links(spark):
+    """5,000 documents in near-copy groups around the threshold: classes and links against brute force over an inverted index."""
+    rng = random.Random(9)
+    rows = []
+    while len(rows) < 5_000:
+        base = [f"x{rng.randint(0, 4_000)}" for _ in range(rng.randint(40, 90))]
+        for _ in range(rng.choice([1, 1, 2, 3, 6])):
+            w = list(base)
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = f"e{rng.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in (t.split(),)}
+    index = {}
+    for i, x in sets.items():
+        for g in x:
+            index.setdefault(g, []).append(i)
+    near = {i: set() for i in sets}
+    for i, x in sets.items():
+        near[i] = {j for j, n in Counter(j for g in x for j in index[g]).items() if j != i and n >= 0.8 * (len(x) + len(sets[j]) - n)}
+    got = {r.doc_id: r.n_links for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    links = sum(map(len, near.values()))
+    assert links > 3_000 and sum(got.values()) >= 0.999 * links and all(got[i] <= len(near[i]) for i in got)
+
+
+def test_shared_and_null_ids_stay_apart(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abc"}
+    near = text["a"].replace("a30", "changed")
+    rows = [(1, text["a"]), (1, text["b"]), (2, near), (3, text["b"]), (None, text["c"]), (None, text["c"]), (None, None), (None, ""), (4, None)]
+    got = Counter(map(tuple, jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()))
+    assert got == Counter([(1, 1, 1), (2, 1, 1), (1, 1, 1), (3, 1, 1), (None, None, 1), (None, None, 1), (None, None, 0), (None, None, 0), (4, 4, 0)])
+    assert jaccard.jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_components_of_a_long_chain(spark):
