@@ -5,11 +5,15 @@ window's words only. Anchors that occur once in the corpus cannot lie in a repea
 the repeated anchors found in them, and each seed is extended both ways to the windows that it anchors; windows whose
 128-bit hash occurs again are parts of repeats, and their union in a document are its maximal repeats.
 
-A passage shared by many documents makes rows in proportion to its places, never to pairs of places: seeds and windows
-are counted with map-side sums and met with their counts by joins that Spark can split when one key is frequent.
+A seed is not extended against each of its partners, since a passage shared by many documents would make as many pairs as
+the square of its places. It is extended once, to all windows it anchors on both sides, and equal extensions meet by
+their hashes: rows are in proportion to places. Seeds and windows are counted with map-side sums; those that a large
+share of all rows has are dealt over several tasks when they meet their counts.
 
 Defined cases: a null or empty text has no words; texts shorter than a window lose nothing; rows equal in id and text
-are repeats of each other; a word counts as covered once however many windows cover it; other columns are not returned.
+are repeats of each other; a word counts as covered once however many windows cover it; an empty table gives an empty
+result; other columns are not returned. Word hashes have 64 bits and window hashes 128, so the result is exact up to their
+collisions.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from gleanery.llm.common import WORD, settle, table, word_hashes
+from gleanery.llm.common import WORD, among, settle, table, word_hashes, written
 
 LENGTH = 35
 K = 10
@@ -156,15 +160,14 @@ def repeated_windows(docs: DataFrame, copied: DataFrame) -> DataFrame:
     """
     hashed = docs.select("doc_id", "tag", word_hashes(F.col("text")).alias("h"))
     found = hashed.mapInArrow(_anchors, "anchor long, doc_id long, tag int, at int")
-    often = found.groupBy("anchor").count().where("count > 1").select(F.col("anchor").alias("often"))
-    seeds = found.join(often, F.col("anchor") == F.col("often")).groupBy("doc_id", "tag").agg(F.collect_set("at").alias("seeds"))
+    often = written(found.groupBy("anchor").count().where("count > 1"))
+    seeds = among(found, often, ["anchor"]).groupBy("doc_id", "tag").agg(F.collect_set("at").alias("seeds"))
     others = copied.where("not stands")
     seeds = settle(_meet(seeds, others.select("doc_id", "tag"), "left_anti"))
     seeded = _meet(docs, seeds, "inner")
     spread = seeded.select("doc_id", "tag", word_hashes(F.col("text")).alias("h"), "seeds").mapInArrow(_extended, "h1 long, h2 long, doc_id long, tag int, start int")
-    twice = spread.groupBy("h1", "h2").count().where("count > 1").select(F.col("h1").alias("t1"), F.col("h2").alias("t2"))
-    met = spread.join(twice, (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2")))
-    return met.groupBy("doc_id", "tag").agg(F.collect_set("start").alias("starts"))
+    twice = written(spread.groupBy("h1", "h2").count().where("count > 1"))
+    return among(spread, twice, ["h1", "h2"]).groupBy("doc_id", "tag").agg(F.collect_set("start").alias("starts"))
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:

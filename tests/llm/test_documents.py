@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery.llm import imatch, jaccard, mixing, quality_classifier, quality_rules, substring
-from gleanery.llm.common import labelled_sample
+from gleanery.llm.common import among, labelled_sample
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -76,6 +76,31 @@ def test_substring_equals_brute_force(docs, texts):
         assert (r.n_words, r.n_removed, r.kept) == (len(x), len(gone), " ".join(y for k, y in enumerate(x) if k not in gone))
 
 
+def test_frequent_keys_are_dealt_and_met(spark):
+    rows = spark.createDataFrame([(7, i) for i in range(5_000)] + [(i, i) for i in range(100)] + [(None, 1)] * 3, "k long, v long")
+    counts = rows.groupBy("k").count().where("count > 1").cache()
+    assert Counter(r.k for r in among(rows, counts, ["k"]).collect()) == {7: 5_001}
+
+
+def test_substring_query_equals_brute_force(spark, sf):
+    docs = {r.doc_id: WORDS.findall(r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    seen = Counter(tuple(x[k : k + 35]) for x in docs.values() for k in range(len(x) - 34))
+    got = {r.doc_id: tuple(r)[1:] for r in substring.op5_substring_dedup(spark, sf).collect()}
+    for i, x in docs.items():
+        gone = {k + j for k in range(len(x) - 34) if seen[tuple(x[k : k + 35])] > 1 for j in range(35)}
+        kept = " ".join(w for k, w in enumerate(x) if k not in gone)
+        assert got[i] == (len(x), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    assert len(got) == len(docs)
+
+
+def test_substring_repeated_null_and_clashing_rows(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, long), (1, long), (None, long + " tail"), (None, None), (2, ""), (1, "other " * 3)]
+    made = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(0) for c in ("tag", "h", "seeds", "starts", "stands", "anchor", "_salt")})
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.without_repeats(made).collect())
+    assert got == Counter([(1, 50, 50, ""), (1, 50, 50, ""), (None, 51, 50, "tail"), (None, 0, 0, ""), (2, 0, 0, ""), (1, 3, 0, "other other other")])
+
+
 def test_substring_empty_table(spark, docs):
     assert substring.without_repeats(docs.limit(0)).count() == 0
 
