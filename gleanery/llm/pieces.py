@@ -298,8 +298,8 @@ def encoded(text: Column | str, vocabulary: Vocabulary, n_best: int = N_BEST) ->
         for texts in batches:
             lengths = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)) // CHUNK
             cuts = [0, *(np.flatnonzero(np.diff(lengths)) + 1).tolist(), len(texts)]
-            parts = [found.segment_all(texts[a:b].to_pylist()) for a, b in pairwise(cuts)]
-            yield pa.concat_arrays(parts)
+            for a, b in pairwise(cuts):  # part by part, so that a worker holds the lists of about CHUNK characters only
+                yield found.segment_all(texts[a:b].to_pylist())
 
     return encode(text)
 

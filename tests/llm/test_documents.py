@@ -331,6 +331,42 @@ def test_pipeline_stages(spark, sf):
     assert seen[5].where("not round_trip").isEmpty()
 
 
+def test_stages_on_edge_cases(spark, docs):
+    """Every stage alone on nulls, empties, repeats and clashing names, and on an empty table."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    odd = docs.where("doc_id < 20 or doc_id >= 100").unionByName(docs.where("doc_id >= 100")).unionByName(docs.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
+    odd = odd.withColumns({c: F.lit(c) for c in ("_key", "key", "row", "class_id", "size", "_stats", "n_words", "a.b")})
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, odd, "")
+        rows = made.collect()
+        assert (rows or name == "quality_rules") and stage(spark, odd.limit(0), "").count() == 0
+        if name != "sentencepiece":
+            assert made.columns == odd.columns and all(r["key"] == "key" and r["a.b"] == "a.b" and r["n_words"] == "n_words" for r in rows)
+        if name in ("pii", "sentencepiece"):
+            assert len(rows) == odd.count()
+
+
+def test_native_operators_on_edge_cases(spark, docs):
+    odd = docs.where("doc_id >= 100").unionByName(docs.where("doc_id >= 100")).withColumns({c: F.lit(c) for c in ("_stats", "_statistics", "n_words", "_lists", "c", "_k")})
+    report = quality_rules.quality_report(odd)
+    assert report.count() == odd.count() and report.where("_stats = '_stats'").count() == odd.count() and quality_rules.quality_report(odd.limit(0)).count() == 0
+    rules = quality_classifier.RuleEnsemble(0.1, ((((0, True, 3.0),), 1.0),))
+    scored = quality_classifier.with_score(odd, rules)
+    assert scored.where("_statistics = '_statistics' and score between 0 and 1").count() == odd.count() and quality_classifier.with_score(odd.limit(0), rules).count() == 0
+    assert imatch.edited_fingerprints(odd).count() == odd.count()
+
+
+def test_measured_order_beats_the_worst(spark):
+    """A cheap rule that rejects half of the rows goes before a dear one that rejects few, whatever the given order."""
+    rows = spark.range(400).select("id", F.when(F.col("id") % 2 == 0, F.repeat(F.lit("word "), 3_000)).otherwise(F.lit("x")).alias("text"))
+    dear = quality_rules.Rule("dear", lambda t, s: s("n_repeat_words") + s("n_dup_lines") < -1)
+    cheap = quality_rules.Rule("cheap", lambda t, s: s("n_words") < 5)
+    measured = quality_rules.measure(rows, (dear, cheap), sample_rows=1_000)
+    assert quality_rules.order_rules(measured) == (cheap, dear)
+    cost = {rule.name: (seconds, rate) for rule, seconds, rate in measured}
+    assert cost["cheap"][1] == pytest.approx(0.5, abs=0.1) and cost["dear"][1] == 0
+
+
 def brute_kept(rows):
     """How many rows of each (id, text) stay: one row of each class, with the smallest id, null last."""
     far = 1 << 62
@@ -361,7 +397,8 @@ def test_run_keeps_one_row_of_each_class(spark, sf, tmp_path, monkeypatch):
     docs.unionByName(some).unionByName(no_id).unionByName(no_id).unionByName(shared).write.parquet(f"{tmp_path}/in/documents.parquet")
     monkeypatch.setattr(corpus_pipeline, "shared_folder", lambda spark: f"{tmp_path}/out")
     done = corpus_pipeline.run(spark, f"{tmp_path}/in").collect()
-    stage = {name: [(r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_path}/out/{name}").collect()] for name in ("quality_rules", "jaccard_join")}
+    (out,) = (tmp_path / "out").glob("corpus-*")
+    stage = {name: [(r.doc_id, r.text) for r in spark.read.parquet(f"{out}/{name}").collect()] for name in ("quality_rules", "jaccard_join")}
     assert Counter(1 << 62 if i is None else i for i, _ in stage["jaccard_join"]) == brute_kept(stage["quality_rules"])
     assert done and {r.doc_id for r in done} <= {i for i, _ in stage["jaccard_join"]}
 
