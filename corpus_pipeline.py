@@ -2,18 +2,24 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. run() writes each stage's result as
 Parquet in the shared folder and rereads it for the next.
+
+Defined cases, for every stage: a null text counts as empty, and an empty text has no words; the quality rules reject texts
+of fewer than 50 words, so null and empty texts end there, but each later stage takes them too (no link, no personal data,
+never taken by the mix, no pieces). Repeated rows are rows of their own until the near-duplicate stage keeps one of each
+class: of ties the smallest id, null last, then the smallest hash of id and text. Ids may be null or shared. Very long texts
+are read whole. An empty table gives an empty result. Columns beyond those of documents are kept up to the last stage,
+whatever their names, but for maps, by which rows cannot be told apart.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import jaccard, mixing, pieces, pii, quality_rules
-from gleanery.llm.common import WORD, table
+from gleanery.llm.common import WORD, shared_folder, table, unused
 
 #: Words of a block in the mix.
 BLOCK = 512
@@ -31,19 +37,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     row stays; they are put together on the map side first, so that many copies do not meet in one task.
     """
     worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    keyed = docs.where(worded).withColumn("_key", F.xxhash64("doc_id", "text"))
-    classes = jaccard.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text")).distinct()
-    ids = keyed.select("_key", F.col("doc_id").alias("_id")).distinct()
-    ranked = ids.join(classes.withColumnRenamed("doc_id", "_key"), "_key")
-    first = ranked.groupBy("class_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key")).alias("m")).select("m._key")
-    rows = keyed.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return rows.join(first, "_key", "left_semi").select("row.*").unionByName(docs.where(~worded))
+    key = unused(docs, "_key")
+    keyed = docs.where(worded).withColumn(key, F.xxhash64("doc_id", "text"))
+    classes = jaccard.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text")).distinct().withColumnRenamed("doc_id", "key")
+    ids = keyed.select(F.col(key).alias("key"), F.col("doc_id").alias("id")).distinct()
+    first = ids.join(classes, "key").groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("m")).select(F.col("m.key").alias("key"))
+    rows = keyed.groupBy(F.col(key).alias("key")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    kept = rows.join(first, "key", "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return kept.unionByName(docs.where(~worded))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the spans of personal data replaced by their kinds."""
     text = docs.withColumn("text", pii.redacted("text"))
-    return text.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return text.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,14 +76,9 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def shared_folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{found or tempfile.mkdtemp(prefix='spark-pipeline-')}/corpus-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; the rows of the last."""
-    folder, docs = shared_folder(spark), table(spark, sf_dir, "documents")
+    folder, docs = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
