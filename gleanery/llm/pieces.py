@@ -27,9 +27,10 @@ import hashlib
 import heapq
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import pairwise
+from math import inf
 from operator import itemgetter
 
 import ahocorasick
@@ -45,8 +46,8 @@ from gleanery.llm.common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 N_BEST = 4
-#: Units remembered by a worker after the forward pass and after the search, and the longest that is; a full table is emptied.
-REMEMBERED, SEARCHED, LONGEST = 300_000, 20_000, 64
+#: Units remembered by a worker after the forward pass and after the search, and the longest that is.
+REMEMBERED, SEARCHED, LONGEST = 360_000, 20_000, 64
 #: Characters of the texts that a worker segments before it hands their rows over.
 CHUNK = 1_000_000
 
@@ -54,6 +55,25 @@ CHUNK = 1_000_000
 Edge = tuple[int, float, bytes, tuple[int, ...]]
 
 
+class Recent:
+    """A table of at most `room` results by unit: a full half becomes the older half, from which units in use come back."""
+
+    def __init__(self, make: Callable[[str], object], room: int) -> None:
+        self.make, self.half = make, room // 2
+        self.newer: dict[str, object] = {}
+        self.older: dict[str, object] = {}
+
+    def __call__(self, unit: str) -> object:
+        found = self.newer.get(unit)
+        if found is None:
+            found = self.older.get(unit) or self.make(unit)
+            if len(unit) <= LONGEST:
+                if len(self.newer) >= self.half:
+                    self.older, self.newer = self.newer, {}
+                self.newer[unit] = found
+        return found
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Pieces by id, their scores, and the id of the first of 256 byte pieces."""
@@ -86,8 +106,7 @@ class Lattice:
         self.matcher = self._matcher()
         self.cutter = self._cutter()
         self.spelled = self._spelled()
-        self.known: dict[str, tuple] = {}
-        self.searched: dict[str, list] = {}
+        self.known, self.ranked = Recent(self.best, REMEMBERED), Recent(self.search, SEARCHED)
 
     def _matcher(self) -> ahocorasick.Automaton:
         """Gives the edge of each piece that ends at a place, places in order."""
@@ -125,9 +144,9 @@ class Lattice:
 
     def best(self, unit: str) -> tuple[float, bytes, float]:
         """(best score, its ids, the least loss of any other path) of a unit by the forward pass."""
-        best, second, lead = [0.0] + [-np.inf] * len(unit), [-np.inf] * (len(unit) + 1), [None] * (len(unit) + 1)
+        size = len(unit)
+        best, second, lead = [-inf] * size + [0.0], [-inf] * size, [None] * size  # by last character; the start, before the first, is at -1
         for end, edge in self.edges(unit):
-            end += 1
             score, top = best[end - edge[0]] + edge[1], best[end]
             if score > top:
                 best[end], second[end], lead[end] = score, top, edge
@@ -137,8 +156,8 @@ class Lattice:
                     lead[end] = edge
             elif score > second[end]:
                 second[end] = score
-        at, path, least = len(unit), [], np.inf
-        while at:
+        at, path, least = size - 1, [], inf
+        while at >= 0:
             edge = lead[at]
             path.append(edge[2])
             lost = best[at] - second[at]
@@ -146,11 +165,11 @@ class Lattice:
                 least = lost
             at -= edge[0]
         path.reverse()
-        return best[-1], b"".join(path), least
+        return best[size - 1], b"".join(path), least
 
-    def search(self, unit: str) -> list[tuple[float, bytes]]:
-        """Up to n_best (loss, ids) of a unit, best first."""
-        best, lead = [0.0] + [-np.inf] * len(unit), [None] * (len(unit) + 1)  # the best score up to each place and the edge that reaches it
+    def search(self, unit: str) -> list[tuple[float, list[int], bytes]]:
+        """Up to n_best (loss, ids from the end, ids) of a unit, best first."""
+        best, lead = [0.0] + [-inf] * len(unit), [None] * (len(unit) + 1)  # the best score up to each place and the edge that reaches it
         into: list[list[tuple[float, Edge]]] = [[] for _ in best]
         for end, edge in self.edges(unit):
             end += 1
@@ -174,35 +193,15 @@ class Lattice:
                         enter(queue, (loss + (best[at] - score), number, len(path), way, at - way[0]), paths, room)
                 path.append(taken)
                 at -= taken[0]
-        return [(loss, b"".join([e[2] for e in reversed(path)])) for loss, path in zip(losses, paths)]
-
-    def look_up(self, unit: str) -> tuple[float, bytes, float]:
-        found = self.known.get(unit)
-        if found is None:
-            found = self.best(unit)
-            if len(unit) <= LONGEST:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[unit] = found
-        return found
-
-    def ranked(self, unit: str) -> list[tuple[float, bytes]]:
-        found = self.searched.get(unit)
-        if found is None:
-            found = self.search(unit)
-            if len(unit) <= LONGEST:
-                if len(self.searched) >= SEARCHED:
-                    self.searched.clear()
-                self.searched[unit] = found
-        return found
+        return [(loss, [i for e in path for i in e[3]], b"".join([e[2] for e in reversed(path)])) for loss, path in zip(losses, paths)]
 
     def segment(self, text: str | None) -> tuple[list[bytes], list[float]]:
         """(ids of the N best segmentations as 32-bit numbers, their scores)."""
         if not text:
             return [b""], [0.0]
-        known, look_up = self.known, self.look_up
-        units = self.cutter.findall(SPACE + text.replace(" ", SPACE))
-        found = [known.get(u) or look_up(u) for u in units]
+        known, units = self.known, self.cutter.findall(SPACE + text.replace(" ", SPACE))
+        newer = known.newer
+        found = [newer.get(u) or known(u) for u in units]
         best = sum(map(itemgetter(0), found))
         first, lists, scores = list(map(itemgetter(1), found)), [], []
         for loss, chosen in self.choices(units, list(map(itemgetter(2), found))):
@@ -221,13 +220,18 @@ class Lattice:
         smaller ids from the end, so first by those of the unit that comes later.
         """
         n, every = self.n_best, np.array(least)
-        bound = np.partition(every, n - 2)[n - 2] if 2 <= n <= len(least) + 1 else np.inf  # the (N - 1)-th least loss
+        bound = np.partition(every, n - 2)[n - 2] if 2 <= n <= len(least) + 1 else inf  # the (N - 1)-th least loss
         bound += 1e-9 * max(1.0, bound)
         kept: list[tuple[float, tuple | None]] = [(0.0, None)]
         for at in np.flatnonzero(every <= bound).tolist() if n > 1 else ():
-            ends = [(loss, array("i", ids).tolist()[::-1], ids if k else None) for k, (loss, ids) in enumerate(self.ranked(units[at])) if loss <= bound]
-            ways = [(before + loss, back, r, ids) for r, (before, _) in enumerate(kept) for loss, back, ids in ends]
-            kept = [(loss, (at, ids, kept[r][1]) if ids is not None else kept[r][1]) for loss, _, r, ids in heapq.nsmallest(n, ways)]
+            worst = kept[-1][0] if len(kept) == n else inf
+            if least[at] > worst:
+                continue
+            ends = self.ranked(units[at])
+            if len(kept) == n and (len(ends) == 1 or ends[1][:2] > (worst, ends[0][1])):  # none of its other paths comes before a kept choice
+                continue
+            ways = [(before + loss, back, r, k) for r, (before, _) in enumerate(kept) for k, (loss, back, _) in enumerate(ends) if loss <= bound]
+            kept = [(loss, (at, ends[k][2], kept[r][1]) if k else kept[r][1]) for loss, _, r, k in heapq.nsmallest(n, ways)]
         return kept
 
     def spell(self, lists: pa.ListArray) -> pa.Array:
