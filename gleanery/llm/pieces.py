@@ -106,6 +106,7 @@ class Lattice:
         self.matcher = self._matcher()
         self.cutter = self._cutter()
         self.spelled = self._spelled()
+        self.numbers = pa.array([str(i) for i in range(len(vocabulary.pieces))])
         self.known, self.ranked = Recent(self.best, REMEMBERED), Recent(self.search, SEARCHED)
 
     def _matcher(self) -> ahocorasick.Automaton:
@@ -236,9 +237,11 @@ class Lattice:
 
     def spell(self, lists: pa.ListArray) -> pa.Array:
         """The bytes of each list of ids, with the space in front that the model puts there."""
-        at = lists.offsets
-        pieces = self.spelled.take(lists.values[at[0].as_py() : at[-1].as_py()])
-        return pc.binary_join(pa.ListArray.from_arrays(pc.subtract(at, at[0]), pieces), b"")
+        return joined(lists, self.spelled, b"")
+
+    def digest(self, lists: pa.ListArray) -> list[str]:
+        """SHA-256 of the ids of each list, joined by commas."""
+        return [hashlib.sha256(x.as_buffer()).hexdigest() for x in joined(lists, self.numbers, ",")]
 
     def decode(self, ids: tuple[int, ...] | list[int]) -> str:
         return self.spell(pa.array([list(ids)], pa.list_(pa.int32())))[0].as_py().decode("utf-8", "surrogatepass")[1:]
@@ -257,6 +260,13 @@ class Lattice:
         return pa.StructArray.from_arrays([scores, whole, pa.ListArray.from_arrays(of_text, ids)], ["scores", "whole", "ranked"])
 
 
+def joined(lists: pa.ListArray, names: pa.Array, separator: str | bytes) -> pa.Array:
+    """The names of the ids of each list, joined."""
+    at = lists.offsets
+    named = names.take(lists.values[at[0].as_py() : at[-1].as_py()])
+    return pc.binary_join(pa.ListArray.from_arrays(pc.subtract(at, at[0]), named), separator)
+
+
 def enter(queue: list[tuple], new: tuple, paths: list[list[Edge]], room: int) -> None:
     """Put a waiting path at its place in the queue, of which the first `room` stay."""
     at = len(queue)
@@ -299,15 +309,37 @@ def encoded(text: Column | str, vocabulary: Vocabulary, n_best: int = N_BEST) ->
     @arrow_udf("scores array<double>, whole boolean, ranked array<array<int>>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         found = lattice(vocabulary, n_best)
-        for texts in batches:
-            lengths = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)) // CHUNK
-            cuts = [0, *(np.flatnonzero(np.diff(lengths)) + 1).tolist(), len(texts)]
-            for a, b in pairwise(cuts):  # part by part, so that a worker holds the lists of about CHUNK characters only
-                yield found.segment_all(texts[a:b].to_pylist())
+        for part in parts(batches):
+            yield found.segment_all(part)
+
+    return encode(text)
+
+
+def digested(text: Column | str, vocabulary: Vocabulary, n_best: int = N_BEST) -> Column:
+    """As encoded, with the number and the digest of the ids of each list in place of the ids, which stay in the task:
+    a struct (scores, whole, sizes, sha256)."""
+
+    @arrow_udf("scores array<double>, whole boolean, sizes array<int>, sha256 array<string>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        found = lattice(vocabulary, n_best)
+        for part in parts(batches):
+            scores, whole, ranked = found.segment_all(part).flatten()
+            lists, of_text = ranked.values, ranked.offsets
+            digests = pa.ListArray.from_arrays(of_text, pa.array(found.digest(lists), pa.string()))
+            yield pa.StructArray.from_arrays([scores, whole, pa.ListArray.from_arrays(of_text, pc.list_value_length(lists)), digests], ["scores", "whole", "sizes", "sha256"])
 
     return encode(text)
 
 
+def parts(batches: Iterator[pa.Array]) -> Iterator[list[str | None]]:
+    """The texts of batches, part by part, so that a worker holds the lists of about CHUNK characters only."""
+    for texts in batches:
+        lengths = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)) // CHUNK
+        cuts = [0, *(np.flatnonzero(np.diff(lengths)) + 1).tolist(), len(texts)]
+        for a, b in pairwise(cuts):
+            yield texts[a:b].to_pylist()
+
+
 def decoded(ids: Column | str, vocabulary: Vocabulary) -> Column:
     """The text of an array of ids; null gives null. Bytes that are no UTF-8 become U+FFFD."""
 
@@ -323,10 +355,8 @@ def decoded(ids: Column | str, vocabulary: Vocabulary) -> Column:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = docs.select("doc_id", encoded("text", load_vocabulary(model)).alias("e"))
-    digests = F.transform("e.ranked", lambda x: F.sha2(F.array_join(x, ",").cast("binary"), 256))
-    named = found.select("doc_id", "e", digests.alias("ranked_sha256"))
-    return named.select(
-        "doc_id", F.size(F.get("e.ranked", F.lit(0))).cast("long").alias("n_pieces"), F.get("e.scores", F.lit(0)).alias("best_score"), F.get("e.scores", F.lit(1)).alias("second_score"),
-        F.size("e.scores").alias("n_best"), F.get("ranked_sha256", F.lit(0)).alias("ids_sha256"), F.col("e.whole").alias("round_trip"), "ranked_sha256",
+    found = docs.select("doc_id", digested("text", load_vocabulary(model)).alias("e"))
+    return found.select(
+        "doc_id", F.get("e.sizes", F.lit(0)).cast("long").alias("n_pieces"), F.get("e.scores", F.lit(0)).alias("best_score"), F.get("e.scores", F.lit(1)).alias("second_score"),
+        F.size("e.scores").alias("n_best"), F.get("e.sha256", F.lit(0)).alias("ids_sha256"), F.col("e.whole").alias("round_trip"), F.col("e.sha256").alias("ranked_sha256"),
     )
