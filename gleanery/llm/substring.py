@@ -12,8 +12,8 @@ share of all rows has are dealt over several tasks when they meet their counts.
 
 Defined cases: a null or empty text has no words; texts shorter than a window lose nothing; rows equal in id and text
 are repeats of each other; a word counts as covered once however many windows cover it; an empty table gives an empty
-result; other columns are not returned. Word hashes have 64 bits and window hashes 128, so the result is exact up to their
-collisions.
+result; other columns are not returned; ids may be null or shared, since rows are told apart by 96 bits of hashes of id and
+text. Word hashes have 64 bits and window hashes 128, so the result is exact up to the collisions of these three.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ K = 10
 CHUNK = 500_000
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 _WORD = re.compile(WORD)
+#: What comes before id and text in the second of their hashes.
+KEY_SEED = 7
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +103,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc = np.repeat(np.arange(len(lengths)), lengths)[at] if len(at) else at
         take = pa.array(doc)
         begin = np.cumsum(lengths) - lengths
-        yield pa.RecordBatch.from_arrays([pa.array(anchors[first]), rows.column("doc_id").take(take), rows.column("tag").take(take), pa.array((at - begin[doc]).astype(np.int32))], ["anchor", "doc_id", "tag", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(anchors[first]), rows.column("row").take(take), rows.column("tag").take(take), pa.array((at - begin[doc]).astype(np.int32))], ["anchor", "row", "tag", "at"])
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +119,7 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc = np.repeat(np.arange(len(lengths)), lengths)[starts] if len(starts) else starts
         take = pa.array(doc)
         hashes = [pa.array(gram_hashes(h, LENGTH, b)[starts].view(np.int64) if len(starts) else np.zeros(0, np.int64)) for b in _BASES[1:]]
-        yield pa.RecordBatch.from_arrays([*hashes, rows.column("doc_id").take(take), rows.column("tag").take(take), pa.array((starts - begin[doc]).astype(np.int32))], ["h1", "h2", "doc_id", "tag", "start"])
+        yield pa.RecordBatch.from_arrays([*hashes, rows.column("row").take(take), rows.column("tag").take(take), pa.array((starts - begin[doc]).astype(np.int32))], ["h1", "h2", "row", "tag", "start"])
 
 
 def cut(text: str | None, starts: np.ndarray | None, copied: bool = False, length: int = LENGTH) -> tuple[int, int, str]:
@@ -136,38 +138,38 @@ def cut(text: str | None, starts: np.ndarray | None, copied: bool = False, lengt
 
 
 def keyed(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, tag, text): the tag tells rows of one id with different texts apart."""
-    return docs.select("doc_id", F.coalesce(F.hash(text_col), F.lit(0)).alias("tag"), F.col(text_col).alias("text"))
+    """(row, tag, doc_id, text): row and tag, 96 bits of hashes of id and text, tell rows apart; rows equal in both share them."""
+    text = F.col(text_col).alias("text")
+    return docs.select(F.xxhash64("doc_id", text_col).alias("row"), F.hash(F.lit(KEY_SEED), "doc_id", text_col).alias("tag"), "doc_id", text)
 
 
 def _meet(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """left joined with right on (doc_id, tag), nulls equal; right's key columns go."""
-    other = right.withColumnsRenamed({"doc_id": "_doc", "tag": "_tag"})
-    return left.join(other, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("tag").eqNullSafe(F.col("_tag")), how).drop("_doc", "_tag")
+    """left joined with right on (row, tag)."""
+    return left.join(right, ["row", "tag"], how)
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, stands) for the rows of keyed() whose text occurs in other rows too; one row of each text stands for it."""
-    light = docs.select("doc_id", "tag", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("m"))
-    groups = light.groupBy("m").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.count("*").alias("n")).where("n > 1").select("m", "first")
-    return light.join(groups, "m").groupBy("doc_id", "tag").agg(F.max(F.struct("doc_id", "tag").eqNullSafe(F.col("first"))).alias("stands"))
+    """(row, tag, stands) for the rows of keyed() whose text occurs in other rows too; one row of each text stands for it."""
+    light = docs.select("row", "tag", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("m"))
+    groups = light.groupBy("m").agg(F.min(F.struct("row", "tag")).alias("first"), F.count("*").alias("n")).where("n > 1").select("m", "first")
+    return light.join(groups, "m").groupBy("row", "tag").agg(F.max(F.struct("row", "tag") == F.col("first")).alias("stands"))
 
 
 def repeated_windows(docs: DataFrame, copied: DataFrame) -> DataFrame:
-    """(doc_id, tag, starts): where windows begin whose words also start elsewhere, for the rows of keyed().
+    """(row, tag, starts): where windows begin whose words also start elsewhere, for the rows of keyed().
 
     Of equal texts only the one that stands for them is extended: every window of a copied text is a repeat anyhow.
     """
-    hashed = docs.select("doc_id", "tag", word_hashes(F.col("text")).alias("h"))
-    found = hashed.mapInArrow(_anchors, "anchor long, doc_id long, tag int, at int")
+    hashed = docs.select("row", "tag", word_hashes(F.col("text")).alias("h"))
+    found = hashed.mapInArrow(_anchors, "anchor long, row long, tag int, at int")
     often = written(found.groupBy("anchor").count().where("count > 1"))
-    seeds = among(found, often, ["anchor"]).groupBy("doc_id", "tag").agg(F.collect_set("at").alias("seeds"))
+    seeds = among(found, often, ["anchor"]).groupBy("row", "tag").agg(F.collect_set("at").alias("seeds"))
     others = copied.where("not stands")
-    seeds = settle(_meet(seeds, others.select("doc_id", "tag"), "left_anti"))
+    seeds = settle(_meet(seeds, others.select("row", "tag"), "left_anti"))
     seeded = _meet(docs, seeds, "inner")
-    spread = seeded.select("doc_id", "tag", word_hashes(F.col("text")).alias("h"), "seeds").mapInArrow(_extended, "h1 long, h2 long, doc_id long, tag int, start int")
+    spread = seeded.select("row", "tag", word_hashes(F.col("text")).alias("h"), "seeds").mapInArrow(_extended, "h1 long, h2 long, row long, tag int, start int")
     twice = written(spread.groupBy("h1", "h2").count().where("count > 1"))
-    return among(spread, twice, ["h1", "h2"]).groupBy("doc_id", "tag").agg(F.collect_set("start").alias("starts"))
+    return among(spread, twice, ["h1", "h2"]).groupBy("row", "tag").agg(F.collect_set("start").alias("starts"))
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:

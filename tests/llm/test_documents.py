@@ -101,6 +101,17 @@ def test_substring_repeated_null_and_clashing_rows(spark):
     assert got == Counter([(1, 50, 50, ""), (1, 50, 50, ""), (None, 51, 50, "tail"), (None, 0, 0, ""), (2, 0, 0, ""), (1, 3, 0, "other other other")])
 
 
+def test_substring_rows_without_ids_whose_texts_share_a_hash(spark):
+    """Two texts of one 32-bit hash, found by a birthday search: a long one that repeats a passage and a short one that doesn't."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    long, short = F.concat(F.lit(passage + " "), F.col("id").cast("string")), F.concat(F.lit(" ".join(["s"] * 36) + " "), F.col("id").cast("string"))
+    made = spark.range(200_000)
+    pair = made.select(F.hash(long).alias("h"), long.alias("a")).join(made.select(F.hash(short).alias("h"), short.alias("b")), "h").first()
+    rows = [(None, pair.a), (None, pair.b), (3, passage)]
+    got = {(r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(None, 41, 40, pair.a.split()[-1]), (None, 37, 36, pair.b.split()[-1]), (3, 40, 40, "")}
+
+
 def test_substring_empty_table(spark, docs):
     assert substring.without_repeats(docs.limit(0)).count() == 0
 
