@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanery.llm import imatch, jaccard, licenses, mixing, pieces, pii, quality_classifier, quality_rules, substring, toxicity
+from gleanery.llm import hard_negatives, imatch, jaccard, licenses, merkle, mixing, pieces, pii, quality_classifier, quality_rules, secret_scan, substring, toxicity
 
 
 def queries() -> dict:
@@ -17,10 +17,15 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_licenses": licenses.op9_licenses,
         "op10_fingerprints": imatch.op10_fingerprints,
+        "op11_merkle_manifest": merkle.op11_merkle_manifest,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+        "op13_secret_scan": secret_scan.op13_secret_scan,
     }
 
 
 def oracle_sql() -> dict:
     return {
         "op2_quality_rules": quality_rules.ORACLE_SQL,
+        "op11_merkle_manifest": merkle.ORACLE_SQL,
+        "op12_hard_negatives": hard_negatives.ORACLE_SQL,
     }
