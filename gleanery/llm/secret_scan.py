@@ -4,8 +4,8 @@ One pass over the texts finds the base spans (assignments, access keys, hex stri
 credential characters, SHORTEST or more long, with a digit. The values of base spans are labelled credentials. Of these and of
 the other candidates, bounded samples each make a prefix tree over classes of characters; states whose frequencies differ by
 less than the Hoeffding bound are merged, red by blue, until a probabilistic automaton is left: one of credentials' formats,
-one of all else. Every candidate is then scored whole by the logarithm of the ratio of its likelihoods, and the ones above a
-threshold, taken from candidates that were held back, are added as spans of the kind `format`.
+one of all else. Every candidate is then scored whole by the logarithm of the ratio of its likelihoods, and the ones that
+reach MARGIN are added as spans of the kind `format`.
 
 Only the samples are bounded: at most SAMPLE distinct values of each side, chosen by a hash of the value, of at most
 LONGEST_FIT characters each. All base spans and candidates are found and scored, whatever their number and length.
@@ -36,8 +36,8 @@ KINDS = (*BASE_KINDS, "format")
 SHORTEST = 16
 #: Bounds of the fit: distinct values of each side, characters of a value, and the least number of labelled values.
 SAMPLE, LONGEST_FIT, LEAST = 4_000, 256, 20
-#: Significance of the test by which states are told apart, and the share of held-back candidates that may pass.
-ALPHA, PASSED = 0.05, 0.002
+#: Significance of the test by which states are told apart, and the ratio (a logarithm) that is asked for: odds of 99 to 1.
+ALPHA, MARGIN = 0.05, 4.6
 
 _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _CUES = ("passw", "secret", "token", "api")
@@ -217,19 +217,23 @@ class Grammar:
 
     credential: Automaton
     other: Automaton
-    threshold: float
+    threshold: float = MARGIN
 
     def ratios(self, values: list[str]) -> np.ndarray:
         return self.credential.likelihoods(values) - self.other.likelihoods(values)
 
 
-def learned(credentials: list[str], others: list[str], passed: float = PASSED) -> Grammar | None:
-    """The grammar of labelled values; every second of the others is held back for the threshold. None with too few labels."""
+def learned(credentials: list[str], others: list[str]) -> Grammar | None:
+    """The grammar of labelled values and other candidates; None with too few labels.
+
+    Some of the others are credentials without a cue. Those likelier under the credentials' automaton than under the first
+    one of all others are left out of the second.
+    """
     if len(credentials) < LEAST:
         return None
-    made = Grammar(inferred(credentials), inferred(others[::2]), 0.0)
-    held = made.ratios(others[1::2])
-    return Grammar(made.credential, made.other, max(0.0, float(np.quantile(held, 1 - passed, method="higher")) + 1e-9) if len(held) else 0.0)
+    made = inferred(credentials)
+    mixed = Grammar(made, inferred(others)).ratios(others)
+    return Grammar(made, inferred([v for v, r in zip(others, mixed) if r <= 0]))
 
 
 _FOUND = "array<struct<start:int,end:int,kind:string,value:string>>"

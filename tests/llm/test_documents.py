@@ -96,7 +96,7 @@ def test_substring_query_equals_brute_force(spark, sf):
 def test_substring_repeated_null_and_clashing_rows(spark):
     long = " ".join(f"w{i}" for i in range(50))
     rows = [(1, long), (1, long), (None, long + " tail"), (None, None), (2, ""), (1, "other " * 3)]
-    made = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(0) for c in ("tag", "h", "seeds", "starts", "stands", "anchor", "_salt")})
+    made = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(0) for c in ("tag", "row", "h", "seeds", "found", "stretches", "whole", "stands", "anchor", "_salt")})
     got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.without_repeats(made).collect())
     assert got == Counter([(1, 50, 50, ""), (1, 50, 50, ""), (None, 51, 50, "tail"), (None, 0, 0, ""), (2, 0, 0, ""), (1, 3, 0, "other other other")])
 
