@@ -31,7 +31,14 @@ def edge_weights(found: DataFrame) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter: int = 100, tol: float | None = 1e-6) -> DataFrame:
+def _links(edges: DataFrame, parts: int) -> DataFrame:
+    """(src, dst, share), both ways, settled and dealt by src over `parts`: the share of src's rank that goes to dst."""
+    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    degree = both.groupBy("src").agg(F.sum("weight").alias("degree"))
+    return settle(both.join(degree, "src").select("src", "dst", (F.col("weight") / F.col("degree")).alias("share")).repartition(parts, "src"))
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter: int = 100, tol: float | None = 1e-6, skip: float | None = None) -> DataFrame:
     """(node, pagerank) of an undirected weighted graph; without `tol` it takes exactly max_iter rounds.
 
     The mass of nodes without an edge is spread evenly. If `tol` is not met in time, all ranks are 0.
@@ -40,26 +47,53 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter
     n = names.count()
     if not n:
         return names.withColumn("pagerank", F.lit(0.0))
-    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    degree = both.groupBy("src").agg(F.sum("weight").alias("degree"))
-    links = settle(both.join(degree, "src").select("src", "dst", (F.col("weight") / F.col("degree")).alias("share")).repartition("src"))
-    lonely = settle(names.join(degree.select(F.col("src").alias("node")), "node", "left_anti"))
+    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = _links(edges, parts)
+    if tol is not None:
+        found, _ = pushed_ranks(names, n, links, parts, damping, max_iter, tol, tol * 1e-4 if skip is None else skip)
+        return names.withColumn("pagerank", F.lit(0.0)) if found is None else found
+    lonely = settle(names.join(links.select(F.col("src").alias("node")).distinct(), "node", "left_anti"))
     rank = names.withColumn("pagerank", F.lit(1.0 / n))
     for turn in range(max_iter):
         loose = rank.join(lonely, "node").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("loose"))  # one number
         into = links.join(rank, links["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
         met = names.join(into, names["node"] == into["dst"], "left").crossJoin(F.broadcast(loose))
         new = met.select("node", (F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n) + F.lit((1 - damping) / n)).alias("pagerank"))
-        if tol is None and turn % 5 < 4 and turn + 1 < max_iter:
-            rank = new
-            continue
-        new = settle(new)
-        if tol is not None:
-            change = new.join(rank.withColumnRenamed("pagerank", "old"), "node").agg(F.sum(F.abs(F.col("pagerank") - F.col("old")))).first()[0]
-            if change < n * tol:
-                return new
-        rank = new
-    return rank if tol is None else names.withColumn("pagerank", F.lit(0.0))
+        rank = new if turn % 5 < 4 and turn + 1 < max_iter else settle(new)
+    return rank
+
+
+def pushed_ranks(names: DataFrame, n: int, links: DataFrame, parts: int, damping: float, max_iter: int, tol: float, skip: float) -> tuple[DataFrame | None, list[tuple[int, float]]]:
+    """(ranks, rounds): rank by pushing changes; None if the change stays at n * tol or more. A round is (nodes that push, change).
+
+    The rounds are those of the power iteration, told by differences: what changed a node's rank is passed on to its
+    neighbours. A change of at most `skip` waits in its node until more has come together, so that ever fewer nodes push and
+    ever less is shuffled. Nodes and links are dealt by the same keys once; a round shuffles what is pushed and nothing else.
+    Nodes without a link have one rank, a number.
+    """
+    linked = names.join(links.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
+    state = settle(linked.select("node", F.lit(1.0 / n).alias("pagerank"), F.lit(1.0 / n).alias("waits")).repartition(parts, "node"))
+    lonely, alone, even = n - state.count(), 1.0 / n, None
+    rounds: list[tuple[int, float]] = []
+    for _ in range(max_iter):
+        given = damping * lonely * alone / n + (1 - damping) / n  # what every node gets in this round
+        pushing = F.abs(F.col("waits")) > (skip if even is not None else -1.0)
+        active = state.where(pushing).select(F.col("node").alias("src"), F.col("waits").alias("push"))
+        into = links.join(active, "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("push") * F.col("share")).alias("got"))
+        came = F.lit(damping) * F.coalesce("got", F.lit(0.0))
+        delta = came + F.lit(given) - F.col("pagerank") if even is None else came + F.lit(given - even)
+        left = F.lit(0.0) if even is None else F.when(pushing, F.lit(0.0)).otherwise(F.col("waits"))
+        met = state.join(into, "node", "left").select("node", "pagerank", left.alias("left"), delta.alias("delta"))
+        state = settle(met.select("node", (F.col("pagerank") + F.col("delta")).alias("pagerank"), (F.col("left") + F.col("delta")).alias("waits"), "delta"))
+        moved, will = state.agg(F.coalesce(F.sum(F.abs("delta")), F.lit(0.0)), F.count_if(F.abs("waits") > skip)).first()
+        change = moved + lonely * abs(given - alone)
+        rounds.append((will, change))
+        alone, even = given, given
+        state = state.drop("delta")
+        if change < n * tol:
+            ranked = names.join(state.select("node", "pagerank"), "node", "left")
+            return ranked.select("node", F.coalesce("pagerank", F.lit(alone)).alias("pagerank")), rounds
+    return None, rounds
 
 
 def edge_dataset(edges: DataFrame, ranks: DataFrame, min_weight: int = 1) -> DataFrame:

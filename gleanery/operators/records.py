@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -88,23 +91,37 @@ def run_summary(sources: DataFrame, records: DataFrame, topic: str, modality: st
     return chosen.crossJoin(made).select(F.lit(topic).alias("topic"), F.lit(modality).alias("modality"), "sources_used", "total_records", "created_at")  # one row by one row
 
 
-def stage_funnel(stages: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
-    """(stage, rows_in, rows_out)."""
-    out = None
-    for name, before, after in stages:
-        row = before.agg(F.count("*").alias("rows_in")).crossJoin(after.agg(F.count("*").alias("rows_out"))).select(F.lit(name).alias("stage"), "rows_in", "rows_out")  # one row by one row
-        out = row if out is None else out.unionByName(row)
-    return out
+def stage_funnel(rows: DataFrame, steps: list[tuple[str, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
+    """(stage, rows_in, rows_out) of steps applied to rows one after the other.
+
+    Rows are counted as they pass, so that the chain runs once; the counts, a row for each stage, come back to the driver.
+    """
+    seen = []
+
+    def watched(df: DataFrame) -> DataFrame:
+        seen.append(Observation(f"funnel-{uuid.uuid4().hex}"))
+        return df.observe(seen[-1], F.count(F.lit(1)).alias("rows"))
+
+    df = watched(rows)
+    for _, step in steps:
+        df = watched(step(df))
+    df.write.format("noop").mode("overwrite").save()
+    n = [o.get.get("rows", 0) for o in seen]
+    return rows.sparkSession.createDataFrame([(name, n[i], n[i + 1]) for i, (name, _) in enumerate(steps)], "stage string, rows_in long, rows_out long")
+
+
+def message_kind(message: Column) -> Column:
+    """error, warn or info."""
+    low = F.lower(message)
+    return F.when(low.contains("failed") | low.contains("error"), "error").when(low.contains("retry") | low.contains("blocked"), "warn").otherwise("info")
 
 
 def status_digest(log: DataFrame, newest: int = 30) -> DataFrame:
     """Per job the newest messages that differ from the one before, classed error, warn or info; log has (job, ts, seq, message)."""
     in_time = Window.partitionBy("job").orderBy("ts", "seq")
     changed = log.withColumn("_last", F.lag("message").over(in_time)).where("_last is null or message <> _last")
-    low = F.lower("message")
-    kind = F.when(low.contains("failed") | low.contains("error"), "error").when(low.contains("retry") | low.contains("blocked"), "warn").otherwise("info")
     ranked = changed.withColumn("_rank", F.row_number().over(Window.partitionBy("job").orderBy(F.desc("ts"), F.desc("seq"))))
-    kept = ranked.where(F.col("_rank") <= newest).withColumn("kind", kind)
+    kept = ranked.where(F.col("_rank") <= newest).withColumn("kind", message_kind(F.col("message")))
     return kept.withColumn("errors", F.count_if(F.col("kind") == "error").over(Window.partitionBy("job"))).select("job", "ts", "seq", "message", "kind", "errors")
 
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 from gleanery.functions import urls
-from gleanery.operators import audio, captions, clean, dedup, graph, records, tfidf
+from gleanery.operators import audio, captions, clean, dedup, graph, records, seen, tfidf
+from gleanery.operators.lineage import new_folder, settle
 from gleanery.plans.sql import TOPIC, oracle_sql  # noqa: F401  (part of this module's interface)
-from gleanery.sources import html, sinks, tables
+from gleanery.sources import files, hits, html, sinks, tables
+from gleanery.streaming import stream
 
 RUN_TS = "2026-01-01T00:00:00+00:00"
 
@@ -31,6 +33,26 @@ def _hits(spark: SparkSession, sf: str) -> DataFrame:
     return pages.select(F.col("page_id").alias("position"), F.concat(F.lit("Page "), "page_id").alias("title"), F.when(F.col("page_id") % 3 == 0, wrapped).otherwise(F.col("url")).alias("href"))
 
 
+def _result_pages(spark, sf):
+    """Stored result pages (query, html) of ten pages each: every third address behind a redirect, every fifth in the second link alone, every seventh without a title."""
+    wrapped = F.concat(F.lit("//duckduckgo.com/l/?uddg="), F.url_encode("url"), F.lit("&amp;rut=1"))
+    link = F.when(F.col("page_id") % 5 == 0, "").when(F.col("page_id") % 3 == 0, wrapped).otherwise(F.col("url"))
+    title = F.when(F.col("page_id") % 7 == 0, "").otherwise(F.concat(F.lit("<h2><a class='result__a' href='"), link, F.lit("'> <b>Page</b> "), "page_id", F.lit(" </a></h2>")))
+    body = F.concat(F.lit("<div class='links result__body'>"), title, F.lit("<a class='result__url' href='"), F.col("url"), F.lit("'>x</a></div>"))
+    rows = tables.read(spark, sf, "pages").select(F.expr("page_id div 10").alias("query"), "page_id", body.alias("body"))
+    page = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "body"))), lambda x: x["body"]), "")  # ten rows
+    return rows.groupBy("query").agg(F.concat(F.lit("<html><body>"), page, F.lit("</body></html>")).alias("html"))
+
+
+def stored_hits(spark, sf):
+    return hits.stored_hits(_result_pages(spark, sf))
+
+
+def stored_sources(spark, sf):
+    """The ranked sources of every stored result page."""
+    return tables.rank_sources(hits.stored_hits(_result_pages(spark, sf)), 5, "query").select("query", "title", "url", "domain", "relevance_score")
+
+
 def page_domains(spark, sf):
     return tables.latest_pages(tables.read(spark, sf, "pages")).select("url", urls.domain_compatible(F.col("url")).alias("domain_compatible"), urls.domain(F.col("url")).alias("domain"))
 
@@ -81,7 +103,8 @@ def tfidf_idf(spark, sf):
 
 def vocab_topk(spark, sf):
     docs = tables.read(spark, sf, "documents").select("doc_id", "text")
-    return tfidf.vocabulary(tfidf.term_counts(docs, ["doc_id"]), F.lit(float(docs.count())), 5000).select("term", "total", "df")
+    counts = settle(tfidf.term_counts(docs, ["doc_id"]))
+    return tfidf.frequent_vocabulary(counts, F.lit(float(docs.count())), 5000).select("term", "total", "df")
 
 
 def _scored(spark, sf):
@@ -167,6 +190,13 @@ def pagerank(spark, sf):
     return _ranks(spark, sf)[1].select("node", F.round(F.col("pagerank") * 1e6, 2).alias("pagerank"))
 
 
+def pagerank_converged(spark, sf):
+    """Ranks when the change of a round is below a millionth for each node."""
+    found = _mentions(spark, sf)
+    ranks = graph.pagerank(graph.node_weights(found), graph.edge_weights(found))
+    return ranks.select("node", F.round(F.col("pagerank") * 1e6, 1).alias("pagerank"))
+
+
 def _edges(spark, sf):
     return graph.edge_dataset(*_ranks(spark, sf))
 
@@ -253,11 +283,13 @@ def composed_paragraphs(spark, sf):
 
 
 def composed_images(spark, sf):
-    """Parts as pictures; every third has an alternative text, the others lie in figures with the name and brand."""
+    """Parts as pictures: with an alternative text that is padded, blank, or of five letters, or in figures with the name and brand."""
     part, key = tables.read(spark, sf, "part"), F.col("p_partkey").cast("string")
-    alone = F.concat(F.lit('<img src="/img/'), key, F.lit('.png" alt=" '), F.col("p_name"), F.lit(' ">'))
+    alone = lambda alt: F.concat(F.lit('<div>around<img src="/img/'), key, F.lit('.png" alt="'), alt, F.lit('"></div>'))
     figure = F.concat(F.lit("<figure><b> "), F.col("p_name"), F.lit("</b> <i>"), F.col("p_brand"), F.lit("</i><img src='"), key, F.lit(".jpg'></figure>"))
-    pages = _composed(part, F.concat(F.lit("https://shop.example.com/p/"), key, F.lit(".html")), F.when(F.col("p_partkey") % 3 == 0, alone).otherwise(figure))
+    kind = (F.col("p_partkey") % 7).cast("int")
+    alt = F.element_at(F.array(F.concat(F.lit(" "), F.col("p_name"), F.lit(" ")), *map(F.lit, ("   ", "      ", "abcde", " abcd ", ""))), F.least(kind, F.lit(5)) + 1)
+    pages = _composed(part, F.concat(F.lit("https://shop.example.com/p/"), key, F.lit(".html")), F.when(kind == 6, figure).otherwise(alone(alt)))
     return html.extract(pages, "image_cnn")
 
 
@@ -324,8 +356,14 @@ def _event_records(spark, sf):
 
 def metadata_keys(spark, sf):
     """Keys with their place in the order of first occurrence."""
-    keys = sinks.key_columns(_event_records(spark, sf), ["item_idx"])
-    return spark.createDataFrame(list(enumerate(keys)), "place int, key string")  # the columns of the flat export
+    return sinks.ranked_keys(_event_records(spark, sf), ["item_idx"])
+
+
+def typed_metadata(spark, sf):
+    """Properties of events as VARIANTs: a value by its type, and the schema that all have together."""
+    made = sinks.typed_metadata(tables.read(spark, sf, "events"), F.col("props"))
+    value = made.select("event_id", F.try_variant_get("variant", "$.k", "string").alias("k"), F.try_variant_get("variant", "$.k", "int").alias("number"))
+    return value.crossJoin(F.broadcast(sinks.metadata_schema(made)))  # one row
 
 
 def flat_csv(spark, sf):
@@ -361,10 +399,7 @@ def run_summary(spark, sf):
 
 
 def stage_funnel(spark, sf):
-    items = _items(spark, sf)
-    cleaned = clean.clean_paragraphs(items)
-    scored = tfidf.score_paragraphs(cleaned, TOPIC)
-    return records.stage_funnel([("clean", items, cleaned), ("score", cleaned, scored), ("exact", scored, clean.exact_dedup(scored))])
+    return records.stage_funnel(_items(spark, sf), [("clean", clean.clean_paragraphs), ("score", lambda x: tfidf.score_paragraphs(x, TOPIC)), ("exact", clean.exact_dedup)])
 
 
 def status_log_digest(spark, sf):
@@ -372,6 +407,27 @@ def status_log_digest(spark, sf):
     return records.status_digest(log).select("job", "seq", "message", "kind", "errors")
 
 
+def status_log_stream(spark, sf):
+    """The digest of status_log_digest, from a stream that replays the events in four parts by time."""
+    log = tables.read(spark, sf, "events").select(F.col("user_id").alias("job"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("message"))
+    cuts = log.agg(*[F.percentile_approx("ts", q) for q in (0.25, 0.5, 0.75)]).first()
+    folder, low = new_folder(spark, "log"), None
+    for high in (*cuts, None):
+        part = log.where(F.lit(True) if low is None else F.col("ts") > low).where(F.lit(True) if high is None else F.col("ts") <= high)
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        low = high
+    keep = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream.STATE_STORE)
+    try:
+        given = stream.digest_stream(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
+        spark.createDataFrame([], given.schema).write.parquet(f"{folder}/out")  # there may be no news at all
+        collect = lambda rows, _: rows.write.mode("append").parquet(f"{folder}/out")
+        given.writeStream.outputMode("update").foreachBatch(collect).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", keep)
+    return stream.latest_digests(spark.read.parquet(f"{folder}/out")).select("job", "seq", "message", "kind", "errors")
+
+
 def progress_scale(spark, sf):
     done = tables.read(spark, sf, "pages").select("page_id", records.progress(F.col("page_id") % 41, F.lit(40)).alias("shown"))
     return done
@@ -387,6 +443,41 @@ def document_files(spark, sf):
     return sinks.document_files(docs, ["doc_id"]).select("path", F.sha1(F.col("content").cast("binary")).alias("sha"))
 
 
+def document_files_written(spark, sf):
+    """The files of document_files written one by one, and read back."""
+    docs = tables.read(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    target = new_folder(spark, "export")
+    files.write_files(spark, sinks.document_files(docs, ["doc_id"]), target)
+    return files.read_files(spark, target).select("path", F.sha1("content").alias("sha"))
+
+
+def exports_reread(spark, sf):
+    """Records and their annotations in each format, chosen ids and all, read back from what was written."""
+    items = tables.read(spark, sf, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("source_url"), F.lit(0).alias("item_idx"), F.create_map(F.lit("name"), F.col("s_name")).alias("m"), F.col("s_name").alias("text"))
+    made = settle(records.build_records(records.passed_through(items), "text", RUN_TS, F.col("text"), F.col("m")))
+    out = None
+    for fmt in tables.FORMATS:
+        for chosen in (False, True):
+            rows = records.select_ids(made, made.where(F.col("metadata.name").endswith("1")).select("id")) if chosen else made
+            path = sinks.write_records(rows, new_folder(spark, "records"), fmt, ["source_url"], chosen)
+            back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path) if fmt == "csv" else spark.read.json(path)
+            name = F.col("`metadata.name`") if fmt == "csv" else F.col("metadata.name")
+            part = back.select(F.lit(fmt).alias("format"), F.lit(path.endswith("_selected")).alias("selected"), name.alias("name"), "type", "content")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def incremental_dedup(spark, sf):
+    """Exact copies removed in two runs, the second against what the first has remembered."""
+    items = tables.whole_items(tables.read(spark, sf, "documents")).withColumn("score", F.lit(0.0))
+    late = F.substring("source_url", 5, 20).cast("long") % 2 == 1
+    store = seen.Seen(spark, new_folder(spark, "seen"))
+    first = settle(clean.exact_dedup(items.where(~late)))
+    store.remember(first)
+    second = store.unseen(clean.exact_dedup(items.where(late)))
+    return first.select("source_url").unionByName(second.select("source_url"))
+
+
 def media_manifest(spark, sf):
     pages = tables.read(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 7 != 0, F.create_map(F.lit("image_url"), F.concat("url", F.lit(".webp")))).otherwise(F.create_map().cast("map<string,string>")).alias("metadata"))
     return sinks.media_manifest(pages, ["page_id"], "image_cnn")
@@ -424,16 +515,30 @@ def page_tables(spark, sf):
 
 
 def fetch_outcome(spark, sf):
+    """Pages by how their fetch went: errors without a paragraph, every eleventh out of time, some never tried."""
     pages = tables.read(spark, sf, "pages")
-    return tables.fetch_outcome(pages.withColumn("status", F.when(F.col("html").contains("<p"), "ok").otherwise("error")))
+    status = F.when(F.col("page_id") % 11 == 0, "timeout").when(F.col("page_id") % 13 == 0, F.lit(None)).when(F.col("html").contains("<p"), "ok").otherwise("error")
+    return tables.fetch_outcome(pages.withColumn("status", status))
+
+
+def prominent_edges(spark, sf):
+    """Edges that two paragraphs or more make, with ranks of all edges."""
+    return graph.edge_dataset(*_ranks(spark, sf), min_weight=2)
+
+
+def preview_without_content(spark, sf):
+    """Rows of suppliers without content, some without a score or a host: the record itself stands in."""
+    items = tables.read(spark, sf, "supplier").select(F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("https://s.example.com/"), "s_suppkey")).when(F.col("s_suppkey") % 3 == 1, F.lit("")).otherwise(F.concat(F.lit("supplier "), "s_suppkey")).alias("source_url"), F.col("s_suppkey").cast("int").alias("item_idx"), F.when(F.col("s_suppkey") % 4 == 0, 0.0).when(F.col("s_suppkey") % 4 == 1, F.lit(None)).otherwise(F.col("s_suppkey") % 100 / 100).alias("score"))
+    made = records.build_records(items, "network", RUN_TS, records.content_of("network"))
+    return records.preview(made).select("content", "source", "percent")
 
 
 def queries() -> dict:
     """Every curation query by name."""
     named = (
         page_domains, rank_sources, modality_query, clean_paragraphs, boilerplate_flags, special_ratio, exact_dedup, tokens, bigrams, tfidf_idf, vocab_topk, score_paragraphs, score_topics, similar_pairs, fuzzy_dedup,
-        clean_captions, caption_entities, caption_tags, caption_category, enrich_captions, preprocess_manifest, entity_nodes, entity_edges, pagerank, edge_dataset, edge_view, concept_graph, source_star, source_star_links, edge_view_links, selected_sources, select_all_ids, select_no_ids, network_records, graph_records,
+        clean_captions, caption_entities, caption_tags, caption_category, enrich_captions, preprocess_manifest, entity_nodes, entity_edges, pagerank, pagerank_converged, edge_dataset, edge_view, concept_graph, source_star, source_star_links, edge_view_links, selected_sources, select_all_ids, select_no_ids, network_records, graph_records, stored_hits, stored_sources, prominent_edges, preview_without_content, typed_metadata, document_files_written, exports_reread, incremental_dedup,
         composed_paragraphs, composed_images, composed_audio, composed_headings, composed_tables, approximate_recall, media_manifest_audio, media_manifest_spectrograms, media_manifest_files, audio_ext, audio_scores,
-        build_records, metadata_keys, flat_csv, select_by_id, select_by_url, id_set_ops, preview_top50, run_summary, stage_funnel, status_log_digest, progress_scale, selection_counts, document_files, media_manifest, page_tables, fetch_outcome,
+        build_records, metadata_keys, flat_csv, select_by_id, select_by_url, id_set_ops, preview_top50, run_summary, stage_funnel, status_log_digest, status_log_stream, progress_scale, selection_counts, document_files, media_manifest, page_tables, fetch_outcome,
     )
     return {f.__name__: f for f in named} | {"page_paragraphs": _extracted("text"), "page_images": _extracted("image_cnn"), "page_audio": _extracted("audio"), "header_edges": _extracted("header_edges")}

@@ -125,16 +125,32 @@ lo as (select node from nd where node not in (select src from dg)), nn as (selec
     return ", ".join(steps)
 
 
+def _converged(rounds: int = 40, tol: float = 1e-6) -> str:
+    """The ranks after the first round with a change below the bound, out of as many rounds as are written out."""
+    change = " union all ".join(f"select {k} as k, (select sum(abs(b.pr - a.pr)) from r{k - 1} a join r{k} b using (node)) as c" for k in range(1, rounds + 1))
+    every = " union all ".join(f"select {k} as k, node, pr from r{k}" for k in range(1, rounds + 1))
+    return f"{_ranks(rounds)}, ch as ({change}), stop as (select min(k) as k from ch where c < (select n from nn) * {tol}) select node, round(pr * 1e6, 1) as pagerank from ({every}) join stop using (k)"
+
+
 _EVENTS = f"select event_id, 'user:' || user_id as source_url, json_keys(props) as ks, props from events"
 _AUDIO = "select 'conv:' || conv_id as source_url, turn::int as item_idx, 'https://a.example.com/' || conv_id || '.mp3' as audio_url, 'mp3' as ext, case when turn % 2 = 0 and coalesce(role, '') <> '' then " + rf"regexp_replace(text || ' ' || role, '{_TRIM}', '', 'g')" + " else text end as transcript from conversations"
 _EXT = "case when contains(l, 'png') then 'png' when contains(l, 'webp') then 'webp' when contains(l, 'wav') then 'wav' else '{}' end"
 
 
+_STORED = """select page_id // 10 as query, (row_number() over (partition by page_id // 10 order by page_id) - 1)::int as position, 'Page' || page_id as title, url,
+case when page_id % 5 = 0 then url when page_id % 3 = 0 then '//duckduckgo.com/l/?uddg=' || url_encode(url) || '&rut=1' else url end as href from pages qualify page_id % 7 <> 0"""
+
+
 def _recordings(name: str, end: str) -> str:
     return f"""select path, url from (select page_id, {name} || format('{{:04d}}', row_number() over (order by page_id) - 1) || '.' || {end} as path, url
 from (select page_id, url || (['.mp3', '.WAV', '.ogg'])[page_id % 3 + 1] as url from pages)) where page_id % 2 = 0 or page_id % 7 <> 0"""
 
 
+_DIGEST = """with c as (select user_id as job, ts, event_id as seq, event_type as message, lag(event_type) over (partition by user_id order by ts, event_id) as last from events),
+k as (select *, row_number() over (partition by job order by ts desc, seq desc) as r, case when contains(lower(message), 'failed') or contains(lower(message), 'error') then 'error' when contains(lower(message), 'retry') or contains(lower(message), 'blocked') then 'warn' else 'info' end as kind from c where last is null or message <> last)
+select job, seq, message, kind, count(*) filter (where kind = 'error') over (partition by job) as errors from k where r <= 30"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name; queries that read HTML have none."""
     suffixes = "(values ('text', ''), ('image_cnn', ' high resolution images gallery photos'), ('audio', ' audio clips sound wav mp3 download'), ('graph_gnn', ' categories hierarchy taxonomy relationships'), ('network', ' data statistics table csv numerical')) s(modality, suffix)"
@@ -175,6 +191,7 @@ from (select source_url, item_idx, caption, cosine, {_tags('caption')} as tg fro
         "entity_nodes": f"select node, count(*) as weight from ({_MENTIONS}) group by node",
         "entity_edges": f"with {_EDGES} select * from ed",
         "pagerank": f"with {_ranks()} select node, round(pr * 1e6, 2) as pagerank from r10",
+        "pagerank_converged": f"with {_converged()}",
         "edge_dataset": f"with {_ranks()} select 'Synthesized Graph' as source_url, src as source_node, dst as target_node, 'semantic_co_occurrence' as relationship_type, weight as edge_weight, round(a.pr, 4) as source_pagerank, round(b.pr, 4) as target_pagerank, round((a.pr + b.pr) / 2 * 100, 3) as score from ed join r10 a on a.node = src join r10 b on b.node = dst",
         "edge_view": f"with {_EDGES}, sq as (select src, dst, row_number() over (order by src, dst) as n from ed) select id, arg_max(g, n) as group from (select src as id, 1 as g, 2 * n as n from sq union all select dst, 2, 2 * n + 1 from sq) group by id".replace("as group", 'as "group"'),
         "edge_view_links": f"with {_EDGES} select src as source, dst as target, 1 as value from ed",
@@ -185,7 +202,8 @@ from (select source_url, item_idx, caption, cosine, {_tags('caption')} as tg fro
         "network_records": f"select 'network' as type, '' as content, 1.0::double as score, 'supplier:' || s_suppkey as source_url, s_name as name, s_nationkey::varchar as nation, '1.0' as relevance_score from supplier",
         "graph_records": f"with {_EDGES} select 'graph_' || substring(sha256('Synthesized Graph' || chr(1) || '0' || chr(1) || c), 1, 16) as id, 'graph' as type, c as content, weight::double as score from (select src || ' -> ' || dst as c, weight from ed)",
         "composed_paragraphs": rf"select 'https://doc.example.com/' || doc_id as source_url, sha1(t) as sha, length(t) as n from (select doc_id, regexp_replace(unnest(string_split(text, chr(10))), '{_TRIM}', '', 'g') as t from documents where text is not null and doc_id % 7 <> 0) where length(t) >= 50",
-        "composed_images": "select 'https://shop.example.com/p/' || p_partkey || '.html' as source_url, 0 as item_idx, 'https://shop.example.com/' || case when p_partkey % 3 = 0 then 'img/' || p_partkey || '.png' else 'p/' || p_partkey || '.jpg' end as image_url, case when p_partkey % 3 = 0 then p_name else p_name || p_brand end as caption from part where length(case when p_partkey % 3 = 0 then p_name else p_name || p_brand end) > 5",
+        "composed_images": """select 'https://shop.example.com/p/' || p_partkey || '.html' as source_url, 0 as item_idx, 'https://shop.example.com/' || case when p_partkey % 7 = 6 then 'p/' || p_partkey || '.jpg' else 'img/' || p_partkey || '.png' end as image_url, c as caption
+from (select p_partkey, case p_partkey % 7 when 0 then ' ' || p_name || ' ' when 1 then '   ' when 2 then '      ' when 3 then 'abcde' when 4 then ' abcd ' when 5 then 'around' else p_name || p_brand end as c from part) where length(c) > 5""",
         "composed_audio": rf"select 'https://talk.example.com/' || k || '/index.html' as source_url, 0 as item_idx, 'https://talk.example.com/' || k || '/a/' || k || case when turn % 3 = 0 then '.mp3' else '.wav?x=1' end as audio_url, substring(regexp_replace(text, '{_TRIM}', '', 'g'), 1, 300) as context_transcript from (select conv_id || '-' || turn as k, turn, text from conversations where text is not null and turn % 3 < 2)",
         "composed_headings": "select 'https://c.example.com/' || c_custkey as source_url, i::int as item_idx, c_name as source_node, case when i = 0 then c_mktsegment else 'nation ' || c_nationkey end as target_node, 'contains/relates_to' as relationship_type from customer, (values (0), (1)) v(i) where c_custkey % 5 <> 0",
         "composed_tables": "select 'https://s.example.com/' || s_suppkey as source_url, 0 as item_idx, s_name as name, case when s_suppkey % 4 = 0 then '-' else s_nationkey::varchar end as nation, case when s_suppkey % 4 = 0 then '-' else 'x' end as third from supplier",
@@ -211,12 +229,23 @@ select source_url, item_idx, transcript, ext, case when score > 0 then score els
         "preview_top50": f"with {_KEPT} select text as content, source_url as source, case when score = 0 then '100' else round(score * 100, 0)::int::varchar end as percent from kept order by score desc, source_url, item_idx limit 50",
         "run_summary": f"with {_KEPT} select '{TOPIC}' as topic, 'text' as modality, (select count(*) from ({_RANKED} order by page_id limit 20)) as sources_used, count(*) as total_records, case when count(*) > 0 then '{RUN_TS}' end as created_at from kept",
         "stage_funnel": f"with {_KEPT}, ln as ({_LINES}) select 'clean' as stage, (select count(*) from ln) as rows_in, (select count(*) from it) as rows_out union all select 'score', (select count(*) from it), (select count(*) from sc) union all select 'exact', (select count(*) from sc), (select count(*) from kept)",
-        "status_log_digest": """with c as (select user_id as job, ts, event_id as seq, event_type as message, lag(event_type) over (partition by user_id order by ts, event_id) as last from events),
-k as (select *, row_number() over (partition by job order by ts desc, seq desc) as r, case when contains(lower(message), 'failed') or contains(lower(message), 'error') then 'error' when contains(lower(message), 'retry') or contains(lower(message), 'blocked') then 'warn' else 'info' end as kind from c where last is null or message <> last)
-select job, seq, message, kind, count(*) filter (where kind = 'error') over (partition by job) as errors from k where r <= 30""",
+        "status_log_digest": _DIGEST,
+        "status_log_stream": _DIGEST,
         "progress_scale": "select page_id, 30 + floor(floor((page_id % 41) / 40.0 * 100) * 0.3)::int as shown from pages",
         "selection_counts": "select count(*) filter (where s) as selected, count(*) as available, count(*) filter (where s) * 1.5 as estimate_s from (select case when page_id % 4 = 0 then true else page_id % 4 = 1 end as s from pages)",
         "document_files": "select format('documents/doc_{:04d}.txt', row_number() over (order by doc_id) - 1) as path, sha1(case when coalesce(text, '') = '' then 'No content.' else text end) as sha from documents",
         "media_manifest": "select path, url from (select page_id, format('images/image_{:04d}.webp', row_number() over (order by page_id) - 1) as path, url || '.webp' as url from pages) where page_id % 7 <> 0",
-        "fetch_outcome": "select case when contains(html, '<p') then 'ok' else 'error' end as status, count(*) as pages from pages group by 1",
+        "fetch_outcome": "select case when page_id % 11 = 0 then 'timeout' when page_id % 13 = 0 then null when contains(html, '<p') then 'ok' else 'error' end as status, count(*) as pages from pages group by 1",
+        "stored_hits": f"select query, position, title, href from ({_STORED})",
+        "stored_sources": r"""select query, title, url, ltrim(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), 'w.') as domain, greatest(round(1.0 - 0.02 * (k - 1), 3), 0.1)::double as relevance_score
+from (select *, row_number() over (partition by query order by position) as k from (""" + _STORED + """)) where k <= 5""",
+        "prominent_edges": f"with {_ranks()} select 'Synthesized Graph' as source_url, src as source_node, dst as target_node, 'semantic_co_occurrence' as relationship_type, weight as edge_weight, round(a.pr, 4) as source_pagerank, round(b.pr, 4) as target_pagerank, round((a.pr + b.pr) / 2 * 100, 3) as score from ed join r10 a on a.node = src join r10 b on b.node = dst where weight >= 2",
+        "preview_without_content": """select substring('{"id":"network_' || substring(sha256(u || chr(1) || s_suppkey || chr(1)), 1, 16) || '","type":"network","content":"","tags":[],"entities":[],"category":"general","metadata":{', 1, 100) as content,
+  case when s_suppkey % 3 = 0 then 's.example.com' when u = '' then 'Unknown' else u end as source, case when coalesce(score, 0) = 0 then '100' else round(score * 100, 0)::int::varchar end as percent
+from (select s_suppkey, case s_suppkey % 3 when 0 then 'https://s.example.com/' || s_suppkey when 1 then '' else 'supplier ' || s_suppkey end as u, case s_suppkey % 4 when 0 then 0.0 when 1 then null else (s_suppkey % 100) / 100.0 end as score from supplier)
+order by score desc nulls last, u, s_suppkey limit 50""",
+        "typed_metadata": "select event_id, json_extract_string(props, '$.k') as k, json_extract_string(props, '$.k')::int as number, 'OBJECT<k: BIGINT>' as schema from events",
+        "document_files_written": "select format('documents/doc_{:04d}.txt', row_number() over (order by doc_id) - 1) as path, sha1(case when coalesce(text, '') = '' then 'No content.' else text end) as sha from documents",
+        "exports_reread": "select format, selected, s_name as name, 'text' as type, s_name as content from supplier, (values ('csv'), ('json'), ('zip')) f(format), (values (true), (false)) c(selected) where not selected or s_name like '%1'",
+        "incremental_dedup": f"select source_url from (select source_url, row_number() over (partition by {_hash('text')} order by doc_id % 2, source_url) as r from ({_WHOLE})) where r = 1",
     }

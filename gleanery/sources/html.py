@@ -100,7 +100,7 @@ def paragraphs(root: Node, url: str) -> Iterator[tuple]:
 def images(root: Node, url: str) -> Iterator[tuple]:
     for node in root.walk():
         if node.name == "img" and (src := node.values.get("src")):
-            caption = node.values.get("alt", "").strip()
+            caption = node.values.get("alt", "")
             if not caption and (near := node.above("figure", "div", "p")):
                 caption = near.text()[:CAPTION]
             address = urljoin(url, src)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.urls import extension
@@ -21,22 +24,55 @@ def flat_rows(records: DataFrame, keys: list[str]) -> DataFrame:
     return records.select("id", "type", "content", *made)
 
 
-#: Metadata keys that a flat export may have as columns.
-MOST_KEYS = 10_000
+def key_columns(records: DataFrame, order: list[str]) -> list[str]:
+    """The metadata keys in the order of their first occurrence: the columns of the flat export, read by the driver."""
+    return [r["key"] for r in metadata_keys(records, order).orderBy("pos").collect()]
+
+
+def ranked_keys(records: DataFrame, order: list[str]) -> DataFrame:
+    """(place, key): the metadata keys, numbered in the order of their first occurrence."""
+    return numbered(metadata_keys(records, order), ["pos"], "place").select(F.col("place").cast("int").alias("place"), "key")
 
 
-def key_columns(records: DataFrame, order: list[str], most: int = MOST_KEYS) -> list[str]:
-    """The metadata keys in the order of their first occurrence; more than `most` cannot be columns and are refused."""
-    keys = [r["key"] for r in metadata_keys(records, order).orderBy("pos").limit(most + 1).collect()]
-    if len(keys) > most:
-        raise ValueError(f"more than {most} metadata keys: write JSON instead of columns")
-    return keys
+def csv_lines(records: DataFrame, keys: list[str]) -> DataFrame:
+    """(value): the lines of the flat export, all fields quoted, each partition's first one the header.
+
+    Lines are made row by row from the metadata map, so that there may be any number of keys; as columns of a frame, tens of
+    thousands would not fit a plan.
+    """
+    names = ["id", "type", "content", *[f"metadata.{k}" for k in keys]]
+    at = {k: i for i, k in enumerate(keys, 3)}
+    quoted = lambda x: '"' + (x or "").replace('"', '""') + '"'
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in batches:
+            out = [",".join(map(quoted, names))] if first and batch.num_rows else []
+            first = first and not batch.num_rows
+            for row in batch.to_pylist():
+                fields = [quoted(row["id"]), quoted(row["type"]), quoted(row["content"]), *['""'] * len(keys)]
+                for k, v in row["metadata"] or ():
+                    if k in at:
+                        fields[at[k]] = quoted(v)
+                out.append(",".join(fields))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+
+    return records.select("id", "type", "content", "metadata").mapInArrow(lines, "value string")
 
 
 def write_csv(records: DataFrame, path: str, order: list[str]) -> None:
     """Flat CSV, all fields quoted."""
-    keys = key_columns(records, order)
-    flat_rows(records, keys).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
+    csv_lines(records, key_columns(records, order)).write.mode("overwrite").text(path)
+
+
+def typed_metadata(records: DataFrame, own: Column) -> DataFrame:
+    """records with `variant`: the item's own JSON text as a VARIANT, whose values keep their types; null where it is no JSON."""
+    return records.withColumn("variant", F.try_parse_json(own))
+
+
+def metadata_schema(records: DataFrame) -> DataFrame:
+    """(schema): one row, the schema that the VARIANTs of all records have together."""
+    return records.agg(F.schema_of_variant_agg("variant").alias("schema"))
 
 
 def write_json(records: DataFrame, path: str) -> None:

@@ -143,8 +143,6 @@ def test_annotations_lie_beside_the_items(spark, tmp_path):
         sinks.write_annotated(made, files, str(tmp_path / fmt), fmt, ["source_url", "item_idx"])
         assert [tuple(r) for r in spark.read.json(str(tmp_path / fmt / "items")).select("path", "url").collect()] == [("images/image_0000.png", "https://x.org/a.PNG")]
         assert read(str(tmp_path / fmt / "annotations")).count() == 2
-    with pytest.raises(ValueError):
-        sinks.key_columns(made, ["source_url"], most=1)
 
 
 def test_ranked_per_topic(spark):
