@@ -14,6 +14,11 @@ from gleanery.functions import text as T
 BITS, SET = 32_768, 4
 
 
+def _key(text: Column) -> Column:
+    """The content hash; rows without a text are copies of each other."""
+    return F.coalesce(T.content_hash(text), F.lit("-"))
+
+
 class Seen:
     """The texts of earlier runs in a folder: `hashes` (key) by run and `filter` (block, bits) by run.
 
@@ -41,7 +46,7 @@ class Seen:
 
     def remember(self, items: DataFrame) -> None:
         """Add the texts of a run. Hashes are written before the filter, so that a run cut short is repeated, never half known."""
-        keys = items.select(T.content_hash(F.col("text")).alias("key")).distinct()
+        keys = items.select(_key(F.col("text")).alias("key")).distinct()
         run = uuid.uuid4().hex
         keys.write.parquet(f"{self.folder}/hashes/run={run}")
         kept = self.spark.read.parquet(f"{self.folder}/hashes/run={run}")
@@ -51,7 +56,7 @@ class Seen:
     def may_hold(self, items: DataFrame) -> DataFrame:
         """items with `hit`: False is certain, True must be looked up."""
         bits = self._read("filter", "block long, bits binary").groupBy("block").agg(F.bitmap_or_agg("bits").alias("bits"))
-        placed = self._placed(items.withColumn("key", T.content_hash(F.col("text")))).join(bits, "block", "left")
+        placed = self._placed(items.withColumn("key", _key(F.col("text")))).join(bits, "block", "left")
         return placed.withColumn("hit", F.coalesce(F.forall("places", lambda p: _bit(F.col("bits"), p)), F.lit(False))).drop("block", "places", "bits")
 
     def unseen(self, items: DataFrame) -> DataFrame:

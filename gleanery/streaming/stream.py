@@ -59,7 +59,7 @@ def digest_stream(log: DataFrame, newest: int = 30, ttl_ms: int | None = None) -
     """status_digest over a stream (job, ts, seq, message) that comes in order: whenever a job has news, its whole digest.
 
     `given` numbers a job's digests; the one with the largest number holds. State is at most `newest` messages for a job, and
-    is dropped when nothing came for ttl_ms. A batch's rows of one job are sorted in memory: bound batches by the source's
+    is dropped when nothing came for ttl_ms (a stream with such a limit goes on by the clock: stop it, it does not end by itself). A batch's rows of one job are sorted in memory: bound batches by the source's
     options. The session must keep state in STATE_STORE.
     """
     classed = log.select("job", "ts", F.col("seq").cast("long").alias("seq"), "message", message_kind(F.col("message")).alias("kind"))
