@@ -170,7 +170,8 @@ def _phrases(lexicon: Lexicon):
             phrases = {}
             for at, _ in kept_hits(joined, matcher) if len(matcher) else ():
                 word = joined[at + 1 : joined.index(" ", at + 1)]
-                before, after = joined[joined.rfind(" ", 0, at) + 1 : at] if at else "", joined[at + len(word) + 2 :].split(" ", 1)[0] if at + len(word) + 2 < len(joined) else ""
+                next_ = at + len(word) + 2
+                before, after = joined[joined.rfind(" ", 0, at) + 1 : at] if at else "", joined[next_ : joined.index(" ", next_)] if next_ < len(joined) else ""
                 phrases |= dict.fromkeys([f"{before} {word}"] * bool(before) + [f"{word} {after}"] * bool(after))
             out.append(list(phrases))
         return pd.Series(out)
