@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions import text as T
 from gleanery.operators.captions import entities
 from gleanery.operators.lineage import settle
 
+# The kinds of entities that make nodes.
+KINDS = ("ORG", "PERSON", "PRODUCT", "GPE", "WORK_OF_ART", "EVENT")
+
 
 def mentions(paragraphs: DataFrame, extract=None) -> DataFrame:
     """(source_url, item_idx, node): distinct entities of each paragraph; `extract` maps the text column to an array.
@@ -19,6 +23,29 @@ def mentions(paragraphs: DataFrame, extract=None) -> DataFrame:
     return paragraphs.where(F.col("text").isNotNull()).select("source_url", "item_idx", F.explode(nodes).alias("node"))
 
 
+def of_kinds(paragraphs: DataFrame, found: Column, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """(source_url, item_idx, node, kind): distinct entities of the kinds that count, from an array of (text, kind) that a model or a dictionary gives."""
+    named = paragraphs.where(F.col("text").isNotNull()).select("source_url", "item_idx", F.explode(found).alias("e")).where(F.col("e.kind").isin(*kinds))
+    node = F.replace(T.strip(F.col("e.text")), F.lit("\n"), F.lit(" "))
+    return named.select("source_url", "item_idx", node.alias("node"), F.col("e.kind").alias("kind")).where(F.length("node") > 2).distinct()
+
+
+def from_dictionary(paragraphs: DataFrame, names: DataFrame, longest: int = 4, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """As of_kinds(), by a dictionary (name, kind): every run of up to `longest` words that is a name, without punctuation at its ends.
+
+    Runs are made in the row and met with the names by a join, so that the dictionary may be of any size; a name that a large
+    share of all rows has is split by the join's own handling of skew.
+    """
+    words = F.filter(F.split("text", T.SPACES), lambda w: w != "")
+    kept = paragraphs.where(F.col("text").isNotNull()).select("source_url", "item_idx", words.alias("w"))
+    starts = kept.select("source_url", "item_idx", F.posexplode("w").alias("at", "first"), "w")
+    runs = F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.col("at") + n <= F.size("w"), F.array_join(F.slice("w", F.col("at") + 1, n), " ")))
+    asked = starts.select("source_url", "item_idx", F.explode(runs).alias("run")).where("run is not null")
+    bare = asked.select("source_url", "item_idx", F.regexp_replace("run", r"^[\p{P}&&[^#]]+|[\p{P}&&[^#]]+$", "").alias("node")).distinct()
+    wanted = names.where(F.col("kind").isin(*kinds) & (F.length("name") > 2)).select(F.col("name").alias("node"), "kind").distinct()
+    return bare.join(wanted, "node").select("source_url", "item_idx", "node", "kind")
+
+
 def node_weights(found: DataFrame) -> DataFrame:
     return found.groupBy("node").agg(F.count("*").alias("weight"))
 

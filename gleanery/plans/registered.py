@@ -172,6 +172,17 @@ def _mentions(spark, sf):
     return graph.mentions(_items(spark, sf))
 
 
+def dictionary_entities(spark, sf):
+    """Customers, nations and segments that sentences name, by kind; regions are of a kind that makes no nodes."""
+    nation, region = tables.read(spark, sf, "nation"), tables.read(spark, sf, "region")
+    rows = tables.read(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    text = F.concat(F.lit("Then "), "c_name", F.lit(", of "), "n_name", F.lit(" ("), "r_name", F.lit("), asks for\n"), "c_mktsegment", F.lit("."))
+    sentences = rows.select(F.concat(F.lit("c:"), "c_custkey").alias("source_url"), F.lit(0).alias("item_idx"), text.alias("text"))
+    named = lambda df, c, kind: df.select(F.col(c).alias("name"), F.lit(kind).alias("kind"))
+    names = named(rows, "c_name", "PERSON").unionByName(named(nation, "n_name", "GPE")).unionByName(named(region, "r_name", "LOC")).unionByName(named(rows, "c_mktsegment", "PRODUCT"))
+    return graph.from_dictionary(sentences, names).groupBy("node", "kind").agg(F.count("*").alias("weight"))
+
+
 def entity_nodes(spark, sf):
     return graph.node_weights(_mentions(spark, sf))
 
@@ -537,7 +548,7 @@ def queries() -> dict:
     """Every curation query by name."""
     named = (
         page_domains, rank_sources, modality_query, clean_paragraphs, boilerplate_flags, special_ratio, exact_dedup, tokens, bigrams, tfidf_idf, vocab_topk, score_paragraphs, score_topics, similar_pairs, fuzzy_dedup,
-        clean_captions, caption_entities, caption_tags, caption_category, enrich_captions, preprocess_manifest, entity_nodes, entity_edges, pagerank, pagerank_converged, edge_dataset, edge_view, concept_graph, source_star, source_star_links, edge_view_links, selected_sources, select_all_ids, select_no_ids, network_records, graph_records, stored_hits, stored_sources, prominent_edges, preview_without_content, typed_metadata, document_files_written, exports_reread, incremental_dedup,
+        clean_captions, caption_entities, caption_tags, caption_category, enrich_captions, preprocess_manifest, dictionary_entities, entity_nodes, entity_edges, pagerank, pagerank_converged, edge_dataset, edge_view, concept_graph, source_star, source_star_links, edge_view_links, selected_sources, select_all_ids, select_no_ids, network_records, graph_records, stored_hits, stored_sources, prominent_edges, preview_without_content, typed_metadata, document_files_written, exports_reread, incremental_dedup,
         composed_paragraphs, composed_images, composed_audio, composed_headings, composed_tables, approximate_recall, media_manifest_audio, media_manifest_spectrograms, media_manifest_files, audio_ext, audio_scores,
         build_records, metadata_keys, flat_csv, select_by_id, select_by_url, id_set_ops, preview_top50, run_summary, stage_funnel, status_log_digest, status_log_stream, progress_scale, selection_counts, document_files, media_manifest, page_tables, fetch_outcome,
     )

@@ -188,6 +188,7 @@ select topic_id, source_url, item_idx, round(dot / (n * qn), 4) as score from dt
 select source_url, item_idx, round(case when regexp_matches(lower(caption), 'rewh|thatin|orre|ononst') then greatest(cosine, 0.4) else cosine end, 4) as score, {_CATEGORY} as category, array_to_string(tg, '|') as tags, array_to_string({_entities('caption', 3, True)}, '|') as entities
 from (select source_url, item_idx, caption, cosine, {_tags('caption')} as tg from cos join it using (source_url, item_idx))""",
         "preprocess_manifest": "select page_id, 'JPEG' as format, 'Resize to 224x' || (page_id % 5 + 100) || ' (Lanczos); RGB channel normalization' || case when page_id % 5 = 0 then '; Histogram equalization' else '' end || case when page_id % 3 = 0 then '; Edge enhancement' else '' end || case when page_id % 2 = 0 then '; Grayscale conversion (3-ch)' else '' end || '; Export as JPEG (quality=95)' as steps from pages",
+        "dictionary_entities": "select c_name as node, 'PERSON' as kind, count(*) as weight from customer group by c_name union all select n_name, 'GPE', count(*) from customer join nation on c_nationkey = n_nationkey group by n_name union all select c_mktsegment, 'PRODUCT', count(*) from customer group by c_mktsegment",
         "entity_nodes": f"select node, count(*) as weight from ({_MENTIONS}) group by node",
         "entity_edges": f"with {_EDGES} select * from ed",
         "pagerank": f"with {_ranks()} select node, round(pr * 1e6, 2) as pagerank from r10",

@@ -178,6 +178,16 @@ def test_hits_of_a_stored_page(spark):
     assert [tuple(r) for r in hits.stored_hits(pages).collect()] == [("q", *x) for x in expected]
 
 
+def test_entities_by_kind(spark):
+    rows = spark.createDataFrame([("u", 0, "Anna Bell met Acme Corp, in Rome. Anna  Bell!"), ("u", 1, None), ("v", 0, "an ox in (Rome)")], "source_url string, item_idx int, text string")
+    names = spark.createDataFrame([("Anna Bell", "PERSON"), ("Acme Corp", "ORG"), ("Rome", "GPE"), ("ox", "PRODUCT"), ("in", "ORG"), ("Rome", "LOC")], "name string, kind string")
+    expected = {("u", 0, "Anna Bell", "PERSON"), ("u", 0, "Acme Corp", "ORG"), ("u", 0, "Rome", "GPE"), ("v", 0, "Rome", "GPE")}
+    got = [tuple(r) for r in graph.from_dictionary(rows, names).collect()]
+    assert set(got) == expected and len(got) == len(expected)
+    model = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(k).alias("kind")) for t, k in ((" Big\nEvent ", "EVENT"), ("Big Event", "EVENT"), ("no", "ORG"), ("1 January", "DATE"))])
+    assert {tuple(r) for r in graph.of_kinds(rows, model).collect()} == {("u", 0, "Big Event", "EVENT"), ("v", 0, "Big Event", "EVENT")}
+
+
 def test_alt_is_taken_as_it_stands():
     page = "<div>around<img src='a.png' alt='   '><img src='b.png' alt=' abcde '><img src='c.png' alt=''><img src='d.png'></div>"
     assert [c for _, c in html.images(html.parse(page), "https://x.org/")] == [" abcde ", "around", "around"]
