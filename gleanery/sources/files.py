@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from gleanery.sources import sinks
@@ -128,10 +129,8 @@ def write_files(spark: SparkSession, files: DataFrame, target: str) -> None:
 
 
 def read_files(spark: SparkSession, target: str) -> DataFrame:
-    """(path, content) of the files below target, paths relative to it, content binary; marks and annotations are left out."""
-    from pyspark.sql import functions as F
-
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*[!S]").load(target)
+    """(path, content) of the files below target, paths relative to it, content binary; empty files, hidden ones and annotations are left out."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(target)
     plain = target.rstrip("/").split("://")[-1].removeprefix("file:")
     inside = F.substring_index("path", f"{plain}/", -1)
     return found.select(inside.alias("path"), "content").where(~inside.startswith("annotations/"))
