@@ -24,7 +24,7 @@ count.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,17 +148,18 @@ def permuted(j: Column, n: Column, key: Column, seed: int = 1) -> Column:
     return F.pmod(F.pmod(multiplier, n) * k + shift, n)
 
 
-def with_takes(slots: DataFrame, block: int = BLOCK) -> DataFrame:
+def with_takes(slots: DataFrame, few: Callable[[DataFrame], DataFrame], block: int = BLOCK) -> DataFrame:
     """slots (with j, block and their source's targets) plus `take`, the words they take from the start of their block.
 
     All that the block holds, but for slots of the last pass that reach over the rest. Before the k-th slot of that pass lie k
-    blocks, less what the source's last block lacks if it is among them; its place is found first, one row per source.
+    blocks, less what the source's last block lacks if it is among them; its place is found first, at most one row per source, which `few` broadcasts where sources are few, so
+    that the slots of a source stay where they are.
     """
     last = F.col("block") == F.col("n_blocks") - 1
     lacks = F.col("n_blocks") * block - F.col("source_size")
     k = F.col("j") - F.col("passes") * F.col("n_blocks")
     where = slots.where(last & (k >= 0)).select(F.col("_s").alias("_p"), k.alias("place"))
-    placed = slots.join(where, F.col("_s") == F.col("_p"), "left").drop("_p")
+    placed = slots.join(few(where), F.col("_s") == F.col("_p"), "left").drop("_p")
     holds = F.lit(block) - F.when(last, lacks).otherwise(0)
     before = k * block - F.when(F.col("place") < k, lacks).otherwise(0)
     return placed.withColumn("take", F.when(k < 0, holds).otherwise(F.greatest(F.least(holds, F.col("rest") - before), F.lit(0)))).where("take > 0")
@@ -179,7 +180,7 @@ def mix(
     few = F.broadcast if n_sources <= FEW_SOURCES else lambda df: df
     quotas = [(r["_s"], r["quota"]) for r in targets.where("quota > 0").orderBy("rank").collect()]  # a row per source
     slots = draw_slots(docs.sparkSession, quotas, seed).join(few(targets.select("_s", "n_blocks", "source_size", "passes", "rest")), "_s")
-    slots = with_takes(slots.withColumn("block", permuted(F.col("j"), F.col("n_blocks"), F.col("_s"), seed)), block)
+    slots = with_takes(slots.withColumn("block", permuted(F.col("j"), F.col("n_blocks"), F.col("_s"), seed)), few, block)
     placed = block_pieces(counted, n_docs, block).join(few(targets.select("_s", "source_size", "target")), "_s")
     return placed, slots.select("slot", "shard", "_s", "block", "take"), targets
 
