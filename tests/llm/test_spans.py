@@ -73,6 +73,23 @@ def test_phrases_by_brute_force():
         assert base == ",".join(sorted({label for _, label in places}))
 
 
+def choices_of(postfix):
+    """The choices that an expression leaves: each is the set of licences that hold together."""
+    stack = []
+    for token in postfix:
+        if token not in licenses.PRECEDENCE:
+            stack.append([frozenset([token])])
+            continue
+        right, left = stack.pop(), stack.pop()
+        if token == "or":
+            stack.append(list(dict.fromkeys(left + right)))
+        elif token == "and":
+            stack.append(list(dict.fromkeys(a | b for a in left for b in right)))
+        else:
+            stack.append([frozenset(f"{x}-with-{y}" for x in a for y in b) for a in left for b in right])
+    return stack[0]
+
+
 def labels_of(line):
     return set(licenses.tag_value(line).named)
 
@@ -89,7 +106,7 @@ def test_expression_values_equal_their_choices():
 
     for _ in range(300):
         line = made(4)
-        choices = licenses.evaluate(licenses.parse_expression(line))
+        choices = choices_of(licenses.parse_expression(line))
         got = licenses.tag_value(line)
         free = lambda c: not any(x.startswith(licenses.COPYLEFT) for x in c)
         assert got.named == frozenset().union(*choices) and got.permissive == any(map(free, choices)), line
@@ -108,11 +125,41 @@ def test_long_license_text_is_linear():
 
 
 def test_expressions():
-    assert licenses.evaluate(licenses.parse_expression("MIT OR Apache-2.0 AND BSD-3-Clause")) == [frozenset({"mit"}), frozenset({"apache-2.0", "bsd-3-clause"})]
+    assert choices_of(licenses.parse_expression("MIT OR Apache-2.0 AND BSD-3-Clause")) == [frozenset({"mit"}), frozenset({"apache-2.0", "bsd-3-clause"})]
     assert labels_of("(GPL-2.0-only WITH Classpath-exception-2.0)") == {"gpl-2.0-only-with-classpath-exception-2.0"}
     assert labels_of("MIT OR") == labels_of("(MIT") == labels_of("") == {"unparsed"}
 
 
+def test_notices_in_prose():
+    phrases = licenses.BASE_PHRASES | licenses.MORE_PHRASES
+    automaton = licenses._automaton(phrases)
+
+    def got(text):
+        *_, base, labels, score, required, permissive = licenses.scan(text, automaton, phrases)
+        return base, labels, required, permissive, 0 < score < 1
+
+    assert got("Licensed under the Apache License, Version 2.0.") == ("apache", "apache,apache-2.0", "apache-2.0", True, True)
+    assert got("the GNU General Public License, version 3 or later") == ("gpl", "gpl,gpl-3.0+", "gpl-3.0+", False, True)
+    assert got("under either the MIT or the Apache License") == ("apache", "apache,mit", "", True, True)
+    assert got("GPL and MIT License") == ("mit", "gpl,mit", "gpl,mit", False, True)
+    assert got("MIT License or the GNU General Public License v2") == ("gpl,mit", "gpl,gpl-2.0,mit", "", True, True)
+    assert got("GNU General Public License version 2 with the Classpath exception") == ("gpl", "gpl,gpl-2.0-with-classpath-exception", "gpl-2.0-with-classpath-exception", False, True)
+    assert got("Licensed under CC BY-NC 4.0.") == ("cc-by", "cc-by,cc-by-nc,cc-by-nc-4.0", "cc-by-nc-4.0", True, True)
+    assert got("All rights reserved.") == ("", "all-rights-reserved", "", None, True)
+    assert got("MIT License with or and MIT License with") == ("mit", "mit", "mit", True, True)
+    assert got("SPDX-License-Identifier: MIT OR") == ("", "unparsed", "", None, True)
+
+
+def test_long_chains_of_notices_are_linear():
+    import time
+
+    phrases = licenses.BASE_PHRASES | licenses.MORE_PHRASES
+    began = time.process_time()
+    for text in ("mit license or " * 100_000, "mit or " * 200_000 + "mit license", "the " * 300_000 + "mit license with the " * 50_000):
+        assert licenses.scan(text, licenses._automaton(phrases), phrases)[5] == "mit"
+    assert time.process_time() - began < 20
+
+
 def test_license_query_edge_cases(spark):
     rows = spark.createDataFrame([*EDGE, (9, "// SPDX-License-Identifier: MIT", "z")], SCHEMA).select("doc_id", licenses.license_scan("text").alias("s")).collect()
     assert [r.s.score for r in rows] == [0.0] * len(EDGE) + [1.0] and rows[-1].s.labels == "mit" and rows[0].s.first_word is None
@@ -282,7 +329,7 @@ def test_long_expressions_are_evaluated():
     line = " AND ".join(f"(L{i} OR M{i})" for i in range(40)) + " AND GPL-2.0-only WITH Classpath-exception-2.0"
     assert labels_of(line) == {f"{x}{i}" for i in range(40) for x in "lm"} | {"gpl-2.0-only-with-classpath-exception-2.0"}
     short = "(A OR B AND C) WITH X OR D"
-    assert labels_of(short) == set().union(*licenses.evaluate(licenses.parse_expression(short)))
+    assert labels_of(short) == set().union(*choices_of(licenses.parse_expression(short)))
 
 
 def test_round_trip_of_whole_lists(spark):
