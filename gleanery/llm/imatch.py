@@ -101,47 +101,71 @@ def likeness(a: Column, b: Column) -> Column:
     return let(pairs, lambda z: F.size(F.filter(z, lambda p: F.coalesce(p["x"] == p["y"], F.lit(False)))) / F.greatest(F.size(z), F.lit(1)))
 
 
-def range_starts(ids: DataFrame, buckets: int) -> list[int]:
-    """Falling ids that begin about `buckets` ranges of as many rows, from a table of `doc_id`; nulls count as the least number.
+def _place(df: DataFrame) -> DataFrame:
+    """df plus `_o`, its place in the order: falling doc_id (null last), then rising hash `th`; a struct that compares so."""
+    return df.withColumn("_o", F.struct(F.bitwise_not(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("k"), F.col("th").alias("h")))
+
+
+def _literals(places: list[tuple[int, int]]) -> Column:
+    return F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(h).cast("long").alias("h")) for k, h in places])
 
-    At most `buckets` numbers come to the driver, found in one pass over the ids alone.
-    """
-    k = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    shares = F.percentile_approx(k, [i / buckets for i in range(1, buckets)] or [0.5], 10 * buckets) if buckets > 1 else F.array().cast("array<bigint>")
-    found, most = ids.agg(shares, F.max(k)).first()
-    return sorted({*(found or ()), 0 if most is None else most}, reverse=True)
 
+def _bucket(places: list[tuple[int, int]]) -> tuple[Column, Column]:
+    """The number of the last of the sorted places that is not after `_o` (-1: none), and that place."""
+    groups = [places[i : i + GROUP] for i in range(0, len(places), GROUP)]
+    heads, inside = _literals([g[0] for g in groups]), F.array(*[_literals(g) for g in groups])
+    reached = lambda bounds: F.size(F.filter(bounds, lambda b: b <= F.col("_o"))) - 1
+    found = let(reached(heads), lambda g: let(reached(F.get(inside, g)), lambda i: F.struct((g * GROUP + i).alias("p"), F.get(F.get(inside, g), i).alias("b"))))
+    return found["p"], found["b"]
 
-def in_order(rows: DataFrame, starts: list[int]) -> DataFrame:
-    """rows plus bucket `_p`, `_guest` and sort key `_k` (the id, null last), ready for windows over each bucket.
 
-    Buckets are ranges of falling ids, begun by the ids of `starts`. Each bucket also gets, as guests at its end, the rows
-    of the id that begins the following bucket, and the last bucket those of the first, so that every row finds its
-    follower in its own bucket.
+def range_starts(rows: DataFrame, buckets: int) -> list[tuple[int, int]]:
+    """Places of rows (doc_id, th) that begin about `buckets` ranges of as many rows, in order.
+
+    Quantiles of the ids cut the ranges; an id with more rows than two ranges hold, at most buckets / 2 of them, is cut
+    again by the hash, which spreads different texts evenly. Quantiles are doubles and may be no row's id, so each range
+    is told by its first row; ids that a double does not tell apart, at most 1,024 neighbours beyond 2^53, share a range. Rows
+    equal in id and text do too. At most 3 * buckets pairs of numbers come to the driver.
+    """
+    placed = _place(rows)
+    n = placed.count()
+    share = max(1, n // buckets)
+    first = -(1 << 63)
+    cuts = {(first, first)}
+    if buckets > 1:
+        ids = F.percentile_approx("_o.k", [i / buckets for i in range(1, buckets)], 10 * buckets)
+        cuts |= {(k, first) for k in placed.agg(ids).first()[0] or ()}
+        for k, count in placed.groupBy("_o.k").count().where(F.col("count") > 2 * share).collect():
+            parts = -(-count // share)
+            cuts |= {(k, first + -(-i * (1 << 64) // parts)) for i in range(parts)}
+            if k < (1 << 63) - 1:
+                cuts.add((k + 1, first))
+    at, _ = _bucket(sorted(cuts))
+    begun = placed.groupBy(at.alias("p")).agg(F.min("_o").alias("o")).collect()
+    return sorted((r.o.k, r.o.h) for r in begun)
+
+
+def in_order(rows: DataFrame, starts: list[tuple[int, int]]) -> DataFrame:
+    """rows plus place `_o`, bucket `_p` and `_guest`, ready for windows over each bucket.
+
+    Each bucket also gets, as guests at its end, the rows that begin the following bucket, and the last bucket those that
+    begin the first, so that every row finds its follower in its own bucket.
     """
-    groups = [starts[i : i + GROUP] for i in range(0, len(starts), GROUP)]
-    numbers = lambda x: F.array([F.lit(b).cast("long") for b in x])
-    heads, inside = numbers([g[0] for g in groups]), F.array([numbers(g) for g in groups])
-    keyed = rows.withColumn("_k", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))
-    reached = lambda bounds: F.size(F.filter(bounds, lambda b: b >= F.col("_k")))
-    group = keyed.withColumn("_g", reached(heads) - 1)
-    at = F.col("_g") * GROUP + reached(F.get(inside, F.col("_g"))) - 1
-    placed = group.withColumn("_p", at)
-    begins = F.get(F.get(inside, F.col("_g")), F.col("_p") - F.col("_g") * GROUP) == F.col("_k")
-    place = lambda p, guest: F.struct(p.alias("p"), F.lit(guest).alias("g"))
-    own = place(F.col("_p"), False)
-    places = F.when(begins, F.array(own, place(F.pmod(F.col("_p") - 1, F.lit(len(starts))), True))).otherwise(F.array(own))
-    dealt = placed.withColumn("_to", F.explode(places))
-    return dealt.withColumns({"_p": F.col("_to.p"), "_guest": F.col("_to.g")}).drop("_to", "_g")
+    at, begin = _bucket(starts)
+    own = lambda p, guest: F.struct(p.alias("p"), F.lit(guest).alias("g"))
+    placed = _place(rows).withColumns({"_p": at, "_b": begin})
+    places = F.when(F.col("_b") == F.col("_o"), F.array(own(F.col("_p"), False), own(F.pmod(F.col("_p") - 1, F.lit(max(1, len(starts)))), True)))
+    dealt = placed.withColumn("_to", F.explode(places.otherwise(F.array(own(F.col("_p"), False)))))
+    return dealt.withColumns({"_p": F.col("_to.p"), "_guest": F.col("_to.g")}).drop("_to", "_b")
 
 
 def edited_fingerprints(docs: DataFrame, docs_per_bucket: int = 512, most_buckets: int = 16_384) -> DataFrame:
     """Fingerprints of each document and of its edited text, whose second half is the start of the next document."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     lists = lexicon(texts)
-    starts = range_starts(docs.select("doc_id"), max(1, min(most_buckets, docs.count() // docs_per_bucket)))
+    starts = range_starts(texts.select("doc_id", "th"), max(1, min(most_buckets, docs.count() // docs_per_bucket))) or [(-(1 << 63), -(1 << 63))]
     ordered = in_order(with_components(texts, "text", "c", lists), starts)
-    down = Window.partitionBy("_p").orderBy("_guest", F.desc("_k"), "th")
+    down = Window.partitionBy("_p").orderBy("_guest", "_o.k", "_o.h")
     led = ordered.withColumns({"next_text": F.lead("text").over(down), "next_c": F.lead("c").over(down)}).where("not _guest")
     size = F.length("text")
     half = F.floor(size / 2).cast("int")

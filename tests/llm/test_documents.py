@@ -298,6 +298,26 @@ def test_fingerprints(docs, texts):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_followers_of_null_shared_and_wide_ids(spark):
+    """A third of the ids null, a third equal, the rest wider than a double holds, so that quantiles are no row's id: every bucket stays small, followers are right."""
+    wide = [(1 << 62) + 5_003 * i for i in range(100)]
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else wide[i // 3], f"text {i} " + "w" * (i % 17)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keyed = docs.withColumn("th", F.xxhash64("text"))
+    for buckets in (1, 2, 30, 200):
+        starts = imatch.range_starts(keyed.select("doc_id", "th"), buckets)
+        sizes = [r["count"] for r in imatch.in_order(keyed, starts).groupBy("_p").count().collect()]
+        assert len(sizes) == len(starts) and sum(sizes) == 300 + len(starts)
+        assert max(sizes) <= 301 if buckets == 1 else max(sizes) <= 4 * 300 // buckets + 12
+    order = sorted(keyed.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.th))
+    expected = []
+    for a, b in zip(order, order[1:] + order[:1]):
+        half = len(a.text) // 2
+        expected.append(hashlib.sha256((a.text[: len(a.text) - half] + b.text[:half]).encode()).hexdigest())
+    got = imatch.edited_fingerprints(docs, docs_per_bucket=10).select("edited_sha256").collect()
+    assert sorted(r[0] for r in got) == sorted(expected)
+
+
 def test_fingerprints_null_id_and_single_row(spark):
     rows = spark.createDataFrame([(None, "a b"), (None, None), (1, "c d e")], "doc_id long, text string")
     assert imatch.edited_fingerprints(rows).count() == 3
