@@ -18,8 +18,8 @@ each, which return counts and not pairs.
 
 Defined cases: words are runs without white space; a text of one to four words has one shingle, all its words; a null or
 empty text has no shingle, no link, and a class of its own row; rows equal in id and text count as documents of their own;
-rows are told by a hash of id and text, so rows that share an id but not the text are kept apart, and null ids are ids
-like others; ties take the smallest id (null if the class has no other); an empty table gives an empty result; other
+rows are told by 128 bits of hashes of id and text, so rows that share an id but not the text are kept apart, and null ids
+are ids like others; ties take the smallest id (null if the class has no other); an empty table gives an empty result; other
 columns are not returned.
 """
 
@@ -93,7 +93,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, sets in _sets(batches):
         k1 = [int(_fold(s, 0)) if len(s) else None for s in sets]
         k2 = [int(_fold(s, 1)) if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays([rows.column("key"), rows.column("doc_id"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], ["key", "doc_id", "k1", "k2"])
+        told = [rows.column(c) for c in ("key", "tag", "doc_id")]
+        yield pa.RecordBatch.from_arrays([*told, pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], ["key", "tag", "doc_id", "k1", "k2"])
 
 
 def _fold(s: np.ndarray, which: int) -> np.int64:
@@ -114,7 +115,7 @@ def _signer(trees: int):
                 continue
             flat = np.concatenate([sets[i] for i in filled])
             begin = np.cumsum([0, *(len(sets[i]) for i in filled)])[:-1]
-            ids = rows.column("key").take(pa.array(filled))
+            ids = rows.column("id").take(pa.array(filled))
             for t in range(trees):
                 halves = []
                 for half in range(2):
@@ -132,34 +133,39 @@ def _signer(trees: int):
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, sets in _sets(batches):
-        yield pa.RecordBatch.from_arrays([rows.column("key"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "s"])
+        yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "s"])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, text): rows told by a hash of id and text."""
-    return docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+    """(key, tag, doc_id, text): key and tag, 128 bits of hashes of id and text, tell rows apart; rows equal in both share them."""
+    return docs.select(F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit(_BASE >> 1), "text", "doc_id").alias("tag"), "doc_id", "text")
 
 
 def set_classes(rows: DataFrame) -> DataFrame:
-    """(key, doc_id, id, n, empty): every row with the key that stands for its set, and the number of rows with that set."""
-    hashed = rows.select("key", "doc_id", word_hashes(F.col("text")).alias("h"))
-    keys = settle(hashed.mapInArrow(_keys, "key long, doc_id long, k1 long, k2 long"))
+    """(row, key, tag, doc_id, id, n, empty): every row with a number of its own, the number of the row that stands for its set,
+    and how many rows have that set."""
+    hashed = rows.select("key", "tag", "doc_id", word_hashes(F.col("text")).alias("h"))
+    # Rows are numbered before they are written, so that a number stays with its row.
+    keys = settle(hashed.mapInArrow(_keys, "key long, tag long, doc_id long, k1 long, k2 long").withColumn("row", F.monotonically_increasing_id()))
     least = max(1_000, int(keys.count() * HOT))
     some = keys.where("k1 is not null")
-    first = settle(some.groupBy("k1", "k2").agg(F.min("key").alias("id"), F.count("*").alias("n")).where("n > 1"))
+    first = settle(some.groupBy("k1", "k2").agg(F.min("row").alias("id"), F.count("*").alias("n")).where("n > 1"))
     # Rows with a very frequent set look it up in a small broadcast table, so that they do not meet in one task.
     hot = first.where(F.col("n") >= least)  # at most 1 / HOT rows
     met = some.join(F.broadcast(hot), ["k1", "k2"], "left")
-    rest = met.where("id is null").select("key", "doc_id", "k1", "k2").join(first.where(F.col("n") < least), ["k1", "k2"], "left")
-    shape = lambda df, empty: df.select("key", "doc_id", F.coalesce("id", "key").alias("id"), F.coalesce("n", F.lit(1)).alias("n"), F.lit(empty).alias("empty"))
-    alone = keys.where("k1 is null").withColumns({"id": F.col("key"), "n": F.lit(1).cast("long")})
+    rest = met.where("id is null").drop("id", "n").join(first.where(F.col("n") < least), ["k1", "k2"], "left")
+    shape = lambda df, empty: df.select("row", "key", "tag", "doc_id", F.coalesce("id", "row").alias("id"), F.coalesce("n", F.lit(1)).alias("n"), F.lit(empty).alias("empty"))
+    alone = keys.where("k1 is null").withColumns({"id": F.col("row"), "n": F.lit(1).cast("long")})
     return settle(shape(met.where("id is not null"), False).unionByName(shape(rest, False)).unionByName(shape(alone, True)))
 
 
-def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, s): the sets of the classes in ids, read from the rows that stand for them; repeated rows give one."""
-    some = rows.join(ids.select(F.col("id").alias("key")).distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", word_hashes(F.col("text")).alias("h"))
-    return some.mapInArrow(_set_rows, "id long, s array<long>")
+def standing(rows: DataFrame, classes: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(id, h): the word hashes of the row that stands for each class that has words, or for those in ids alone; repeated rows
+    give one."""
+    those = classes.where("not empty and row = id").select("id", "key", "tag")
+    if ids is not None:
+        those = those.join(ids.select("id").distinct(), "id", "left_semi")
+    return rows.join(those, ["key", "tag"]).dropDuplicates(["key", "tag"]).select("id", word_hashes(F.col("text")).alias("h"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -224,12 +230,11 @@ def candidate_nodes(labels: DataFrame, threshold: float = THRESHOLD, trees: int
 
 def linked_classes(rows: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """(components, sets): the component of every class that has a link, and the sets of the candidates."""
-    stand = rows.join(classes.where("not empty").select(F.col("id").alias("key")).distinct(), "key", "left_semi").dropDuplicates(["key"])
-    labels = stand.select("key", word_hashes(F.col("text")).alias("h")).mapInArrow(_signer(trees), "id long, tree byte, hi long, lo long")
+    labels = standing(rows, classes).mapInArrow(_signer(trees), "id long, tree byte, hi long, lo long")
     members = settle(candidate_nodes(settle(labels), threshold, trees, recall))
     firsts = members.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("bucket", "first")
     placed = settle(members.join(firsts, "bucket"))
-    sets = settle(_of(rows, placed.select("id")))
+    sets = settle(standing(rows, classes, placed).mapInArrow(_set_rows, "id long, s array<long>"))
     stars = verified(placed.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), sets, threshold)
     stars = settle(stars)
     found = settle(components(stars))

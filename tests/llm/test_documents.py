@@ -213,6 +213,17 @@ def test_shared_and_null_ids_stay_apart(spark):
     assert jaccard.jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_rows_whose_keys_collide_stay_apart(spark):
+    """Different rows with one 64-bit key: the tag tells them apart, and each gets its own class and links."""
+    words = {k: [f"{k}{i}" for i in range(60)] for k in "ab"}
+    near = {k: " ".join(words[k][:30] + ["changed"] + words[k][31:]) for k in "ab"}
+    rows = [(1, " ".join(words["a"])), (2, near["a"]), (3, " ".join(words["b"])), (4, near["b"])]
+    made = jaccard.keyed(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("key", F.lit(7).cast("long"))
+    classes = jaccard.set_classes(made)
+    found, _ = jaccard.linked_classes(made, classes)
+    assert {r.doc_id: r.class_id for r in jaccard.per_document(classes, found).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r.id: r["class"] for r in jaccard.components(links).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
