@@ -48,8 +48,9 @@ LEVELS = (8, 6, 4, 3)
 RECALL = 0.9999
 #: Members and set elements of a block, at most; a set with more elements is a block of its own.
 BLOCK, BLOCK_ELEMENTS = 1_024, 400_000
-#: Sets with this share of all rows or more are broadcast when rows look up their class: at most its inverse in number.
-HOT = 1e-4
+#: Keys with this share of all rows or more (and HOT_ROWS at least) are hot: at most its inverse in number. Hot sets are broadcast
+#: when rows look up their class; rows of other hot keys are dealt over SALTS tasks.
+HOT, HOT_ROWS, SALTS = 1e-4, 1_000, 64
 #: Members up to which a bucket's pairs are compared as rows; larger buckets are compared by blocks. Both are exact.
 FEW = 8
 _BASE = 0xA24BAED4963EE407
@@ -147,7 +148,7 @@ def set_classes(rows: DataFrame) -> DataFrame:
     hashed = rows.select("key", "tag", "doc_id", word_hashes(F.col("text")).alias("h"))
     # Rows are numbered before they are written, so that a number stays with its row.
     keys = settle(hashed.mapInArrow(_keys, "key long, tag long, doc_id long, k1 long, k2 long").withColumn("row", F.monotonically_increasing_id()))
-    least = max(1_000, int(keys.count() * HOT))
+    least = max(HOT_ROWS, int(keys.count() * HOT))
     some = keys.where("k1 is not null")
     first = settle(some.groupBy("k1", "k2").agg(F.min("row").alias("id"), F.count("*").alias("n")).where("n > 1"))
     # Rows with a very frequent set look it up in a small broadcast table, so that they do not meet in one task.
@@ -168,9 +169,25 @@ def standing(rows: DataFrame, classes: DataFrame, ids: DataFrame | None = None)
     return rows.join(those, ["key", "tag"]).dropDuplicates(["key", "tag"]).select("id", word_hashes(F.col("text")).alias("h"))
 
 
+def dealt_join(rows: DataFrame, found: DataFrame, key: str, size: str, counts: DataFrame | None = None) -> DataFrame:
+    """rows joined with found, which holds each of their keys at most once, on key.
+
+    counts (found itself if not given), a written table, says in `size` how many rows have each key. Rows of hot keys get a
+    salt, and their line of found is repeated for each salt, so that they do not meet in one task.
+    """
+    counts = found if counts is None else counts
+    total = counts.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    hot = F.broadcast(counts.where(F.col(size) >= max(HOT_ROWS, int(total * HOT))).select(key, F.lit(True).alias("_hot")))  # at most 1 / HOT rows
+    salted = rows.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(found.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot"), [key, "_salt"]).drop("_salt")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose sets have the similarity."""
-    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    """The pairs (a, b) of a written table whose sets have the similarity. Many pairs may share an a, few a b."""
+    of = lambda side: sets.select(F.col("id").alias(side), F.col("s").alias(f"s{side}"))
+    counts = settle(pairs.groupBy("a").count())
+    met = dealt_join(pairs, of("a"), "a", "count", counts).join(of("b"), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return met.where(both >= F.lit(threshold) * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
 
@@ -180,8 +197,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = settle(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")))
+        large = dealt_join(both, least, "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small_least = large.where("u <> v").distinct().groupBy("u").agg(F.min("v").alias("m"))
         small = large.where("u <> v").distinct().join(small_least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         following = settle(small.where("u <> v").distinct())
@@ -214,17 +231,17 @@ def candidate_nodes(labels: DataFrame, threshold: float = THRESHOLD, trees: int
     """(bucket, id): the members of the nodes that some class shortens to; of nested nodes only the outermost."""
     shortest = F.xxhash64("tree", F.shiftright("hi", 16 * (4 - LEVELS[-1])))
     roots = labels.withColumn("root", shortest)
-    shared = roots.groupBy("root").agg(F.count("*").alias("members")).where("members > 1").select("root")
-    crowded = settle(roots.join(shared, "root").select("id", "tree", "hi", "lo"))
+    shared = settle(roots.groupBy("root").agg(F.count("*").alias("members")).where("members > 1"))
+    crowded = settle(dealt_join(roots, shared, "root", "members").select("id", "tree", "hi", "lo"))
     nodes = nodes_of(crowded)
-    sizes = nodes.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
-    sized = settle(nodes.join(sizes, "node"))
+    sizes = settle(nodes.groupBy("node").agg(F.count("*").alias("members")).where("members > 1"))
+    sized = settle(dealt_join(nodes, sizes, "node", "members"))
     # A node's size at a level where the class is alone is 1.
     per_tree = sized.groupBy("id", "tree").agg(*[F.coalesce(F.max(F.when(F.col("level") == k, F.col("members"))), F.lit(1)).alias(f"n{k}") for k in range(len(LEVELS))])
     trees_of = per_tree.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("tree", F.array(*[f"n{k}" for k in range(len(LEVELS))]).alias("sizes")))).alias("crowded"))  # at most `trees`
     chosen = trees_of.select("id", F.explode(pandas_udf(_choose(threshold, trees, recall), "array<struct<tree:byte,level:byte>>")("crowded")).alias("c")).select("id", "c.tree", "c.level")
-    active = sized.join(chosen, ["id", "tree", "level"], "left_semi").select("node").distinct()
-    outermost = sized.join(active, "node").groupBy("id", "tree").agg(F.max_by("node", "level").alias("bucket"))
+    active = settle(sized.join(chosen, ["id", "tree", "level"], "left_semi").select("node", "members").distinct())
+    outermost = dealt_join(sized.drop("members"), active, "node", "members").groupBy("id", "tree").agg(F.max_by("node", "level").alias("bucket"))
     return outermost.select("bucket", "id")
 
 
@@ -232,18 +249,18 @@ def linked_classes(rows: DataFrame, classes: DataFrame, threshold: float = THRES
     """(components, sets): the component of every class that has a link, and the sets of the candidates."""
     labels = standing(rows, classes).mapInArrow(_signer(trees), "id long, tree byte, hi long, lo long")
     members = settle(candidate_nodes(settle(labels), threshold, trees, recall))
-    firsts = members.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("bucket", "first")
-    placed = settle(members.join(firsts, "bucket"))
+    firsts = settle(members.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    placed = settle(dealt_join(members, firsts, "bucket", "n").drop("n"))
     sets = settle(standing(rows, classes, placed).mapInArrow(_set_rows, "id long, s array<long>"))
-    stars = verified(placed.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), sets, threshold)
-    stars = settle(stars)
+    starred = settle(placed.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+    stars = settle(verified(starred, sets, threshold))
     found = settle(components(stars))
     located = placed.join(found, "id", "left").select("bucket", "id", F.coalesce("class", "id").alias("class"))
-    mixed = located.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("bucket", "members")
-    rest = settle(located.join(mixed, "bucket"))
+    mixed = settle(located.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("bucket", "members"))
+    rest = settle(dealt_join(located, mixed, "bucket", "members"))
     few = rest.where(F.col("members") <= FEW)
     across = few.alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") < F.col("y.class")))
-    pairs = verified(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), sets, threshold)
+    pairs = verified(settle(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()), sets, threshold)
     more = settle(pairs.unionByName(bridges(rest.where(F.col("members") > FEW), sets, threshold)))
     if not more.isEmpty():
         found = settle(components(stars.unionByName(more)))
@@ -253,9 +270,9 @@ def linked_classes(rows: DataFrame, classes: DataFrame, threshold: float = THRES
 def in_blocks(members: DataFrame, group: str, block: int, elements: int) -> DataFrame:
     """members (group, id, s, …) with block numbers i <= j: each member once for every block of its group, so that (group, i, j)
     holds two blocks. Blocks have about `block` members and `elements` set elements at most."""
-    count = members.groupBy(group).agg(F.count("*").alias("_m"), F.sum(F.size("s")).alias("_e"))
+    count = settle(members.groupBy(group).agg(F.count("*").alias("_m"), F.sum(F.size("s")).alias("_e")))
     parts = F.greatest(F.ceil(F.col("_m") / block), F.ceil(F.col("_e") / elements), F.lit(1)).cast("int")
-    placed = members.join(count.select(group, parts.alias("parts")), group).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    placed = dealt_join(members, count.select(group, "_m", parts.alias("parts")), group, "_m").drop("_m").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other", "parts")
 
@@ -341,7 +358,7 @@ def looked_up(rows: DataFrame, found: DataFrame, key: str, size: str, least: int
 
 def per_document(classes: DataFrame, found: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """(doc_id, class_id, n, empty, links) for each row of classes; class_id is the smallest doc_id of the rows in a component."""
-    least = max(1_000, int(classes.count() * HOT))
+    least = max(HOT_ROWS, int(classes.count() * HOT))
     ids = classes.groupBy("id").agg(F.min("doc_id").alias("least_id"), F.max("n").alias("n"), F.max("empty").alias("empty"))
     placed = settle(ids.join(found, "id", "left").withColumn("class", F.coalesce("class", "id")))
     several = placed.groupBy("class").agg(F.min("least_id").alias("class_id"), F.count("*").alias("sets"))
