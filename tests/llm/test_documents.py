@@ -213,17 +213,6 @@ def test_shared_and_null_ids_stay_apart(spark):
     assert jaccard.jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_hot_nodes_are_dealt(spark, docs, texts, monkeypatch):
-    """With every key of two rows or more taken for hot, links and classes stay the same."""
-    monkeypatch.setattr(jaccard, "HOT_ROWS", 2)
-    monkeypatch.setattr(jaccard, "SALTS", 3)
-    assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard.jaccard_join(docs.select("doc_id", "text")).collect()} == brute_links(texts)
-    rows = spark.createDataFrame([(7, i) for i in range(50)] + [(8, 0), (9, 1)], "k int, v int")
-    found = spark.createDataFrame([(7, 50, "a"), (8, 1, "b")], "k int, n int, x string")
-    met = jaccard.dealt_join(rows, found, "k", "n").collect()
-    assert Counter((r.k, r.n, r.x) for r in met) == {(7, 50, "a"): 50, (8, 1, "b"): 1} and len({r.v for r in met if r.k == 7}) == 50
-
-
 def test_rows_whose_keys_collide_stay_apart(spark):
     """Different rows with one 64-bit key: the tag tells them apart, and each gets its own class and links."""
     words = {k: [f"{k}{i}" for i in range(60)] for k in "ab"}
