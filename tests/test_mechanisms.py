@@ -67,6 +67,42 @@ def test_blocks_give_the_pairs_of_the_join(spark):
     assert joined and joined == pairs(dedup.in_blocks(vectors, dedup.THRESHOLD, block=37)) == pairs(dedup.pairs_of(vectors, crowd=20))
 
 
+def test_blocks_meet_without_copies(spark):
+    rows = near_copies(60, 90, seed=5)
+    docs = spark.createDataFrame([(i, r[2]) for i, r in enumerate(rows)], "id long, text string")
+    packed = dedup.stored_vectors(docs)
+    met = dedup.block_pairs(packed, block=20)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    pairs = lambda df: {(r.a, r.b, round(r.sim, 9)) for r in df.collect()}
+    joined = pairs(dedup.pairs_of(dedup.settle(dedup.unit_vectors(docs)), crowd=10**9))
+    assert joined and pairs(met) == joined == pairs(dedup.similar_pairs(docs))
+    assert pairs(dedup.block_pairs(packed, 0.3, block=20)) == {p for p in pairs(dedup.block_pairs(packed, 1e-6)) if p[2] >= 0.3}
+    assert dedup.similar_pairs(docs.limit(0)).isEmpty()
+
+
+def test_bands_leave_out_rows_that_share_frequent_terms(spark):
+    r = random.Random(6)
+    rare = [f"r{i}" for i in range(900)]
+    rows = [(f"often common usual {' '.join(r.sample(rare, 27))}",) for _ in range(300)]
+    rows += [(" ".join([*base, f"odd{k}"]),) for base in (r.sample(rare, 40) for _ in range(30)) for k in range(2)]
+    docs = spark.createDataFrame([(i, t) for i, (t,) in enumerate(rows)], "id long, text string")
+    packed = dedup.stored_vectors(docs)
+    pairs = lambda df: {(x.a, x.b, round(x.sim, 9)) for x in df.collect()}
+    exact, near = pairs(dedup.similar_pairs(docs)), pairs(dedup.approximate_pairs(docs))
+    assert near <= exact and len(exact) >= 30 and len(near) >= 0.9 * len(exact)
+    assert dedup.band_candidates(packed).count() < 0.002 * 360 * 359 / 2 + len(exact)
+
+
+def test_parts_of_term_counts_grow_with_the_text(spark, monkeypatch):
+    docs = spark.range(400).select("id", F.lit("some words of a text").alias("text"))
+    for bound in (1_000, 200):
+        monkeypatch.setattr(tfidf, "TEXT", bound)
+        assert tfidf.term_counts(docs, ["id"]).rdd.getNumPartitions() == 8_000 // bound
+    only = spark.createDataFrame([("words",), ("other",)], "term string")
+    assert {tuple(x) for x in tfidf.term_counts(docs, ["id"], only=only).collect()} == {(i, "words", 1) for i in range(400)}
+
+
 def test_topic_candidates_are_few_and_hold_all(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.concat(F.lit("d"), "doc_id").alias("source_url"), F.lit(0).alias("item_idx"), "text")
     topics = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("topic_id"), F.col("text").alias("topic"))
