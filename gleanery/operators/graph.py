@@ -34,16 +34,16 @@ def from_dictionary(paragraphs: DataFrame, names: DataFrame, longest: int = 4, k
     """As of_kinds(), by a dictionary (name, kind): every run of up to `longest` words that is a name, without punctuation at its ends.
 
     Runs are made in the row and met with the names by a join, so that the dictionary may be of any size; a name that a large
-    share of all rows has is split by the join's own handling of skew.
+    share of all rows has is split by the join's own handling of skew. Only names are made distinct, not the many other runs.
     """
     words = F.filter(F.split("text", T.SPACES), lambda w: w != "")
     kept = paragraphs.where(F.col("text").isNotNull()).select("source_url", "item_idx", words.alias("w"))
     starts = kept.select("source_url", "item_idx", F.posexplode("w").alias("at", "first"), "w")
     runs = F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.col("at") + n <= F.size("w"), F.array_join(F.slice("w", F.col("at") + 1, n), " ")))
     asked = starts.select("source_url", "item_idx", F.explode(runs).alias("run")).where("run is not null")
-    bare = asked.select("source_url", "item_idx", F.regexp_replace("run", r"^[\p{P}&&[^#]]+|[\p{P}&&[^#]]+$", "").alias("node")).distinct()
+    bare = asked.select("source_url", "item_idx", F.regexp_replace("run", r"^[\p{P}&&[^#]]+|[\p{P}&&[^#]]+$", "").alias("node"))
     wanted = names.where(F.col("kind").isin(*kinds) & (F.length("name") > 2)).select(F.col("name").alias("node"), "kind").distinct()
-    return bare.join(wanted, "node").select("source_url", "item_idx", "node", "kind")
+    return bare.join(wanted, "node").select("source_url", "item_idx", "node", "kind").distinct()
 
 
 def node_weights(found: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gleanery.functions import text as T
 from gleanery.operators import clean, dedup, graph, records, tfidf
 from gleanery.operators.seen import Seen
 from gleanery.sources import files, hits, html, sinks
@@ -103,6 +104,34 @@ def test_parts_of_term_counts_grow_with_the_text(spark, monkeypatch):
     assert {tuple(x) for x in tfidf.term_counts(docs, ["id"], only=only).collect()} == {(i, "words", 1) for i in range(400)}
 
 
+def test_topic_scores_write_the_items_and_not_their_terms(spark, monkeypatch):
+    """Terms are many times the text; only items and the vocabulary are kept."""
+    kept = []
+    keep = lambda how: lambda df: kept.append(df.columns) or how(df)
+    monkeypatch.setattr(tfidf, "settle", keep(tfidf.settle))
+    monkeypatch.setattr(tfidf, "written", keep(tfidf.written))
+    items = spark.createDataFrame([("a", 0, "old red roses"), ("b", 0, "blue sea"), ("c", 0, None)], "source_url string, item_idx int, text string")
+    got = {r.source_url: r.cosine for r in tfidf.cosine_to_topic(items, "red roses").collect()}
+    assert got["a"] > 0.5 and got["b"] == got["c"] == 0.0
+    assert kept == [["source_url", "item_idx", "text"], ["term", "idf", "wq"]]
+
+
+def test_only_names_are_made_distinct(spark):
+    rows = spark.createDataFrame([("u", 0, "see Rome and Rome, and see Rome"), ("u", 0, "Rome again")], "source_url string, item_idx int, text string")
+    names = spark.createDataFrame([("Rome", "GPE"), ("Rome", "GPE")], "name string, kind string")
+    found = graph.from_dictionary(rows, names)
+    assert [tuple(r) for r in found.collect()] == [("u", 0, "Rome", "GPE")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.split("Join")[0] and "item_idx" not in "".join(x for x in plan.split("Join")[1].split("\n") if "Aggregate" in x)
+
+
+def test_texts_are_decoded_a_few_at_a_time(spark):
+    texts = spark.createDataFrame([("a &amp; b <i>c</i>",), ("\uff21\u00e9",), ("plain <b>x",), (None,)], "text string")
+    cleaned = texts.select(T.clean_text(F.col("text")).alias("c"))
+    assert [r.c for r in cleaned.collect()] == ["a & b c", "A\u00e9", "plain x", None]
+    assert "BatchEvalPython" in cleaned._jdf.queryExecution().executedPlan().toString()
+
+
 def test_topic_candidates_are_few_and_hold_all(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.concat(F.lit("d"), "doc_id").alias("source_url"), F.lit(0).alias("item_idx"), "text")
     topics = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("topic_id"), F.col("text").alias("topic"))
