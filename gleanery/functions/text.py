@@ -6,10 +6,8 @@ import html
 import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from gleanery.functions.stopwords import ENGLISH
 
@@ -38,15 +36,16 @@ def strip_tags(text: Column) -> Column:
 
 
 def decode_and_normalise(text: Column) -> Column:
-    """Entities decoded, tags as spaces, NFKC. Spark has no entity table and no Unicode normaliser, so this is an Arrow function;
-    it is sent only the texts that hold an ampersand or a character beyond ASCII, which are all that these steps can change."""
+    """Entities decoded, tags as spaces, NFKC. Spark has no entity table and no Unicode normaliser, so this is a Python function;
+    it is sent only the texts that hold an ampersand or a character beyond ASCII, which are all that these steps can change.
+    Rows go to it a hundred at a time: an Arrow batch of 10,000 whole texts takes gigabytes in Python."""
     tag = re.compile("<[^>]+>")
 
-    def decode(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", tag.sub(" ", html.unescape(t))))
+    def decode(text: str | None) -> str | None:
+        return None if text is None else unicodedata.normalize("NFKC", tag.sub(" ", html.unescape(text)))
 
     changes = text.rlike(r"&|[^\x00-\x7F]")
-    return F.when(changes, pandas_udf(decode, "string")(F.when(changes, text))).otherwise(strip_tags(text))
+    return F.when(changes, F.udf(decode, "string", useArrow=False)(F.when(changes, text))).otherwise(strip_tags(text))
 
 
 def clean_text(text: Column, native: bool = False) -> Column:
