@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gleanery.functions import text as T
 from gleanery.operators.captions import entities
-from gleanery.operators.lineage import settle
+from gleanery.operators.lineage import dealt, fixed_parts, settle
 
 # The kinds of entities that make nodes.
 KINDS = ("ORG", "PERSON", "PRODUCT", "GPE", "WORK_OF_ART", "EVENT")
+#: Links in a partition of a round.
+LINKS = 400_000
 
 
 def mentions(paragraphs: DataFrame, extract=None) -> DataFrame:
@@ -59,35 +62,53 @@ def edge_weights(found: DataFrame) -> DataFrame:
 
 
 def _links(edges: DataFrame, parts: int) -> DataFrame:
-    """(src, dst, share), both ways, settled and dealt by src over `parts`: the share of src's rank that goes to dst."""
-    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    degree = both.groupBy("src").agg(F.sum("weight").alias("degree"))
-    return settle(both.join(degree, "src").select("src", "dst", (F.col("weight") / F.col("degree")).alias("share")).repartition(parts, "src"))
+    """(src, dst, share), both ways, settled and dealt by src over `parts`, in its order: the share of src's rank that goes to dst."""
+    ways = F.array(F.struct("src", "dst", "weight"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    degree = F.sum("weight").over(Window.partitionBy("src"))
+    return dealt(edges.select(F.inline(ways)).repartition(parts, "src").select("src", "dst", (F.col("weight") / degree).alias("share")), parts, "src")
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter: int = 100, tol: float | None = 1e-6, skip: float | None = None) -> DataFrame:
     """(node, pagerank) of an undirected weighted graph; without `tol` it takes exactly max_iter rounds.
 
-    The mass of nodes without an edge is spread evenly. If `tol` is not met in time, all ranks are 0.
+    The mass of nodes without an edge is spread evenly: these all have one rank, a number that is worked out beside the
+    rounds. So a round reads the ranks before it once and shuffles what the links pass on, and nothing else. If `tol` is not
+    met in time, all ranks are 0.
     """
     names = settle(nodes.select("node").distinct())
     n = names.count()
     if not n:
         return names.withColumn("pagerank", F.lit(0.0))
-    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(names.sparkSession.sparkContext.defaultParallelism, -(-2 * edges.count() // LINKS))
     links = _links(edges, parts)
     if tol is not None:
         found, _ = pushed_ranks(names, n, links, parts, damping, max_iter, tol, tol * 1e-4 if skip is None else skip)
         return names.withColumn("pagerank", F.lit(0.0)) if found is None else found
-    lonely = settle(names.join(links.select(F.col("src").alias("node")).distinct(), "node", "left_anti"))
-    rank = names.withColumn("pagerank", F.lit(1.0 / n))
+    linked = _linked(names, links, parts)
+    lonely = n - linked.count()
+    rank = linked.withColumn("pagerank", F.lit(1.0 / n))
+    with fixed_parts(names.sparkSession, parts):
+        rank, alone = _rounds(rank, linked, links, n, lonely, damping, max_iter)
+    return names.join(rank, "node", "left").select("node", F.coalesce("pagerank", F.lit(alone)).alias("pagerank"))
+
+
+def _rounds(rank: DataFrame, linked: DataFrame, links: DataFrame, n: int, lonely: int, damping: float, max_iter: int) -> tuple[DataFrame, float]:
+    """(settled ranks of the nodes with links, the rank of each other node) after max_iter rounds."""
+    alone = 1.0 / n
     for turn in range(max_iter):
-        loose = rank.join(lonely, "node").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("loose"))  # one number
+        given = damping * lonely * alone / n + (1 - damping) / n  # what every node gets in this round
         into = links.join(rank, links["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
-        met = names.join(into, names["node"] == into["dst"], "left").crossJoin(F.broadcast(loose))
-        new = met.select("node", (F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n) + F.lit((1 - damping) / n)).alias("pagerank"))
+        met = linked.join(into, linked["node"] == into["dst"], "left")
+        new = met.select("node", (F.lit(damping) * F.coalesce("got", F.lit(0.0)) + F.lit(given)).alias("pagerank"))
         rank = new if turn % 5 < 4 and turn + 1 < max_iter else settle(new)
-    return rank
+        alone = given
+    return rank, alone
+
+
+def _linked(names: DataFrame, links: DataFrame, parts: int) -> DataFrame:
+    """(node): the nodes with a link, settled and dealt as the links are."""
+    linked = names.join(links.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
+    return dealt(linked, parts, "node")
 
 
 def pushed_ranks(names: DataFrame, n: int, links: DataFrame, parts: int, damping: float, max_iter: int, tol: float, skip: float) -> tuple[DataFrame | None, list[tuple[int, float]]]:
@@ -98,8 +119,7 @@ def pushed_ranks(names: DataFrame, n: int, links: DataFrame, parts: int, damping
     ever less is shuffled. Nodes and links are dealt by the same keys once; a round shuffles what is pushed and nothing else.
     Nodes without a link have one rank, a number.
     """
-    linked = names.join(links.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
-    state = settle(linked.select("node", F.lit(1.0 / n).alias("pagerank"), F.lit(1.0 / n).alias("waits")).repartition(parts, "node"))
+    state = _linked(names, links, parts).withColumns({"pagerank": F.lit(1.0 / n), "waits": F.lit(1.0 / n)})
     lonely, alone, even = n - state.count(), 1.0 / n, None
     rounds: list[tuple[int, float]] = []
     for _ in range(max_iter):
@@ -111,7 +131,8 @@ def pushed_ranks(names: DataFrame, n: int, links: DataFrame, parts: int, damping
         delta = came + F.lit(given) - F.col("pagerank") if even is None else came + F.lit(given - even)
         left = F.lit(0.0) if even is None else F.when(pushing, F.lit(0.0)).otherwise(F.col("waits"))
         met = state.join(into, "node", "left").select("node", "pagerank", left.alias("left"), delta.alias("delta"))
-        state = settle(met.select("node", (F.col("pagerank") + F.col("delta")).alias("pagerank"), (F.col("left") + F.col("delta")).alias("waits"), "delta"))
+        with fixed_parts(names.sparkSession, parts):
+            state = settle(met.select("node", (F.col("pagerank") + F.col("delta")).alias("pagerank"), (F.col("left") + F.col("delta")).alias("waits"), "delta"))
         moved, will = state.agg(F.coalesce(F.sum(F.abs("delta")), F.lit(0.0)), F.count_if(F.abs("waits") > skip)).first()
         change = moved + lonely * abs(given - alone)
         rounds.append((will, change))

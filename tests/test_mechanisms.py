@@ -322,3 +322,27 @@ def test_two_runs_equal_one(spark, tmp_path):
     wide = Seen(spark, f"file://{tmp_path}/wide")
     wide.remember(items)
     assert wide.may_hold(fresh).where("hit").count() <= 10 and wide.may_hold(items.where("text is not null")).where("not hit").isEmpty()
+
+
+def test_rounds_of_ranks_read_their_ranks_once_and_deal_no_settled_frame_anew(spark, monkeypatch):
+    """The plan of five rounds has an exchange for each of them, not one for each reader of each of them."""
+    names = [f"n{i}" for i in range(40)]
+    pairs = [(names[i], names[j], 1 + i % 3) for i in range(36) for j in range(i + 1, 36, 5)]
+    nodes, edges = spark.createDataFrame([(n,) for n in names], "node string"), spark.createDataFrame(pairs, "src string, dst string, weight long")
+    made, plain = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df: made.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    monkeypatch.setattr(graph, "LINKS", 50)
+    got = {r.node: r.pagerank for r in graph.pagerank(nodes, edges, max_iter=5, tol=None).collect()}
+    assert made[-1].count("Exchange hashpartitioning") == 5
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true" and spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    near = {n: {} for n in names}
+    for a, b, w in pairs:
+        near[a][b] = near[b][a] = w
+    x = dict.fromkeys(names, 1 / 40)
+    for _ in range(5):
+        y = dict.fromkeys(names, 0.85 * sum(x[u] for u in names if not near[u]) / 40 + 0.15 / 40)
+        for u in names:
+            for v, w in near[u].items():
+                y[v] += 0.85 * x[u] * w / sum(near[u].values())
+        x = y
+    assert max(abs(got[u] - x[u]) for u in names) < 1e-12
