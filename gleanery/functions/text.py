@@ -14,6 +14,12 @@ from gleanery.functions.stopwords import ENGLISH
 MIN_LENGTH = 60
 MAX_SPECIAL = 0.35
 SPACES = r"(?U)[\s\x1c-\x1f]+"
+#: Runs of white space that are not one plain space; graphic ASCII is told first, as it is cheap to.
+RUNS = r"(?U)(?=[^!-~])(?:[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*| [\s\x1c-\x1f]+)"
+#: An ampersand, or a character that NFKC may change or join to the one before: beyond ASCII, and not in these ranges, which are
+#: left as they are whatever stands beside them (Latin and Cyrillic letters, kana, Han and Hangul, common signs).
+STABLE = r"\x80-\x9f\xa1-\xa7\xa9\xab-\xae\xb0\xb1\xb6\xb7\xbb\xbf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0400-\u0482\u2010\u2012-\u2016\u2018-\u2023\u3001-\u3003\u3041-\u3096\u30a1-\u30fe\u4e00-\u9fff\uac00-\ud7a3"
+CHANGES = rf"[^\x00-%'-\x7F](?<![{STABLE}])"
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 # Prefixes of navigation text, junk words and tails of captions.
 NAV_PREFIX = r"(?i)^(home|about|contact|menu|navigation|skip to|cookie|privacy|terms|subscribe|sign up|log in|login|search|all rights reserved|copyright|[0-9]{4}[-–][0-9]{4})"
@@ -28,7 +34,7 @@ def strip(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """Each run of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, SPACES, " "))
+    return F.trim(F.regexp_replace(text, RUNS, " "))
 
 
 def strip_tags(text: Column) -> Column:
@@ -37,14 +43,14 @@ def strip_tags(text: Column) -> Column:
 
 def decode_and_normalise(text: Column) -> Column:
     """Entities decoded, tags as spaces, NFKC. Spark has no entity table and no Unicode normaliser, so this is a Python function;
-    it is sent only the texts that hold an ampersand or a character beyond ASCII, which are all that these steps can change.
+    it is sent only the texts that hold an ampersand or a character that NFKC may change; letters with accents, say, it does not.
     Rows go to it a hundred at a time: an Arrow batch of 10,000 whole texts takes gigabytes in Python."""
     tag = re.compile("<[^>]+>")
 
     def decode(text: str | None) -> str | None:
         return None if text is None else unicodedata.normalize("NFKC", tag.sub(" ", html.unescape(text)))
 
-    changes = text.rlike(r"&|[^\x00-\x7F]")
+    changes = text.rlike(CHANGES)
     return F.when(changes, F.udf(decode, "string", useArrow=False)(F.when(changes, text))).otherwise(strip_tags(text))
 
 

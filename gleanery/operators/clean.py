@@ -9,14 +9,21 @@ from gleanery.functions import text as T
 
 def clean_paragraphs(items: DataFrame, native: bool = False) -> DataFrame:
     """Items with cleaned text, without short, navigation and symbol-laden ones."""
-    return items.withColumn("text", T.clean_text(F.col("text"), native)).where(T.is_paragraph(F.col("text")))
+    return _once(items, "text", T.clean_text(F.col("text"), native)).where(T.is_paragraph(F.col("text")))
 
 
 def clean_captions(items: DataFrame, native: bool = False) -> DataFrame:
     """Image items (…, caption) without stock-photo junk, cleaned."""
     kept = items.where((F.coalesce("caption", F.lit("")) != "") & ~T.is_junk_caption(F.col("caption")))
-    tail = T.strip(F.regexp_replace("caption", T.CAPTION_TAIL, ""))
-    return kept.withColumn("caption", T.clean_text(tail, native)).where(F.length("caption") > 3)
+    tailed = F.contains(F.lower("caption"), F.lit("stock p")) | F.contains(F.lower("caption"), F.lit("royalty-free")) | F.contains(F.lower("caption"), F.lit("high-res"))
+    whole = _once(kept, "caption", F.when(tailed, F.regexp_replace("caption", T.CAPTION_TAIL, "")).otherwise(F.col("caption")))  # clean_text strips both ends
+    return _once(whole, "caption", T.clean_text(F.col("caption"), native)).where(F.length("caption") > 3)
+
+
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column replaced by a value that is worked out once: Spark puts a plain column's expression in each place that
+    reads it, conditions too, but leaves what it generates."""
+    return rows.select(*[F.explode(F.array(value)).alias(c) if c == name else F.col(f"`{c}`") for c in rows.columns])
 
 
 def exact_dedup(items: DataFrame) -> DataFrame:

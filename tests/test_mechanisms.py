@@ -3,6 +3,8 @@
 import math
 import os
 import random
+import re
+import unicodedata
 from collections import Counter
 
 import pyarrow as pa
@@ -346,3 +348,28 @@ def test_rounds_of_ranks_read_their_ranks_once_and_deal_no_settled_frame_anew(sp
                 y[v] += 0.85 * x[u] * w / sum(near[u].values())
         x = y
     assert max(abs(got[u] - x[u]) for u in names) < 1e-12
+
+
+def test_only_texts_that_cleaning_can_change_go_to_python(spark):
+    """Each character left out of the rule stays as it is under NFKC, alone and behind or before any other."""
+    second = {int(d.split()[1], 16) for c in range(0x110000) if (d := unicodedata.decomposition(chr(c))) and d[0] != "<" and " " in d}
+    second |= {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # Hangul vowels and finals
+    codes = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    rows = spark.range(0, 0x110000, 1, 4).where("id < 55296 or id > 57343").select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    stays = {r.id for r in rows.where(~F.col("c").rlike(T.CHANGES)).select("id").collect()}
+    safe = {c for c in codes if c != 38 and unicodedata.normalize("NFKC", chr(c)) == chr(c) and not unicodedata.combining(chr(c)) and c not in second}
+    assert set(range(128)) - {38} <= stays <= safe
+    words = spark.createDataFrame([("caf\u00e9 \u00fcber \u00df",), ("e\u0301",), ("\ufb01",), ("a &amp; b",)], "t string")
+    assert [r[0] for r in words.select(F.col("t").rlike(T.CHANGES)).collect()] == [False, True, True, True]
+
+
+def test_cleaning_is_worked_out_once_and_collapses_all_runs(spark):
+    texts = ["a  b", " a b ", "a\u3000b", "a \u2003 b", "a\tb\x1c\x1dc", "\u00a0a\n\nb\x85", "", "a b c", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item_idx int, text string")
+    assert [r[0] for r in rows.select(T.collapse(F.col("text"))).collect()] == [None if t is None else " ".join(re.split(r"[\s\x1c-\x1f]+", t)).strip(" ") for t in texts]
+    plan = clean.clean_paragraphs(rows, native=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<[^>]+>") == 1
+    held = rows.select("item_idx", F.col("text").alias("caption"))
+    assert {r.item_idx: r.caption for r in clean.clean_captions(held).collect()} == {4: "a b c", 7: "a b c"}
+    tails = spark.createDataFrame([("a tower Stock Photos and more",), ("a lake HIGH-RES PICTURES",), ("a high-res tower",)], "caption string")
+    assert sorted(r.caption for r in clean.clean_captions(tails).collect()) == ["a high-res tower", "a lake", "a tower"]
