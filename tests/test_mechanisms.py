@@ -1,5 +1,6 @@
 """Pruning, summaries, state, residuals, sinks and stores: each against a plain computation, and what it saves."""
 
+import gc
 import math
 import os
 import random
@@ -373,3 +374,20 @@ def test_cleaning_is_worked_out_once_and_collapses_all_runs(spark):
     assert {r.item_idx: r.caption for r in clean.clean_captions(held).collect()} == {4: "a b c", 7: "a b c"}
     tails = spark.createDataFrame([("a tower Stock Photos and more",), ("a lake HIGH-RES PICTURES",), ("a high-res tower",)], "caption string")
     assert sorted(r.caption for r in clean.clean_captions(tails).collect()) == ["a high-res tower", "a lake", "a tower"]
+
+
+def test_pages_are_parsed_some_at_a_time_and_freed(spark):
+    """No tree outlives its page, and rows are handed over before the next pages are read."""
+    page = "<div>" + "<p>" + "a word " * 12 + "</p>"
+    pages = [(f"u{i}", page) for i in range(html.PAGES * 2 + 1)]
+    gc.collect()
+    gc.disable()
+    try:
+        batch = pa.RecordBatch.from_pylist([{"url": u, "html": h} for u, h in pages])
+        sizes = [b.num_rows for b in html.rows_of(html.EXTRACTORS["text"][0], [("text", pa.string())])(iter([batch]))]
+        assert not [x for x in gc.get_objects() if isinstance(x, html.Node)]
+    finally:
+        gc.enable()
+    assert sizes == [html.PAGES, html.PAGES, 1]
+    got = html.extract(spark.createDataFrame([*pages, ("none", None), (None, page)], "url string, html string")).collect()
+    assert len(got) == len(pages) + 1 and {r.text for r in got} == {("a word " * 12).strip()} and sum(r.source_url is None for r in got) == 1
