@@ -391,3 +391,10 @@ def test_pages_are_parsed_some_at_a_time_and_freed(spark):
     assert sizes == [html.PAGES, html.PAGES, 1]
     got = html.extract(spark.createDataFrame([*pages, ("none", None), (None, page)], "url string, html string")).collect()
     assert len(got) == len(pages) + 1 and {r.text for r in got} == {("a word " * 12).strip()} and sum(r.source_url is None for r in got) == 1
+
+
+def test_words_are_found_once_for_words_and_pairs(spark):
+    rows = spark.createDataFrame([("a", 0, "Red fox, red fox the den"), ("b", 0, "den"), ("c", 0, ""), ("d", 0, None)], ITEM.replace(", score double", ""))
+    counts = tfidf.term_counts(rows, tfidf.KEY, bigrams=True)
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert {(r.source_url, r.term): r.tf for r in counts.collect()} == {("a", "red"): 2, ("a", "fox"): 2, ("a", "den"): 1, ("a", "red fox"): 2, ("a", "fox red"): 1, ("a", "fox den"): 1, ("b", "den"): 1}
