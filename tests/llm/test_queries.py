@@ -89,3 +89,19 @@ def test_fingerprints(spark, sf, docs):
         r = got[at]
         assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(text), sha(edited), spelled(a), spelled(b))
         assert (r.near_edited, r.near_next) == (like(a, b), like(a, c))
+
+
+def test_a_search_for_segmentations_keeps_the_collector_away():
+    """Segmenting leaves no cycles, so that the collector is off meanwhile and on again after, also when it fails."""
+    import gc
+
+    from gleanery.llm import pieces
+
+    assert pieces.uncollected(lambda: [gc.isenabled()]) == [False] and gc.isenabled()
+    with pytest.raises(ZeroDivisionError):
+        pieces.uncollected(lambda: [1 / 0])
+    assert gc.isenabled()
+    found = pieces.Lattice(pieces.load_vocabulary())
+    gc.collect()
+    found.segment_all(["some words and ünusual ones " * 20, None, ""])
+    assert gc.collect() == 0
