@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -282,6 +283,21 @@ def test_merged_units_equal_whole_search(small, tied, n_best):
             assert all(lattice.decode(numbers(x)) == text for x in lists)
 
 
+def test_remembered_units_take_bounded_memory():
+    lattice = pieces.Lattice(pieces.load_vocabulary())
+    random.seed(8)
+    text = " ".join("".join(random.choices("etaoinshrdlu", k=random.randint(4, 10))) for _ in range(20_000))
+    expected = pieces.Lattice(lattice.vocabulary).segment(text[:5_000])
+    tracemalloc.start()
+    try:
+        lattice.segment(text)
+        held = tracemalloc.get_traced_memory()[0] / (len(lattice.known.newer) + len(lattice.known.older))
+    finally:
+        tracemalloc.stop()
+    assert held * pieces.REMEMBERED < 160e6
+    assert lattice.segment(text[:5_000]) == expected  # from the table
+
+
 def test_long_tied_units():
     lattice = pieces.Lattice(pieces.load_vocabulary())
     for text in ("-" * 300, "-" * 20_000, "x" * 20_000, "ab" * 5_000):
