@@ -427,15 +427,15 @@ def status_log_stream(spark, sf):
     """The digest of status_log_digest, from a stream that replays the events in four parts by time."""
     log = tables.read(spark, sf, "events").select(F.col("user_id").alias("job"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("message"))
     cuts = log.agg(*[F.percentile_approx("ts", q) for q in (0.25, 0.5, 0.75)]).first()
-    folder, low = new_folder(spark, "log"), None
+    folder, low, files_of_part = new_folder(spark, "log"), None, spark.sparkContext.defaultParallelism
     for high in (*cuts, None):
         part = log.where(F.lit(True) if low is None else F.col("ts") > low).where(F.lit(True) if high is None else F.col("ts") <= high)
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        part.repartition(files_of_part, "job").write.mode("append").parquet(f"{folder}/in")  # a job's rows of a part are in one file, so they come in order however files fall to batches
         low = high
     keep = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream.STATE_STORE)
     try:
-        given = stream.digest_stream(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
+        given = stream.digest_stream(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files_of_part).parquet(f"{folder}/in"))
         spark.createDataFrame([], given.schema).write.parquet(f"{folder}/out")  # there may be no news at all
         collect = lambda rows, _: rows.write.mode("append").parquet(f"{folder}/out")
         given.writeStream.outputMode("update").foreachBatch(collect).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()

@@ -28,25 +28,24 @@ def dedup_stream(items: DataFrame, time_col: str, delay: str = "10 minutes") ->
 
 
 class _Digest(StatefulProcessor):
-    """State of a job: its last message with the number of digests given, and its newest messages."""
+    """State of a job: its last message, the number of digests given and its newest messages, as one value: each call to the store
+    costs a round trip from Python to the JVM, far more than what it carries."""
 
     def __init__(self, newest: int, ttl_ms: int | None) -> None:
         self.newest, self.ttl_ms = newest, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "message string, given long", self.ttl_ms)
-        self.kept = handle.getListState("kept", "ts timestamp, seq long, message string, kind string", self.ttl_ms)
+        self.job = handle.getValueState("job", "message string, given long, kept array<struct<ts timestamp, seq long, message string, kind string>>", self.ttl_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values) -> Iterator[Row]:
-        message, given = self.last.get() if self.last.exists() else (None, 0)
-        kept = [tuple(x) for x in self.kept.get()]
+        message, given, kept = self.job.get() or (None, 0, ())
+        kept = [tuple(x) for x in kept]
         for r in sorted(rows, key=lambda r: (r.ts, r.seq)):
             if message is None or r.message is not None and r.message != message:
                 kept.append((r.ts, r.seq, r.message, r.kind))
             message = r.message
         kept = kept[-self.newest :]
-        self.last.update((message, given + 1))
-        self.kept.put(kept)
+        self.job.update((message, given + 1, kept))
         errors = sum(k == "error" for *_, k in kept)
         for ts, seq, said, kind in kept:
             yield Row(job=key[0], given=given + 1, ts=ts, seq=seq, message=said, kind=kind, errors=errors)

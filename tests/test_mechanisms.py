@@ -10,11 +10,13 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 from gleanery.operators import clean, dedup, graph, records, tfidf
 from gleanery.operators.seen import Seen
+from gleanery.plans import registered
 from gleanery.sources import files, hits, html, sinks
 from gleanery.streaming import stream
 
@@ -200,6 +202,41 @@ def test_streamed_digest_equals_the_batch(spark, tmp_path):
     assert Counter(map(tuple, got.select(*cols).collect())) == Counter(map(tuple, records.status_digest(log).select(*cols).collect()))
 
 
+def test_a_digest_calls_the_state_store_twice_for_each_job():
+    calls = Counter()
+
+    class Store:
+        held = None
+
+        def __getattr__(self, name):
+            def call(*values):
+                calls[name] += 1
+                if name in ("update", "put"):
+                    self.held = values[0]
+                return {"get": self.held, "exists": self.held is not None}.get(name)
+
+            return call
+
+    handle = type("Handle", (), {"getValueState": lambda *_: Store(), "getListState": lambda *_: Store()})()
+    digest = stream._Digest(2, None)
+    digest.init(handle)
+    said = lambda *messages: [Row(ts=k, seq=k, message=m, kind="error" if m == "bad" else "info") for k, m in messages]
+    first = list(digest.handleInputRows(("j",), iter(said((2, "bad"), (1, "a"), (3, "bad"))), None))
+    second = list(digest.handleInputRows(("j",), iter(said((4, "bad"), (5, "b"))), None))
+    assert [(r.given, r.seq, r.errors) for r in first] == [(1, 1, 1), (1, 2, 1)]
+    assert [(r.given, r.seq, r.errors) for r in second] == [(2, 2, 1), (2, 5, 1)]
+    assert calls == {"get": 2, "update": 2}
+
+
+def test_log_parts_are_written_by_more_than_one_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(registered, "new_folder", lambda *_: str(tmp_path / "log"))
+    spark.range(400).selectExpr("id as event_id", "timestamp_seconds(id) as ts", "id % 40 as user_id", "concat('m', id % 3) as event_type").write.parquet(str(tmp_path / "events.parquet"))
+    rows = registered.status_log_stream(spark, str(tmp_path))
+    log = spark.read.parquet(str(tmp_path / "events.parquet")).selectExpr("user_id as job", "ts", "event_id as seq", "event_type as message")
+    assert Counter(map(tuple, rows.collect())) == Counter(map(tuple, records.status_digest(log).select("job", "seq", "message", "kind", "errors").collect()))
+    assert len(list(tmp_path.glob("log/in/*.parquet"))) > 4  # of four parts
+
+
 def test_pushed_ranks_equal_the_power_iteration(spark):
     r = random.Random(5)
     names = [f"n{i}" for i in range(80)]
