@@ -464,7 +464,7 @@ def document_files_written(spark, sf):
     docs = tables.read(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
     target = new_folder(spark, "export")
     files.write_files(spark, sinks.document_files(docs, ["doc_id"]), target)
-    return files.read_files(spark, target).select("path", F.sha1("content").alias("sha"))
+    return files.file_digests(spark, target)
 
 
 def exports_reread(spark, sf):

@@ -92,17 +92,19 @@ def write_records(records: DataFrame, path: str, fmt: str, order: list[str], sel
 def numbered(records: DataFrame, order: list[str], name: str = "n") -> DataFrame:
     """records with their place from 0 in the order given, without bringing all rows to one task.
 
-    Rows are dealt by range and counted by partition; the counts, a row per partition, give each partition's start.
+    Rows are dealt by range, sorted and numbered inside their partition as they are settled; the counts, a row per partition,
+    give each partition's start. So the rows are shuffled once.
     """
     from pyspark.sql.window import Window
 
     from gleanery.operators.lineage import settle
 
-    dealt = settle(records.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    # The upper bits are the partition's number, the lower 33 the row's place in it.
+    dealt = settle(records.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("_p", F.shiftright("_i", 33)).withColumn("_i", F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)))
     counts = dealt.groupBy("_p").agg(F.count("*").alias("_c"))
     starts = counts.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return dealt.withColumn("_i", inside).join(F.broadcast(starts), "_p").withColumn(name, F.col("_s") + F.col("_i")).drop("_p", "_i", "_s")
+    return dealt.join(F.broadcast(starts), "_p").withColumn(name, F.col("_s") + F.col("_i")).drop("_p", "_i", "_s")
 
 
 def document_files(records: DataFrame, order: list[str]) -> DataFrame:

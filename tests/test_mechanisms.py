@@ -272,6 +272,24 @@ def test_fewer_nodes_push_round_by_round(spark):
     assert max(pushing) > 15 and pushing[-1] < 0.5 * max(pushing) and rounds[-1][1] < n * 2e-7
 
 
+def test_small_files_are_read_by_few_tasks(spark, tmp_path):
+    rows = spark.range(300).select(F.format_string("d/f_%03d.txt", "id").alias("path"), F.concat(F.lit("text "), "id").alias("content"))
+    files.write_files(spark, rows, f"file://{tmp_path}/export")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    made = files.file_digests(spark, f"file://{tmp_path}/export")
+    assert made.rdd.getNumPartitions() <= 6 and spark.conf.get("spark.sql.files.openCostInBytes") == cost
+    assert {tuple(r) for r in made.collect()} == {tuple(r) for r in rows.select("path", F.sha1(F.col("content").cast("binary"))).collect()}
+
+
+def test_numbered_rows_are_shuffled_once(spark):
+    r = random.Random(9)
+    rows = [(r.choice([None, *range(50)]), f"t{i}") for i in range(500)]
+    made = sinks.numbered(spark.createDataFrame(rows, "k int, t string").repartition(7), ["k", "t"])
+    assert "row_number" not in made._jdf.queryExecution().toString()
+    expected = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    assert [(q.k, q.t) for q in made.orderBy("n").collect()] == expected and sorted(q.n for q in made.collect()) == list(range(500))
+
+
 def test_hits_of_a_stored_page(spark):
     page = (
         "<div class='result results_links result__body'><h2><a class='result__a' href='https://a.org/?x=1&amp;y=2'> One <b>two</b></a></h2></div><div class='result__bodyx'><a class='result__a' href='no'>x</a></div>"
