@@ -290,6 +290,21 @@ def test_numbered_rows_are_shuffled_once(spark):
     assert [(q.k, q.t) for q in made.orderBy("n").collect()] == expected and sorted(q.n for q in made.collect()) == list(range(500))
 
 
+def test_vectors_keep_the_terms_of_topics_alone(spark, monkeypatch):
+    kept = []
+    for name in ("settle", "written"):
+        monkeypatch.setattr(tfidf, name, lambda df, f=getattr(tfidf, name): kept.append(f(df)) or kept[-1])
+    items = spark.createDataFrame([(f"u{i}", 0, f"apple pear word{i} other{i} apple") for i in range(20)], "source_url string, item_idx int, text string")
+    topics = spark.createDataFrame([(1, "apple plum"), (2, "pear pear"), (3, "")], "topic_id int, topic string")
+    ours, asked = tfidf.topic_vectors(items, topics)
+    vectors = [d for d in kept if "w" in d.columns]
+    assert len(vectors) == 2 and all({r.term for r in d.collect()} == {"apple", "pear"} for d in vectors)
+    rare, often = math.log(21 / 2) + 1, 1.0
+    norm = math.sqrt((often * (1 + math.log(2))) ** 2 + often**2 + 2 * rare**2)
+    assert {(r.term, round(r.w, 9)) for r in ours.collect()} == {("apple", round(often * (1 + math.log(2)) / norm, 9)), ("pear", round(often / norm, 9))}
+    assert {(r.topic_id, r.term, round(r.w, 9)) for r in asked.collect()} == {(1, "apple", 1.0), (2, "pear", 1.0)}
+
+
 def test_hits_of_a_stored_page(spark):
     page = (
         "<div class='result results_links result__body'><h2><a class='result__a' href='https://a.org/?x=1&amp;y=2'> One <b>two</b></a></h2></div><div class='result__bodyx'><a class='result__a' href='no'>x</a></div>"
