@@ -121,6 +121,28 @@ def test_topic_scores_write_the_items_and_not_their_terms(spark, monkeypatch):
     assert kept == [["source_url", "item_idx", "text"], ["term", "idf", "wq"]]
 
 
+@pytest.mark.parametrize("bigrams, sublinear", [(False, False), (True, True)])
+def test_topic_scores_need_no_shuffle_and_no_join(spark, bigrams, sublinear):
+    """Each item is scored where it lies; the scores are those of a plain computation."""
+    texts = ["old red roses and red roses", "blue sea", None, "", "a b", "roses red", "sea sea sea old"]
+    items = spark.createDataFrame([("a", i, t) for i, t in enumerate(texts)], "source_url string, item_idx int, text string").repartition(3)
+    scored = tfidf.cosine_to_topic(items, "red roses", bigrams=bigrams, sublinear=sublinear, max_features=6, stop=("and",))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+    def counted(text):
+        words = [w for w in (text or "").split() if len(w) > 1 and w != "and"]
+        return Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:])] * bigrams)
+
+    docs = [counted(t) for t in [*texts, "red roses"]]
+    total, df = sum(docs, Counter()), Counter(w for c in docs for w in c)
+    top = sorted(total, key=lambda w: (-total[w], w))[:6]
+    vectors = [{w: (1 + math.log(c[w]) if sublinear else c[w]) * (math.log((len(docs) + 1) / (df[w] + 1)) + 1) for w in top if c[w]} for c in docs]
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    expected = [sum(x * vectors[-1].get(w, 0.0) for w, x in v.items()) / (norm(v) * norm(vectors[-1])) if v else 0.0 for v in vectors[:-1]]
+    assert [r.cosine for r in scored.orderBy("item_idx").collect()] == pytest.approx(expected)
+
+
 def test_only_names_are_made_distinct(spark):
     rows = spark.createDataFrame([("u", 0, "see Rome and Rome, and see Rome"), ("u", 0, "Rome again")], "source_url string, item_idx int, text string")
     names = spark.createDataFrame([("Rome", "GPE"), ("Rome", "GPE")], "name string, kind string")
