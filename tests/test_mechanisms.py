@@ -87,6 +87,35 @@ def test_blocks_meet_without_copies(spark):
     assert dedup.similar_pairs(docs.limit(0)).isEmpty()
 
 
+def test_vectors_are_made_where_the_texts_lie(spark):
+    docs = spark.createDataFrame([(i, r[2]) for i, r in enumerate(near_copies(20, 30, seed=3))] + [(98, ""), (99, None)], "id long, text string")
+    packed = dedup.packed_vectors(docs)
+    assert "Exchange" not in packed._jdf.queryExecution().executedPlan().toString()
+    whole = lambda df: {(r.id, tuple(r.terms), tuple(round(w, 9) for w in r.weights)) for r in df.collect()}
+    assert whole(packed) == whole(dedup.pack(dedup.settle(dedup.unit_vectors(docs)))) and packed.count() == 50
+
+
+def test_blocks_of_other_sizes_do_not_meet(spark, monkeypatch):
+    """Rows of like size share blocks; blocks with far more or fewer terms are left out, and no pair is lost."""
+    r = random.Random(8)
+    rows = []
+    for size in (6, 7, 12, 40, 120):
+        for _ in range(25):
+            base = r.sample(range(700), size)
+            rows += [base, [*base[1:], r.randrange(700)]]
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in x)) for i, x in enumerate(rows)], "id long, text string")
+    packed = dedup.stored_vectors(docs)
+    exact = {x.id: dict(zip(x.terms, x.weights)) for x in packed.collect()}
+    cosine = lambda a, b: sum(w * exact[b].get(t, 0.0) for t, w in exact[a].items())
+    for threshold in (0.5, dedup.THRESHOLD):
+        expected = {(a, b) for a in exact for b in exact if a < b and cosine(a, b) >= threshold}
+        assert len(expected) > 50 and {(x.a, x.b) for x in dedup.block_pairs(packed, threshold, block=20).collect()} == expected
+    monkeypatch.setattr(dedup, "_like", lambda threshold: lambda batches: (pa.RecordBatch.from_arrays([b.column("block_a").cast("int64"), b.column("block_b").cast("int64"), pa.array([0.0] * b.num_rows)], ["a", "b", "sim"]) for b in batches))
+    met = {(x.a, x.b) for x in dedup.block_pairs(packed, block=20).collect()}
+    n = max(b for _, b in met) + 1
+    assert n >= 10 and {(k, k) for k in range(n)} <= met and (0, n - 1) not in met and len(met) < 0.7 * n * (n + 1) / 2
+
+
 def test_bands_leave_out_rows_that_share_frequent_terms(spark):
     r = random.Random(6)
     rare = [f"r{i}" for i in range(900)]
