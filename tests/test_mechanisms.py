@@ -116,6 +116,10 @@ def test_blocks_of_other_sizes_do_not_meet(spark, monkeypatch):
     assert n >= 10 and {(k, k) for k in range(n)} <= met and (0, n - 1) not in met and len(met) < 0.7 * n * (n + 1) / 2
 
 
+def test_partitions_of_blocks_grow_slower_than_blocks():
+    assert [dedup.block_parts(n) for n in (1, 12, 13, 64, 200, 256, 700)] == [1, 12, 12, 16, 50, 64, 64]
+
+
 def test_bands_leave_out_rows_that_share_frequent_terms(spark):
     r = random.Random(6)
     rare = [f"r{i}" for i in range(900)]
